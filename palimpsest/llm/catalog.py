@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import chat_format, language_id, quality, url_filter
+from palimpsest.llm import chat_format, language_id, packing, quality, url_filter
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op3_url_filter": url_filter.op3_url_filter,
+    "op5_packing": packing.op5_packing,
     "op8_language_id": language_id.op8_language_id,
     "op9_chat_format": chat_format.op9_chat_format,
 }
