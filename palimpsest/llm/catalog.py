@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import chat_format, language_id, packing, quality, url_filter
+from palimpsest.llm import chat_format, language_id, near_dup, packing, quality, url_filter
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
+    "op2_near_dedup": near_dup.op2_near_dedup,
     "op3_url_filter": url_filter.op3_url_filter,
     "op5_packing": packing.op5_packing,
     "op8_language_id": language_id.op8_language_id,
