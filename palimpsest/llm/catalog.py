@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import chat_format, language_id, near_dup, packing, quality, url_filter
+from palimpsest.llm import chat_format, embedding_dup, language_id, near_dup, packing, quality, url_filter
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -11,5 +11,6 @@ QUERIES = {
     "op5_packing": packing.op5_packing,
     "op8_language_id": language_id.op8_language_id,
     "op9_chat_format": chat_format.op9_chat_format,
+    "op10_embedding_dedup": embedding_dup.op10_embedding_dedup,
 }
 SQL = {"op3_url_filter": url_filter.SQL, "op9_chat_format": chat_format.SQL}
