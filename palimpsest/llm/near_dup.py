@@ -26,21 +26,16 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.common import map_batches, written
 from palimpsest.llm.components import connected_components
+from palimpsest.llm.text_hash import ODD, mixed, word_hashes
 from palimpsest.session import table
 
 BANDS, ROWS, SIGNATURE = 40, 8, 256
 #: Up to this many ids (8 bytes each) are broadcast to fetch texts by; more are joined by shuffle.
 BROADCAST_IDS = 500_000
 
-_RNG = np.random.default_rng(20)
-_BYTE = _RNG.integers(0, 1 << 64, 256, np.uint64)
-_BASE = np.uint64(int(_RNG.integers(0, 1 << 62)) * 8 + 5)
-_UNBASE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_ODD = _RNG.integers(0, 1 << 64, 64, np.uint64) | np.uint64(1)
+_RNG = np.random.default_rng(21)
 _MULTIPLY = (_RNG.integers(0, 1 << 32, BANDS * ROWS, np.uint64) | np.uint64(1)).astype(np.uint32)
 _ADD = _RNG.integers(0, 1 << 32, BANDS * ROWS, np.uint64).astype(np.uint32)
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 @dataclass(frozen=True)
@@ -50,44 +45,20 @@ class Likeness:
     percent: int = 80
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
-def _powers(n: int, cache: dict = {}) -> tuple[np.ndarray, np.ndarray]:  # noqa: B006
-    if len(cache.get("up", ())) < n:
-        size = 1 << (n - 1).bit_length()
-        for name, base in (("up", _BASE), ("down", _UNBASE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            cache[name] = np.multiply.accumulate(steps)
-    return cache["up"], cache["down"]
-
-
 def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
-    data = np.frombuffer(b" ".join([b"", *(t.lower() for t in texts), b""]), np.uint8)  # bytes.lower() is A-Z only
-    space = _SPACE[data]
-    begins = np.flatnonzero(space[:-1] & ~space[1:]) + 1
-    ends = np.flatnonzero(~space[:-1] & space[1:]) + 1
-    up, down = _powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * down[: len(data)], out=sums[1:])
-    word = _mixed((sums[ends] - sums[begins]) * up[begins] + (ends - begins).astype(np.uint64))
-    edges = np.searchsorted(begins, np.cumsum([1] + [len(t) + 1 for t in texts]))
+    word, edges = word_hashes([t.lower() for t in texts])  # bytes.lower() is A-Z only
     n = max(0, len(word) - words + 1)
     rolled = np.zeros(n, np.uint64)
     for k in range(words):
-        rolled += word[k : k + n] * _ODD[k]
-    rolled = _mixed(rolled)
+        rolled += word[k : k + n] * ODD[k]
+    rolled = mixed(rolled)
     sets = []
     for a, b in zip(edges[:-1], edges[1:]):
         if b - a >= words:
             sets.append(np.unique(rolled[a : b - words + 1]))
         elif b > a:
-            sets.append(_mixed((word[a:b] * _ODD[32 : 32 + b - a]).sum(keepdims=True) + np.uint64(b - a)))
+            sets.append(mixed((word[a:b] * ODD[32 : 32 + b - a]).sum(keepdims=True) + np.uint64(b - a)))
         else:
             sets.append(np.zeros(0, np.uint64))
     return sets
@@ -95,7 +66,7 @@ def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, n_shingles, d1, d2, keys, sig) of docs(doc_id, text)."""
-    band_of, lane = np.arange(BANDS, dtype=np.uint64)[:, None], _ODD[16 : 16 + ROWS][None, :, None]
+    band_of, lane = np.arange(BANDS, dtype=np.uint64)[:, None], ODD[16 : 16 + ROWS][None, :, None]
 
     def signed(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets([(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()], words)
@@ -106,13 +77,13 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
         sig = np.zeros((n, SIGNATURE), np.uint8)
         if len(some):
             flat, at = np.concatenate(sets), np.concatenate([[0], np.cumsum(sizes[some])[:-1]])
-            digest[0, some] = np.add.reduceat(_mixed(flat + _ODD[60]), at)
-            digest[1, some] = np.bitwise_xor.reduceat(_mixed(flat * _ODD[61]), at)
+            digest[0, some] = np.add.reduceat(mixed(flat + ODD[60]), at)
+            digest[1, some] = np.bitwise_xor.reduceat(mixed(flat * ODD[61]), at)
             high, least = (flat >> np.uint64(32)).astype(np.uint32), np.empty((BANDS * ROWS, len(some)), np.uint32)
             for i in range(BANDS * ROWS):
                 np.minimum.reduceat(high * _MULTIPLY[i] + _ADD[i], at, out=least[i])
             rows = (least.reshape(BANDS, ROWS, -1).astype(np.uint64) * lane).sum(1)
-            keys[some] = _mixed(rows + band_of * _ODD[62]).T
+            keys[some] = mixed(rows + band_of * ODD[62]).T
             sig[some] = (least[:SIGNATURE] * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8).T
         lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel().view(np.int64)))
         return pa.RecordBatch.from_arrays(
