@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import chat_format, embedding_dup, language_id, near_dup, packing, quality, url_filter
+from palimpsest.llm import chat_format, decontaminate, embedding_dup, html_text, language_id, near_dup, packing, quality, url_filter
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_near_dedup": near_dup.op2_near_dedup,
     "op3_url_filter": url_filter.op3_url_filter,
     "op5_packing": packing.op5_packing,
+    "op6_decontaminate": decontaminate.op6_decontaminate,
+    "op7_html_text": html_text.op7_html_text,
     "op8_language_id": language_id.op8_language_id,
     "op9_chat_format": chat_format.op9_chat_format,
     "op10_embedding_dedup": embedding_dup.op10_embedding_dedup,
