@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import chat_format, decontaminate, embedding_dup, html_text, language_id, near_dup, packing, quality, url_filter
+from palimpsest.llm import chat_format, decontaminate, embedding_dup, html_text, language_id, license_scan, near_dup, packing, quality, url_filter
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_near_dedup": near_dup.op2_near_dedup,
     "op3_url_filter": url_filter.op3_url_filter,
+    "op4_license_scan": license_scan.op4_license_scan,
     "op5_packing": packing.op5_packing,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_html_text": html_text.op7_html_text,
