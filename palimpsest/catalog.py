@@ -2,5 +2,4 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from palimpsest.queries import QUERIES, SQL

@@ -1,0 +1,514 @@
+"""The registered queries of the versioned-table operators. Overlays, branches and commits are derived from the given tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
+
+from palimpsest.functions import text as X
+from palimpsest.operators import branches as B
+from palimpsest.operators import content as C
+from palimpsest.operators import diff as D
+from palimpsest.operators.overlay import VersionedTable, local_table
+from palimpsest.session import table
+from palimpsest.streaming import cdc
+
+
+def money(c: str | Column) -> Column:
+    """An exact sum of amounts, whatever the order."""
+    return F.sum(F.col(c).cast("decimal(18,2)") if isinstance(c, str) else c.cast("decimal(18,2)")).cast("double")
+
+
+def orders_overlay(spark: SparkSession, sf_dir: str) -> VersionedTable:
+    """orders with every 13th row's status patched (and every 26th's priority set to NULL), every 17th removed, and new rows under negative keys."""
+    orders = table(spark, sf_dir, "orders")
+    new = orders.filter("o_orderkey < 100").withColumns({"o_orderkey": -F.col("o_orderkey") - 1, "o_orderstatus": F.lit("N")})
+    t = VersionedTable(orders, ("o_orderkey",)).update(F.col("o_orderkey") % 13 == 0, {"o_orderstatus": F.lit("X")})
+    t = t.update(F.col("o_orderkey") % 26 == 0, {"o_orderpriority": F.lit(None).cast("string")})
+    return t.delete(F.col("o_orderkey") % 17 == 0).insert(new)
+
+
+OVERLAY = """
+WITH v AS (
+  SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 13 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_totalprice, o_orderdate,
+    CASE WHEN o_orderkey % 26 = 0 THEN NULL ELSE o_orderpriority END AS o_orderpriority
+  FROM orders WHERE o_orderkey % 17 <> 0
+  UNION ALL SELECT -o_orderkey - 1, o_custkey, 'N', o_totalprice, o_orderdate, o_orderpriority FROM orders WHERE o_orderkey < 100
+)"""
+
+QUERIES: dict = {}
+SQL: dict = {}
+
+
+def query(sql: str | None):
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            SQL[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+# Reads through an overlay
+
+
+@query(OVERLAY + "SELECT o_orderstatus, count(*) AS n_orders, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total FROM v GROUP BY 1")
+def overlay_status_totals(spark, d):
+    return orders_overlay(spark, d).read().groupBy("o_orderstatus").agg(F.count("*").alias("n_orders"), money("o_totalprice").alias("total"))
+
+
+@query(OVERLAY + "SELECT o_orderkey, o_orderstatus, o_orderpriority FROM v WHERE o_orderstatus = 'X' AND o_orderpriority IS NULL")
+def overlay_filter_after_patch(spark, d):
+    rows = orders_overlay(spark, d).read().filter("o_orderstatus = 'X' and o_orderpriority is null")
+    return rows.select("o_orderkey", "o_orderstatus", "o_orderpriority")
+
+
+@query(OVERLAY + "SELECT o_orderkey, o_totalprice FROM v ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
+def overlay_topk(spark, d):
+    return orders_overlay(spark, d).read().select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(25)
+
+
+@query(OVERLAY + "SELECT c_mktsegment, count(*) AS n_orders, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total FROM v JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus <> 'N' GROUP BY 1")
+def overlay_join_customer(spark, d):
+    rows = orders_overlay(spark, d).read().filter("o_orderstatus <> 'N'").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return rows.groupBy("c_mktsegment").agg(F.count("*").alias("n_orders"), money("o_totalprice").alias("total"))
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey, count(*) AS suppliers FROM nation JOIN supplier ON s_nationkey = n_nationkey WHERE n_regionkey <> 1 GROUP BY ALL")
+def overlay_local_only(spark, d):
+    nation = table(spark, d, "nation")
+    mine = local_table(nation, ("n_nationkey",)).insert(nation).delete(F.col("n_regionkey") == 1).read()
+    return mine.join(table(spark, d, "supplier"), F.col("s_nationkey") == F.col("n_nationkey")).groupBy("n_nationkey", "n_name", "n_regionkey").agg(F.count("*").alias("suppliers"))
+
+
+@query("""
+WITH o AS (SELECT event_id, user_id, event_type, value, CASE event_type WHEN 'signup' THEN 'I' WHEN 'error' THEN 'D' ELSE 'U' END AS op FROM events),
+last AS (SELECT user_id, max(event_id) AS at, arg_max(op, event_id) AS op FROM o WHERE op IN ('I', 'D') GROUP BY 1),
+net AS (
+  SELECT o.user_id, any_value(last.op) AS bop,
+    arg_max(struct_pack(v := value), event_id) FILTER (WHERE event_type IN ('click', 'signup')) AS pv,
+    arg_max(struct_pack(v := event_type), event_id) FILTER (WHERE event_type <> 'error') AS pk
+  FROM o LEFT JOIN last USING (user_id) WHERE last.at IS NULL OR event_id >= last.at GROUP BY 1
+), base AS (SELECT c_custkey AS user_id, c_acctbal AS value, CAST('base' AS VARCHAR) AS kind FROM customer)
+SELECT coalesce(b.user_id, n.user_id) AS user_id, CASE WHEN n.pv IS NOT NULL THEN n.pv.v ELSE b.value END AS value,
+  CASE WHEN n.pk IS NOT NULL THEN n.pk.v ELSE b.kind END AS kind
+FROM base b FULL JOIN net n ON b.user_id = n.user_id
+WHERE coalesce(n.bop, '-') <> 'D' AND (b.user_id IS NOT NULL OR n.bop = 'I')""")
+def oplog_fold(spark, d):
+    """The events as a log over the customers' balances: a signup is a row, an error a removal, a click sets value, all set kind."""
+    from palimpsest.operators.overlay import apply_net, fold
+
+    base = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_acctbal").alias("value"), F.lit("base").alias("kind"))
+    kind = F.col("event_type")
+    ops = table(spark, d, "events").select(
+        F.col("event_id").alias("seq"), F.when(kind == "signup", "I").when(kind == "error", "D").otherwise("U").alias("op"),
+        F.when(kind.isin("click", "signup"), F.array(F.lit("value"), F.lit("kind"))).when(kind == "error", F.array().cast("array<string>")).otherwise(F.array(F.lit("kind"))).alias("changed"),
+        "user_id", "value", kind.alias("kind"),
+    )
+    return apply_net(base, fold(ops, ["user_id"], base.columns), ["user_id"])
+
+
+@query("SELECT c_custkey, c_nationkey, CASE WHEN c_acctbal < 0 AND c_mktsegment = 'BUILDING' THEN c_acctbal + 100 ELSE c_acctbal END AS c_acctbal, CASE WHEN c_acctbal < 0 AND c_mktsegment = 'BUILDING' THEN 'RESCUED' ELSE c_mktsegment END AS c_mktsegment FROM customer")
+def dml_update_where(spark, d):
+    t = VersionedTable(table(spark, d, "customer"), ("c_custkey",))
+    t = t.update((F.col("c_acctbal") < 0) & (F.col("c_mktsegment") == "BUILDING"), {"c_acctbal": F.col("c_acctbal") + 100, "c_mktsegment": F.lit("RESCUED")})
+    return t.read().select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
+
+
+@query("SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE NOT (c_acctbal < 0 OR c_mktsegment LIKE 'A%')")
+def dml_delete_where(spark, d):
+    t = VersionedTable(table(spark, d, "customer"), ("c_custkey",)).delete((F.col("c_acctbal") < 0) | F.col("c_mktsegment").startswith("A"))
+    return t.read().select("c_custkey", "c_name", "c_mktsegment")
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN 'replaced' ELSE s_name END AS s_name, s_nationkey, CASE WHEN s_suppkey % 5 = 0 THEN 0.0 ELSE s_acctbal END AS s_acctbal FROM supplier UNION ALL SELECT s_suppkey + 1000000, s_name, s_nationkey, s_acctbal FROM supplier WHERE s_suppkey % 7 = 0")
+def replace_upsert(spark, d):
+    base = table(spark, d, "supplier")
+    same = base.filter("s_suppkey % 5 = 0").withColumns({"s_name": F.lit("replaced"), "s_acctbal": F.lit(0.0)})
+    new = base.filter("s_suppkey % 7 = 0").withColumn("s_suppkey", F.col("s_suppkey") + 1000000)
+    return VersionedTable(base, ("s_suppkey",)).insert(same.unionByName(new)).read()
+
+
+@query("SELECT p_partkey, p_name, p_size FROM part WHERE p_size > 40")
+def truncate_insert(spark, d):
+    base = table(spark, d, "part")
+    return VersionedTable(base, ("p_partkey",)).truncate().insert(base.filter("p_size > 40")).read().select("p_partkey", "p_name", "p_size")
+
+
+@query("SELECT CAST(seq AS BIGINT) AS seq, op, s_suppkey, old_name, new_name FROM (SELECT 2 AS seq, 'U' AS op, s_suppkey, s_name AS old_name, 'two' AS new_name FROM supplier WHERE s_suppkey % 4 = 0 UNION ALL SELECT 3, 'D', s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN 'two' ELSE s_name END, NULL FROM supplier WHERE s_suppkey % 6 = 0)")
+def journal_changes_since(spark, d):
+    t = VersionedTable(table(spark, d, "supplier"), ("s_suppkey",))
+    t = t.update(F.col("s_suppkey") % 3 == 0, {"s_acctbal": F.lit(1.0)}).update(F.col("s_suppkey") % 4 == 0, {"s_name": F.lit("two")}).delete(F.col("s_suppkey") % 6 == 0)
+    return t.changes_since(2).select("seq", "op", "s_suppkey", F.get_json_object("old_row", "$.s_name").alias("old_name"), F.get_json_object("new_row", "$.s_name").alias("new_name"))
+
+
+# Differences and merges
+
+AFTER = """
+WITH a AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority FROM orders WHERE o_orderkey % 19 <> 0),
+b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN o_custkey + 1 ELSE o_custkey END AS o_custkey,
+  CASE WHEN o_orderkey % 22 = 0 THEN NULL ELSE o_orderstatus END AS o_orderstatus, o_orderpriority FROM orders WHERE o_orderkey % 23 <> 0),
+j AS (SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, CASE WHEN a.o_orderkey IS NULL THEN 'added' WHEN b.o_orderkey IS NULL THEN 'removed' ELSE 'changed' END AS kind,
+  a.o_custkey IS DISTINCT FROM b.o_custkey AS c1, a.o_orderstatus IS DISTINCT FROM b.o_orderstatus AS c2, a.o_orderpriority IS DISTINCT FROM b.o_orderpriority AS c3
+  FROM a FULL JOIN b ON a.o_orderkey = b.o_orderkey)"""
+
+
+def two_states(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    key = F.col("o_orderkey")
+    b = o.filter(key % 23 != 0).withColumns({
+        "o_custkey": F.when(key % 11 == 0, F.col("o_custkey") + 1).otherwise(F.col("o_custkey")),
+        "o_orderstatus": F.when(key % 22 == 0, F.lit(None)).otherwise(F.col("o_orderstatus")),
+    })
+    return o.filter(key % 19 != 0), b
+
+
+@query(AFTER + "SELECT o_orderkey, kind FROM j WHERE kind <> 'changed' OR c1 OR c2 OR c3")
+def snapshot_diff(spark, d):
+    return D.diff(*two_states(spark, d), ["o_orderkey"]).select("o_orderkey", "kind")
+
+
+@query(AFTER + "SELECT kind, count(*) AS n FROM j WHERE kind <> 'changed' OR c1 OR c2 OR c3 GROUP BY 1")
+def snapshot_diff_summary(spark, d):
+    return D.diff(*two_states(spark, d), ["o_orderkey"]).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query(AFTER + "SELECT o_orderkey, concat_ws(',', CASE WHEN c1 THEN 'o_custkey' END, CASE WHEN c2 THEN 'o_orderstatus' END, CASE WHEN c3 THEN 'o_orderpriority' END) AS columns FROM j WHERE kind = 'changed' AND (c1 OR c2 OR c3)")
+def diff_changed_columns(spark, d):
+    return D.diff(*two_states(spark, d), ["o_orderkey"]).filter("kind = 'changed'").select("o_orderkey", F.array_join("changed", ",").alias("columns"))
+
+
+@query(AFTER + "SELECT o_orderkey, kind FROM j WHERE kind <> 'changed' OR c1 OR c2 OR c3")
+def bucket_diff(spark, d):
+    return D.diff_by_buckets(*two_states(spark, d), ["o_orderkey"], 256).select("o_orderkey", "kind")
+
+
+LINES = "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, max(l_quantity) AS l_quantity, max(l_returnflag) AS l_returnflag FROM lineitem GROUP BY 1, 2, 3, 4"
+
+
+@query(f"""
+WITH l AS ({LINES}), s AS (SELECT * REPLACE (CASE WHEN l_partkey % 7 = 0 THEN l_quantity + 1 ELSE l_quantity END AS l_quantity) FROM l WHERE l_suppkey % 5 <> 0),
+t AS (SELECT * FROM l WHERE l_suppkey % 3 <> 0)
+SELECT * FROM (SELECT coalesce(s.l_orderkey, t.l_orderkey) AS l_orderkey, coalesce(s.l_partkey, t.l_partkey) AS l_partkey, coalesce(s.l_suppkey, t.l_suppkey) AS l_suppkey,
+  coalesce(s.l_linenumber, t.l_linenumber) AS l_linenumber,
+  CASE WHEN t.l_orderkey IS NULL THEN 'insert' WHEN s.l_orderkey IS NULL THEN (CASE WHEN t.l_returnflag = 'R' THEN NULL ELSE 'delete' END) WHEN s.l_quantity <> t.l_quantity THEN 'update' END AS action
+  FROM s FULL JOIN t ON s.l_orderkey = t.l_orderkey AND s.l_partkey = t.l_partkey AND s.l_suppkey = t.l_suppkey AND s.l_linenumber = t.l_linenumber) WHERE action IS NOT NULL""")
+def reconcile_composite(spark, d):
+    keys = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+    rows = table(spark, d, "lineitem").groupBy(*keys).agg(F.max("l_quantity").alias("l_quantity"), F.max("l_returnflag").alias("l_returnflag"))
+    source = rows.filter("l_suppkey % 5 <> 0").withColumn("l_quantity", F.when(F.col("l_partkey") % 7 == 0, F.col("l_quantity") + 1).otherwise(F.col("l_quantity")))
+    return D.reconcile(source, rows.filter("l_suppkey % 3 <> 0"), keys, protected=F.col("l_returnflag") == "R")
+
+
+@query("SELECT s_suppkey, s_name, s_nationkey, s_acctbal, CAST(NULL AS VARCHAR) AS s_note FROM supplier")
+def schema_reconcile(spark, d):
+    supplier = table(spark, d, "supplier")
+    return D.with_schema_of(supplier, supplier.withColumn("s_note", F.lit("x")))
+
+
+MERGE = """
+WITH b AS (SELECT c_custkey AS k, c_mktsegment AS v FROM customer),
+s AS (SELECT k, CASE WHEN k % 3 = 0 THEN v || '-s' ELSE v END AS v FROM b WHERE k % 10 <> 0 UNION ALL SELECT k + 10000000, v FROM b WHERE k % 50 = 0),
+t AS (SELECT k, CASE WHEN k % 4 = 0 THEN v || '-t' WHEN k % 9 = 0 THEN v || '-s' ELSE v END AS v FROM b WHERE k % 14 <> 0),
+m AS (SELECT coalesce(b.k, s.k, t.k) AS k, b.v AS bv, s.v AS sv, t.v AS tv, CASE WHEN s.v IS NOT DISTINCT FROM t.v THEN 'noop' WHEN b.v IS NOT DISTINCT FROM t.v THEN 'apply'
+  WHEN b.v IS NOT DISTINCT FROM s.v THEN 'keep' ELSE 'conflict' END AS decision
+  FROM b FULL JOIN s ON b.k = s.k FULL JOIN t ON coalesce(b.k, s.k) = t.k)"""
+
+
+def three_states(spark, d):
+    b = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("v"))
+    k, v = F.col("k"), F.col("v")
+    s = b.filter("k % 10 <> 0").withColumn("v", F.when(k % 3 == 0, F.concat(v, F.lit("-s"))).otherwise(v)).unionByName(b.filter("k % 50 = 0").withColumn("k", k + 10000000))
+    t = b.filter("k % 14 <> 0").withColumn("v", F.when(k % 4 == 0, F.concat(v, F.lit("-t"))).when(k % 9 == 0, F.concat(v, F.lit("-s"))).otherwise(v))
+    return b, s, t
+
+
+@query(MERGE + "SELECT decision, count(*) AS n FROM m GROUP BY 1")
+def merge_decisions(spark, d):
+    return D.three_way(*three_states(spark, d), ["k"]).groupBy("decision").agg(F.count("*").alias("n"))
+
+
+@query(MERGE + "SELECT k, v FROM (SELECT k, CASE WHEN decision = 'apply' THEN sv ELSE tv END AS v FROM m) WHERE v IS NOT NULL")
+def merge_ours(spark, d):
+    return D.merged(*three_states(spark, d), ["k"], "ours")
+
+
+@query(MERGE + "SELECT k, v FROM (SELECT k, CASE WHEN decision IN ('apply', 'conflict') THEN sv ELSE tv END AS v FROM m) WHERE v IS NOT NULL")
+def merge_theirs(spark, d):
+    return D.merged(*three_states(spark, d), ["k"], "theirs")
+
+
+@query(MERGE + "SELECT k FROM m WHERE decision = 'conflict'")
+def merge_conflicts(spark, d):
+    return D.three_way(*three_states(spark, d), ["k"]).filter("decision = 'conflict'").select("k")
+
+
+# Branches: regions are the trunk's children, nations their branches, orders the files
+
+BRANCHES = """
+WITH RECURSIVE br AS (
+  SELECT 'trunk' AS branch, CAST(NULL AS VARCHAR) AS parent
+  UNION ALL SELECT r_name, 'trunk' FROM region
+  UNION ALL SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey
+), en AS (
+  SELECT 'trunk' AS branch, '/parts/' || (p_size % 10) || '/' || p_partkey || '.txt' AS path, p_name AS hash, false AS is_dir FROM part
+  UNION ALL SELECT r_name, '/parts/' || (p_size % 10) || '/' || p_partkey || '.txt', CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE r_name || p_name END, false FROM part JOIN region ON p_partkey % 20 = r_regionkey
+  UNION ALL SELECT n_name, '/parts/' || (p_size % 10) || '/' || p_partkey || '.txt', CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE n_name || p_name END, false FROM part JOIN nation ON p_partkey % 100 = n_nationkey
+  UNION ALL SELECT r_name, '/parts/new-' || r_regionkey, CAST(NULL AS VARCHAR), true FROM region
+), chain AS (
+  SELECT branch, branch AS ancestor, parent, CAST(0 AS BIGINT) AS depth FROM br
+  UNION ALL SELECT c.branch, b.branch, b.parent, c.depth + 1 FROM chain c JOIN br b ON b.branch = c.parent
+), tree AS (
+  SELECT branch, path, hash, is_dir FROM (
+    SELECT c.branch, e.path, e.hash, e.is_dir, row_number() OVER (PARTITION BY c.branch, e.path ORDER BY c.depth) AS rn FROM chain c JOIN en e ON e.branch = c.ancestor
+  ) WHERE rn = 1 AND (hash IS NOT NULL OR is_dir)
+)"""
+
+
+def branch_tables(spark, d):
+    region, nation, part = (table(spark, d, t) for t in ("region", "nation", "part"))
+    up = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("branch"), F.col("r_name").alias("parent"))
+    trunk = spark.range(1).select(F.lit("trunk").alias("branch"), F.lit(None).cast("string").alias("parent"))
+    branches = trunk.unionByName(region.select(F.col("r_name").alias("branch"), F.lit("trunk").alias("parent"))).unionByName(up)
+    path = F.concat(F.lit("/parts/"), (F.col("p_size") % 10).cast("string"), F.lit("/"), F.col("p_partkey").cast("string"), F.lit(".txt")).alias("path")
+    file, folder = F.lit(False).alias("is_dir"), F.lit(True).alias("is_dir")
+
+    def own(rows, on, name, gone):
+        text = F.when(F.col("p_partkey") % gone != 0, F.concat(name, "p_name"))
+        return part.join(rows, on).select(F.col(name).alias("branch"), path, text.alias("hash"), file)
+
+    entries = part.select(F.lit("trunk").alias("branch"), path, F.col("p_name").alias("hash"), file)
+    entries = entries.unionByName(own(region, F.col("p_partkey") % 20 == F.col("r_regionkey"), "r_name", 3)).unionByName(own(nation, F.col("p_partkey") % 100 == F.col("n_nationkey"), "n_name", 7))
+    folders = region.select(F.col("r_name").alias("branch"), F.concat(F.lit("/parts/new-"), F.col("r_regionkey").cast("string")).alias("path"), F.lit(None).cast("string").alias("hash"), folder)
+    return branches, entries.unionByName(folders)
+
+
+@query(BRANCHES + "SELECT branch, path, hash, is_dir FROM tree")
+def branch_resolve(spark, d):
+    return B.resolved(*branch_tables(spark, d))
+
+
+@query(BRANCHES + "SELECT branch, substr(path, 8) AS name, is_dir FROM tree WHERE path LIKE '/parts/%' AND NOT contains(substr(path, 8), '/') UNION ALL SELECT branch, substr(path, 10), is_dir FROM tree WHERE path LIKE '/parts/3/%' AND NOT contains(substr(path, 10), '/')")
+def branch_list_dir(spark, d):
+    tree = B.resolved(*branch_tables(spark, d))
+    return B.listed(tree, "/parts").unionByName(B.listed(tree, "/parts/3")).select("branch", "name", "is_dir")
+
+
+@query(BRANCHES + "SELECT branch, count(*) AS n FROM tree WHERE regexp_full_match(path, '/parts/[^/]/[^/]*7\\.txt') GROUP BY 1")
+def branch_glob(spark, d):
+    return B.globbed(B.resolved(*branch_tables(spark, d)), "/parts/?/*7.txt").groupBy("branch").agg(F.count("*").alias("n"))
+
+
+@query(BRANCHES + "SELECT a, b, arg_min(ancestor, s) AS ancestor FROM (SELECT x.branch AS a, y.branch AS b, x.ancestor, x.depth + y.depth AS s FROM chain x JOIN chain y ON x.ancestor = y.ancestor AND x.branch < y.branch) GROUP BY 1, 2")
+def branch_common_ancestor(spark, d):
+    return B.common_ancestors(branch_tables(spark, d)[0])
+
+
+@query(BRANCHES + ", wanted AS (SELECT path, hash, is_dir FROM tree WHERE branch = (SELECT n_name FROM nation WHERE n_nationkey = 1)) SELECT path, hash, is_dir FROM wanted")
+def branch_reset(spark, d):
+    """The second nation's tree, snapshotted and put back after all of its files are rewritten and its parent has gained some."""
+    branches, entries = branch_tables(spark, d)
+    name = table(spark, d, "nation").filter("n_nationkey = 1").first().n_name
+    snap = B.snapshot(B.resolved(branches, entries), name, 1).select("path", "hash", "is_dir")
+    region = branches.filter(F.col("branch") == name).first().parent
+    wrong = entries.withColumn("hash", F.when(F.col("branch") == name, "wrong").otherwise(F.col("hash"))).unionByName(entries.filter("branch = 'trunk'").select(F.lit(region).alias("branch"), F.concat("path", F.lit(".more")).alias("path"), "hash", "is_dir"))
+    return B.resolved(branches, B.reset(wrong, branches, name, snap)).filter(F.col("branch") == name).select("path", "hash", "is_dir")
+
+
+@query(BRANCHES + "SELECT branch, count(*) AS files, count(DISTINCT path) AS paths FROM tree GROUP BY 1")
+def tree_digest(spark, d):
+    """Each branch's files, its digest checked against that of the same rows dealt out otherwise."""
+    tree = B.resolved(*branch_tables(spark, d))
+    again = B.tree_digest(tree.repartition(7, "path")).select("branch", F.col("digest").alias("other"))
+    paths = tree.groupBy("branch").agg(F.countDistinct("path").alias("paths"))
+    return B.tree_digest(tree).join(again, "branch").filter("digest = other").join(paths, "branch").select("branch", "files", "paths")
+
+
+@query("""
+SELECT branch, commit_id, "before", rank FROM (SELECT c_mktsegment AS branch, o_orderkey AS commit_id, row_number() OVER w AS rank, lead(o_orderkey) OVER w AS "before"
+FROM orders JOIN customer ON o_custkey = c_custkey WINDOW w AS (PARTITION BY c_mktsegment ORDER BY o_orderkey DESC)) WHERE rank <= 20""")
+def commit_log(spark, d):
+    commits = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_mktsegment").alias("branch"), F.col("o_orderkey").alias("commit_id"))
+    return B.commit_log(commits).select("branch", "commit_id", "before", "rank")
+
+
+@query("""
+WITH RECURSIVE n AS (SELECT c_custkey AS node, CASE WHEN c_custkey % 97 = 0 THEN NULL WHEN c_custkey % 89 = 0 THEN c_custkey WHEN c_custkey % 83 = 0 THEN 99999999
+  WHEN c_custkey % 97 = 1 AND c_custkey % 5 = 0 THEN c_custkey + 1 ELSE c_custkey - 1 END AS parent FROM customer),
+ok(node, d) AS (SELECT node, 0 FROM n WHERE parent IS NULL UNION ALL SELECT n.node, d + 1 FROM n JOIN ok ON n.parent = ok.node WHERE n.node <> n.parent),
+self AS (SELECT node FROM n WHERE node = parent), lost AS (SELECT node FROM n WHERE parent IS NOT NULL AND parent NOT IN (SELECT node FROM n)),
+hang(node, d) AS (SELECT node, 0 FROM self UNION ALL SELECT node, 0 FROM lost UNION ALL SELECT n.node, d + 1 FROM n JOIN hang ON n.parent = hang.node WHERE n.node <> n.parent)
+SELECT node, 'self' AS fault FROM self UNION ALL SELECT node, 'missing' FROM lost
+UNION ALL SELECT node, 'cycle' FROM n WHERE node NOT IN (SELECT node FROM ok) AND node NOT IN (SELECT node FROM hang)""")
+def hierarchy_validate(spark, d):
+    k = F.col("c_custkey")
+    parent = F.when(k % 97 == 0, F.lit(None)).when(k % 89 == 0, k).when(k % 83 == 0, F.lit(99999999)).when((k % 97 == 1) & (k % 5 == 0), k + 1).otherwise(k - 1)
+    return B.hierarchy_faults(table(spark, d, "customer").select(k.alias("node"), parent.cast("long").alias("parent")))
+
+
+# Content
+
+
+@query("SELECT sha256(coalesce(text, '')) AS hash, CAST(min(strlen(coalesce(text, ''))) AS BIGINT) AS size, count(*) AS refs FROM documents GROUP BY 1")
+def blob_dedup(spark, d):
+    return C.stored_once(table(spark, d, "documents"))
+
+
+@query("SELECT c_custkey, sha256(concat_ws(chr(31), 'V:' || c_custkey, coalesce('V:' || c_name, 'N'), coalesce('V:' || c_nationkey, 'N'), coalesce('V:' || CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE c_mktsegment END, 'N'))) AS hash FROM customer")
+def row_hash(spark, d):
+    rows = table(spark, d, "customer").withColumn("c_mktsegment", F.when(F.col("c_custkey") % 9 != 0, F.col("c_mktsegment")))
+    return rows.select("c_custkey", C.row_hash(["c_custkey", "c_name", "c_nationkey", "c_mktsegment"]).alias("hash"))
+
+
+@query("SELECT DISTINCT sha256(coalesce(text, '')) AS hash FROM documents WHERE sha256(coalesce(text, '')) NOT IN (SELECT sha256(coalesce(text, '')) FROM documents WHERE source IN ('src1', 'src2')) AND sha256(coalesce(text, '')) NOT IN (SELECT sha256(coalesce(text, '')) FROM documents WHERE lang = 'de')")
+def blob_gc(spark, d):
+    docs = table(spark, d, "documents").withColumn("hash", F.sha2(F.coalesce("text", F.lit("")), 256))
+    return C.garbage(docs.select("hash").distinct(), docs.filter("source in ('src1', 'src2')"), docs.filter("lang = 'de'"))
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT o_orderkey AS node, o_orderkey * 2 + 1 AS ref FROM orders UNION ALL SELECT o_orderkey, o_orderkey * 3 + 2 FROM orders WHERE o_orderstatus = 'F'),
+r(node, depth) AS (SELECT o_orderkey, 0 FROM orders WHERE o_orderkey < 3 UNION SELECT e.ref, depth + 1 FROM r JOIN e ON e.node = r.node)
+SELECT node, CAST(min(depth) AS BIGINT) AS depth FROM r GROUP BY 1""")
+def reachable_chunks(spark, d):
+    o = table(spark, d, "orders")
+    edges = o.select(F.col("o_orderkey").alias("node"), (F.col("o_orderkey") * 2 + 1).alias("ref")).unionByName(o.filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("node"), (F.col("o_orderkey") * 3 + 2).alias("ref")))
+    return C.reachable(edges, o.filter("o_orderkey < 3").select(F.col("o_orderkey").alias("node")))
+
+
+@query(BRANCHES + "SELECT branch AS remote, ancestor AS local, depth FROM chain WHERE branch <> ancestor")
+def fast_forward(spark, d):
+    """The moves that a branch may make without a merge: to what inherits from it."""
+    return B.chains(branch_tables(spark, d)[0]).filter("branch <> ancestor").select(F.col("branch").alias("remote"), F.col("ancestor").alias("local"), "depth")
+
+
+@query("SELECT DISTINCT sha256(text) AS hash FROM documents WHERE lang = 'en' AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 2 = 0 AND text IS NOT NULL)")
+def missing_chunks(spark, d):
+    docs = table(spark, d, "documents").filter("text is not null").withColumn("hash", F.sha2("text", 256))
+    return C.missing(docs.filter("lang = 'en'").select("hash").distinct(), docs.filter("doc_id % 2 = 0"))
+
+
+@query(BRANCHES + "SELECT branch, count(*) FILTER (WHERE is_dir) AS folders, count(*) FILTER (WHERE NOT is_dir) AS files, CAST(coalesce(sum(length(hash)), 0) AS BIGINT) AS bytes, count(DISTINCT hash) AS blobs FROM tree GROUP BY 1")
+def tree_stats(spark, d):
+    return B.resolved(*branch_tables(spark, d)).groupBy("branch").agg(
+        F.count_if("is_dir").alias("folders"), F.count_if(~F.col("is_dir")).alias("files"), F.coalesce(F.sum(F.length("hash")), F.lit(0)).cast("long").alias("bytes"), F.countDistinct("hash").alias("blobs")
+    )
+
+
+# Change events
+
+
+@query("SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1 AND event_type <> 'error'")
+def cdc_current_state(spark, d):
+    changes = table(spark, d, "events").select("user_id", "event_id", "event_type", "value")
+    return cdc.current_state(changes, "user_id", "event_id", F.col("event_type") == "error")
+
+
+@query('SELECT event_id, user_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS "before" FROM events')
+def cdc_before_after(spark, d):
+    return cdc.images(table(spark, d, "events").select("event_id", "user_id", "value"), "user_id", "event_id", "value")
+
+
+@query("SELECT user_id, txn, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total FROM (SELECT *, CAST(sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS txn FROM events) GROUP BY 1, 2")
+def cdc_txn(spark, d):
+    rows = cdc.transactions(table(spark, d, "events"), F.col("event_type") == "signup", "user_id", "event_id")
+    return rows.groupBy("user_id", "txn").agg(F.count("*").alias("n"), money("value").alias("total"))
+
+
+@query("SELECT event_type, date_trunc('hour', ts) AS start, count(*) AS n FROM events GROUP BY 1, 2")
+def cdc_event_counts(spark, d):
+    return cdc.windowed_counts(table(spark, d, "events"), "ts", "event_type").select("event_type", "start", "n")
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS iso FROM events")
+def json_extract(spark, d):
+    events = table(spark, d, "events")
+    return events.select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("iso"))
+
+
+# Functions over texts, paths and pages
+
+
+@query("SELECT conv_id, role, count(*) AS n_turns, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations WHERE text IS NOT NULL GROUP BY 1, 2")
+def eav_flatten(spark, d):
+    """Conversations nested into one row each and laid out again."""
+    nested = table(spark, d, "conversations").filter("text is not null").groupBy("conv_id").agg(F.collect_list(F.struct("turn", "role", "text")).alias("turns"))
+    flat = nested.select("conv_id", F.explode("turns").alias("t")).select("conv_id", "t.role", "t.text")
+    return flat.groupBy("conv_id", "role").agg(F.count("*").alias("n_turns"), F.sum(F.length("text")).cast("long").alias("chars"))
+
+
+@query("SELECT conv_id, count(*) FILTER (WHERE role = 'system') AS system, count(*) FILTER (WHERE role = 'user') AS \"user\", count(*) FILTER (WHERE role = 'assistant') AS assistant FROM conversations GROUP BY 1")
+def eav_pivot(spark, d):
+    rows = table(spark, d, "conversations").groupBy("conv_id").pivot("role", ["system", "user", "assistant"]).count()
+    return rows.select("conv_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("system", "user", "assistant")])
+
+
+@query("SELECT p_partkey, CASE WHEN s = '' THEN 'post' ELSE s END AS slug FROM (SELECT p_partkey, trim(regexp_replace(lower(p_name || ' (' || p_brand || ')'), '[^a-z0-9]+', '-', 'g'), '-') AS s FROM part)")
+def slugify(spark, d):
+    return table(spark, d, "part").select("p_partkey", X.slug(F.concat("p_name", F.lit(" ("), "p_brand", F.lit(")"))).alias("slug"))
+
+
+@query("SELECT page_id, host, CASE WHEN n = 1 THEN list_extract(p, 1) ELSE list_extract(p, 1) || '/' || list_extract(p, 2) END AS folder, n FROM (SELECT page_id, lower(regexp_extract(url, '://([^/:?#]*)', 1)) AS host, string_split(trim(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/'), '/') AS p, unnest(range(1, len(string_split(trim(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/'), '/')))) AS n FROM pages) WHERE n <= 2")
+def path_parents(spark, d):
+    path = F.regexp_extract("url", "://[^/?#]*([^?#]*)", 1)
+    rows = table(spark, d, "pages").select("page_id", X.url_host(F.col("url")).alias("host"), F.posexplode(X.parents(path)).alias("at", "folder")).filter("at < 2")
+    return rows.select("page_id", "host", F.substring("folder", 2, 1 << 20).alias("folder"), (F.col("at") + 1).cast("long").alias("n"))
+
+
+@query("SELECT lower(regexp_extract(url, '://([^/:?#]*)', 1)) AS host, count(*) AS n FROM pages GROUP BY 1")
+def url_host(spark, d):
+    return table(spark, d, "pages").groupBy(X.url_host(F.col("url")).alias("host")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, length(text) AS chars, CAST(strlen(text) AS BIGINT) AS bytes, len(string_split(text, chr(10))) AS lines FROM documents WHERE text IS NOT NULL")
+def utf8_validity(spark, d):
+    """Sizes of the documents whose bytes are valid UTF-8 and unchanged by scrubbing: all of them."""
+    raw = F.encode("text", "UTF-8")
+    docs = table(spark, d, "documents").filter("text is not null").filter(F.is_valid_utf8("text") & (F.make_valid_utf8("text") == F.col("text")))
+    return docs.select("doc_id", F.length("text").cast("long").alias("chars"), F.length(raw).cast("long").alias("bytes"), F.size(F.split("text", "\n")).cast("long").alias("lines"))
+
+
+@query("SELECT doc_id, sha256(nfc_normalize(text)) AS hash FROM documents WHERE text IS NOT NULL")
+def nfc_hash(spark, d):
+    return table(spark, d, "documents").filter("text is not null").select("doc_id", F.sha2(X.nfc(F.col("text")), 256).alias("hash"))
+
+
+@query("""SELECT page_id, CAST(len(l) AS BIGINT) AS n, list_extract(l, 1) AS first_link FROM (SELECT page_id, regexp_extract_all(html, '(?i)<a\\s(?:[^>]*?\\s)?href\\s*=\\s*"([^"]*)"', 1) AS l FROM pages)""")
+def html_links(spark, d):
+    found = X.links(F.col("html"))
+    return table(spark, d, "pages").select("page_id", F.size(found).cast("long").alias("n"), F.get(found, F.lit(0)).alias("first_link"))
+
+
+@query("""SELECT page_id, CAST(len(l) AS BIGINT) AS headings, len(l) > 0 AND list_extract(l, 1) <> '1' AS starts_low FROM (SELECT page_id, regexp_extract_all(html, '(?i)<h([1-6])[\\s>]', 1) AS l FROM pages)""")
+def heading_lint(spark, d):
+    levels = X.headings(F.col("html"))
+    return table(spark, d, "pages").select("page_id", F.size(levels).cast("long").alias("headings"), F.coalesce(F.get(levels, F.lit(0)) != 1, F.lit(False)).alias("starts_low"))
+
+
+@query("SELECT doc_id, name FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '_transient_' || source WHEN 1 THEN '_site_transient_' || lang WHEN 2 THEN 'siteurl' ELSE source END AS name FROM documents) WHERE NOT (name IN ('siteurl', 'home') OR starts_with(name, '_transient_') OR starts_with(name, '_site_transient_'))")
+def option_exclusion(spark, d):
+    k = F.col("doc_id") % 4
+    name = F.when(k == 0, F.concat(F.lit("_transient_"), "source")).when(k == 1, F.concat(F.lit("_site_transient_"), "lang")).when(k == 2, "siteurl").otherwise(F.col("source"))
+    return table(spark, d, "documents").select("doc_id", name.alias("name")).filter(~X.is_machine_option(F.col("name")))
+
+
+@query("SELECT page_id, replace(url, 'example.com', 'moved.example.org') AS url, length(html) - length(replace(html, 'example', '')) AS spread FROM pages")
+def site_rewrite(spark, d):
+    """Addresses made a mark and a new site put in its place."""
+    moved = X.with_address(X.with_placeholder(F.col("url"), "example.com/"), "moved.example.org/")
+    gone = X.with_address(X.with_placeholder(F.col("html"), "example"), "")
+    return table(spark, d, "pages").select("page_id", moved.alias("url"), (F.length("html") - F.length(gone)).cast("long").alias("spread"))
+
+
+@query("SELECT doc_id, 'a:2:{s:3:\"url\";s:' || strlen('https://new.example/' || source) || ':\"https://new.example/' || source || '\";i:0;i:' || n_chars || ';}' AS value FROM documents")
+def serialized_rewrite(spark, d):
+    """Addresses inside serialized values, lengths set right."""
+    old = F.concat(F.lit("http://old/"), F.col("source"))
+    value = F.concat(F.lit('a:2:{s:3:"url";s:'), F.length(F.encode(old, "UTF-8")).cast("string"), F.lit(':"'), old, F.lit('";i:0;i:'), F.col("n_chars").cast("string"), F.lit(";}"))
+    return table(spark, d, "documents").select("doc_id", X.rewrite_serialized(value, "http://old/", "https://new.example/").alias("value"))
+
+
+@query("SELECT page_id, regexp_replace(html, '(?is)<script\\b.*?</script\\s*>', '', 'g') AS html FROM pages")
+def html_strip_active(spark, d):
+    return table(spark, d, "pages").select("page_id", X.without_active(F.col("html")).alias("html"))
