@@ -100,7 +100,7 @@ def rendered(posts: DataFrame) -> DataFrame:
 
 def read_feed(spark: SparkSession, path: str) -> DataFrame:
     """The items of an RSS content feed, a row each, columns named without prefixes."""
-    items = spark.read.format("xml").option("rowTag", "item").option("ignoreNamespace", "true").option("inferSchema", "false").load(path)
+    items = spark.read.format("xml").option("rowTag", "item").option("ignoreNamespace", "true").option("excludeAttribute", "true").option("inferSchema", "false").load(path)
     return items
 
 
