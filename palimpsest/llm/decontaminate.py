@@ -20,6 +20,7 @@ block against all documents; other columns are ignored; empty tables give no row
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -157,57 +158,74 @@ def edits_of(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     return int(row.min()), int(row.argmin())
 
 
-def contained(docs: DataFrame, index: Index, edits: int = 20) -> DataFrame:
-    """(doc_id, item, distance, words, end_word): the items that docs(doc_id, text) hold; item counts through index.ids."""
-    shared = docs.sparkSession.sparkContext.broadcast(index)
-
-    def found(batch: pa.RecordBatch) -> pa.RecordBatch:
-        index = shared.value
-        ids = batch.column(0).to_pylist()
-        words, edges = _words(batch.column(1).to_pylist())
-        tail = mixed(np.arange(1, 40, dtype=np.uint64))  # what walks read after the last text
-        long = np.concatenate([words, tail])
-        met: set[tuple[int, int, int]] = set()
-        first: dict[int, np.ndarray] = {}
-        for t in index.tables:
-            stride = max(1, t.width // 4)
-            if stride not in first:
-                first[stride] = np.concatenate([np.arange(a, b, stride) for a, b in zip(edges[:-1], edges[1:])])
-            for start, owner in zip(*t.meet(long, first[stride])):
-                met.add((int(np.searchsorted(edges, start, "right")) - 1, int(owner) >> 32, int(start) - (int(owner) & 0xFFFFFFFF)))
-        best: dict[tuple[int, int], tuple[int, int]] = {}
-        for doc, n, start in sorted(met):
-            item = index.items[n]
-            most = len(item) * edits // 100
-            if best.get((doc, n), (most + 1,))[0] == 0:
-                continue
-            a = max(int(edges[doc]), start - most)
-            passage = words[a : min(int(edges[doc + 1]), max(a, start + len(item) + 2 * most))]
-            if np.isin(item, passage).sum() < len(item) - most:  # fewer words in common than any such stretch has
-                continue
-            distance, end = edits_of(item, passage)
-            if distance <= most and distance < best.get((doc, n), (most + 1,))[0]:
-                best[doc, n] = distance, a + end - int(edges[doc])
-        rows = [(ids[doc], n, d, len(index.items[n]), end) for (doc, n), (d, end) in sorted(best.items())]
-        columns = zip(*rows) if rows else [[]] * 5
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "item", "distance", "words", "end_word"])
-
-    schema = "doc_id long, item long, distance long, words long, end_word long"
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), found, schema, rows=96)
+def held(index: Index, texts: list[str | None], edits: int) -> dict[tuple[int, int], tuple[int, int]]:
+    """(text, item) -> (distance, end word): the items that some texts hold, all by their places."""
+    words, edges = _words(texts)
+    long = np.concatenate([words, mixed(np.arange(1, 40, dtype=np.uint64))])  # what walks read after the last text
+    met: set[tuple[int, int, int]] = set()
+    starts: dict[int, np.ndarray] = {}
+    for t in index.tables:
+        stride = max(1, t.width // 4)
+        if stride not in starts:
+            starts[stride] = np.concatenate([np.arange(a, b, stride) for a, b in zip(edges[:-1], edges[1:])])
+        for start, owner in zip(*t.meet(long, starts[stride])):
+            met.add((int(np.searchsorted(edges, start, "right")) - 1, int(owner) >> 32, int(start) - (int(owner) & 0xFFFFFFFF)))
+    best: dict[tuple[int, int], tuple[int, int]] = {}
+    for doc, n, start in sorted(met):
+        item = index.items[n]
+        most = len(item) * edits // 100
+        if best.get((doc, n), (most + 1,))[0] == 0:
+            continue
+        a = max(int(edges[doc]), start - most)
+        passage = words[a : min(int(edges[doc + 1]), max(a, start + len(item) + 2 * most))]
+        if np.isin(item, passage).sum() < len(item) - most:  # fewer words in common than any such stretch has
+            continue
+        distance, end = edits_of(item, passage)
+        if distance <= most and distance < best.get((doc, n), (most + 1,))[0]:
+            best[doc, n] = distance, a + end - int(edges[doc])
+    return best
+
+
+def _indexes(benchmark: DataFrame, edits: int) -> Iterator[Index]:
+    """The benchmark's indexes, ITEMS items or so in each; one at least."""
+    items = benchmark.select("item_id", "text")
+    blocks = max(1, -(-items.count() // ITEMS))
+    for block in range(blocks):
+        rows = items.filter(F.coalesce(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block, F.lit(block == 0))).orderBy("item_id", "text").collect()
+        yield build_index([r.item_id for r in rows], [r.text for r in rows], edits)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, edits: int = 20) -> DataFrame:
-    """(doc_id, item_id, distance, words, end_word): every benchmark item that a document holds."""
-    spark = docs.sparkSession
-    items = benchmark.select("item_id", "text")
-    blocks, out = max(1, -(-items.count() // ITEMS)), None
-    for block in range(blocks):
-        rows = items.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
-        index = build_index(list(range(len(rows))), [r.text for r in rows], edits)
-        names = spark.createDataFrame([(k, rows[i].item_id) for k, i in enumerate(index.ids)], "item long, item_id long")
-        found = contained(docs, index, edits).join(F.broadcast(names), "item").drop("item")  # ITEMS rows at most, about
-        out = found if out is None else out.unionByName(found)
-    return out.select("doc_id", "item_id", "distance", "words", "end_word")
+    """(doc_id, item_id, distance, words, end_word): every benchmark item that a document of docs(doc_id, text) holds."""
+    out, names = None, ["doc_id", "item_id", "distance", "words", "end_word"]
+    for index in _indexes(benchmark, edits):
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+
+        def found(batch: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
+            index, ids = shared.value, batch.column(0).to_pylist()
+            best = held(index, batch.column(1).to_pylist(), edits)
+            rows = [(ids[doc], index.ids[n], d, len(index.items[n]), end) for (doc, n), (d, end) in sorted(best.items())]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 5)], names=names)
+
+        part = map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), found, ", ".join(f"{n} long" for n in names), rows=96)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, edits: int = 20) -> DataFrame:
+    """The rows of docs, all their columns, whose text holds no benchmark item; nothing is shuffled."""
+    at = docs.columns.index("text")
+    for index in _indexes(benchmark, edits):
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+
+        def clean(batch: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
+            kept = np.ones(batch.num_rows, bool)
+            for doc, _ in held(shared.value, batch.column(at).to_pylist(), edits):
+                kept[doc] = False
+            return batch.filter(pa.array(kept))
+
+        docs = map_batches(docs, clean, docs.schema, rows=96)
+    return docs
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ hash of their id, of up to `longest` characters. Scoring covers every whole text
 
 Defined results: a text that is null or has no letter is `und` with score 0 and no code length; with no learnable row
 at all every text is `und`; equal code lengths go to the first language by name; repeated rows get equal results;
-columns of other names pass through, and columns named lang_pred, score or bits_per_byte are replaced.
+columns of other names pass through, and columns of the results' names are replaced.
 """
 
 from __future__ import annotations
@@ -207,13 +207,13 @@ def _lowest(some: DataFrame, n: int) -> DataFrame:
     return some.filter(F.col("h") <= (bound if bound is not None else 0)).limit(2 * n)
 
 
-def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """docs with lang_pred, score (0 to 1) and bits_per_byte in the language found."""
-    docs = docs.drop("lang_pred", "score", "bits_per_byte")
+def identify(docs: DataFrame, model: LanguageModel, outs: tuple[str, str, str] = ("lang_pred", "score", "bits_per_byte")) -> DataFrame:
+    """docs with the language found, a score (0 to 1) and the bits a byte takes in that language, in columns named by outs."""
+    docs = docs.drop(*outs)
     names, at = docs.columns, docs.columns.index("text")
-    added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())]
+    added = [T.StructField(n, kind) for n, kind in zip(outs, (T.StringType(), T.DoubleType(), T.DoubleType()))]
     if not model.languages:
-        return docs.withColumns({"lang_pred": F.lit(UND), "score": F.lit(0.0), "bits_per_byte": F.lit(None).cast("double")})
+        return docs.withColumns(dict(zip(outs, (F.lit(UND), F.lit(0.0), F.lit(None).cast("double")))))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def found(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -231,7 +231,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
         pred = np.where(worded, np.array(model.languages, object)[best], UND)
         rate = least / np.maximum(1, [len(t) for t in texts])
         added = [pa.array(pred, pa.string()), pa.array(np.where(worded, score, 0.0)), pa.array(rate, mask=~worded)]
-        return pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*names, "lang_pred", "score", "bits_per_byte"])
+        return pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*names, *outs])
 
     return map_batches(docs, found, T.StructType([*docs.schema.fields, *added]))
 

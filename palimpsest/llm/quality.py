@@ -11,7 +11,8 @@ whole text, row by row, with no shuffle.
 
 Defined results: a null text scores as an empty one, which has a score too (what the length alone says); labels other
 than 0 and 1 are not learned; without labels of both classes every score is the share of good labels, or 0.5 if there
-are none; repeated rows get equal scores; other columns, whatever their names, pass through untouched.
+are none; repeated rows get equal scores; other columns pass through untouched, one of the result's name is
+replaced.
 """
 
 from __future__ import annotations
@@ -100,13 +101,13 @@ def fit_quality(labelled: DataFrame, docs: DataFrame, per_class: int = 2000, lon
     return QualityModel(made[1], made[0], tuple(weights), prior)
 
 
-def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
-    """docs with score, the probability of label 1; the texts go to Python, nothing is shuffled."""
-    docs = docs.drop("score")
+def score_quality(docs: DataFrame, model: QualityModel, name: str = "score") -> DataFrame:
+    """docs with the probability of label 1 as column `name`; the texts go to Python, nothing is shuffled."""
+    docs = docs.drop(name)
     columns = docs.columns
     if not model.weights:
-        return docs.withColumn("score", F.lit(float(model.prior)))
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
+        return docs.withColumn(name, F.lit(float(model.prior)))
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
     at = columns.index("text")
 
     def scored(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -114,7 +115,7 @@ def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
         weights = np.array(model.weights)
         rows = np.array([features((t or "").encode("utf-8", "surrogatepass"), *tools) for t in batch.column(at).to_pylist()])
         p = 1 / (1 + np.exp(-np.clip(rows @ weights, -30, 30)))
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], names=[*columns, "score"])
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], names=[*columns, name])
 
     return map_batches(docs, scored, schema)
 
