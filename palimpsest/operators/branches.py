@@ -109,3 +109,18 @@ def hierarchy_faults(nodes: DataFrame, rounds: int = 64) -> DataFrame:
             return own.unionByName(lost).unionByName(after.select("node", F.lit("cycle").alias("fault")))
         jump = after
     raise ValueError(f"chains longer than 2 ** {rounds}")
+
+
+def nested_paths(posts: DataFrame) -> DataFrame:
+    """(id, path) of posts(id, slug, up): folders named id-slug inside the folder of the post whose slug is `up`.
+
+    Slugs that name a parent must belong to one post; posts whose parents lead to no root have no path.
+    """
+    spark = posts.sparkSession
+    posts.createOrReplaceTempView("palimpsest_posts")
+    return spark.sql(f"""
+        WITH RECURSIVE placed(id, slug, path) MAX RECURSION LEVEL {DEPTH} AS (
+          SELECT id, slug, concat('/', id, '-', slug) FROM palimpsest_posts WHERE up IS NULL
+          UNION ALL
+          SELECT n.id, n.slug, concat(p.path, '/', n.id, '-', n.slug) FROM palimpsest_posts n JOIN placed p ON n.up = p.slug
+        ) SELECT id, concat(path, '/index.md') AS path FROM placed""")

@@ -61,30 +61,28 @@ class VersionedTable:
             return self.base
         return apply_net(self.base, fold(self.ops, list(self.keys), self.base.columns), list(self.keys))
 
-    def _write(self, op: str, rows: DataFrame, changed: list[str], old: DataFrame | None) -> VersionedTable:
-        """Appends one statement's rows, with the rows they meet as JSON, to the log: a small table of its own."""
-        seq, columns = self.seq + 1, self.base.columns
-        log = rows.select(F.lit(seq).cast("long").alias("seq"), F.lit(op).alias("op"), F.array(*map(F.lit, changed)).cast("array<string>").alias("changed"), *columns)
-        if old is None:
-            log = log.withColumn("old_row", F.lit(None).cast("string"))
-        else:
-            before = old.select(*[F.col(k).alias(f"_{k}") for k in self.keys], F.to_json(F.struct(*columns)).alias("old_row"))
-            log = log.join(before, reduce(lambda x, y: x & y, (log[k].eqNullSafe(before[f"_{k}"]) for k in self.keys)), "left").drop(*[f"_{k}" for k in self.keys])
-        log = written(log, "oplog")
+    def _write(self, op: str, rows: DataFrame, changed: list[str]) -> VersionedTable:
+        """Appends one statement's rows, each with the row it meets as JSON (old_row), to the log: a small table of its own."""
+        seq = self.seq + 1
+        said = [F.lit(seq).cast("long").alias("seq"), F.lit(op).alias("op"), F.array(*map(F.lit, changed)).cast("array<string>").alias("changed")]
+        log = written(rows.select(*said, *self.base.columns, "old_row"), "oplog")
         return replace(self, ops=log if self.ops is None else self.ops.unionByName(log), seq=seq)
 
+    def _met(self, where: Column) -> DataFrame:
+        return self.read().filter(where).withColumn("old_row", F.to_json(F.struct(*self.base.columns)))
+
     def insert(self, rows: DataFrame) -> VersionedTable:
         """Whole rows; one that meets a key replaces what is there (REPLACE and upsert are the same)."""
-        return self._write("I", rows, [c for c in self.base.columns if c not in self.keys], self.read())
+        rows, old = rows.alias("r"), self._met(F.lit(True)).alias("o")
+        meets = reduce(lambda x, y: x & y, (F.col(f"r.{k}").eqNullSafe(F.col(f"o.{k}")) for k in self.keys))
+        return self._write("I", rows.join(old, meets, "left").select("r.*", "o.old_row"), [c for c in self.base.columns if c not in self.keys])
 
     def update(self, where: Column, sets: dict[str, Column]) -> VersionedTable:
         """Sets columns in all rows that match; keys can't be set."""
-        now = self.read()
-        return self._write("U", now.filter(where).withColumns(sets), list(sets), now)
+        return self._write("U", self._met(where).withColumns(sets), list(sets))
 
     def delete(self, where: Column) -> VersionedTable:
-        now = self.read()
-        return self._write("D", now.filter(where), [], now)
+        return self._write("D", self._met(where), [])
 
     def truncate(self) -> VersionedTable:
         return self.delete(F.lit(True))

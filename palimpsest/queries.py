@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.functions import lines as L
 from palimpsest.functions import text as X
 from palimpsest.operators import branches as B
 from palimpsest.operators import content as C
@@ -316,13 +317,13 @@ def branch_reset(spark, d):
     return B.resolved(branches, B.reset(wrong, branches, name, snap)).filter(F.col("branch") == name).select("path", "hash", "is_dir")
 
 
-@query(BRANCHES + "SELECT branch, count(*) AS files, count(DISTINCT path) AS paths FROM tree GROUP BY 1")
+LINE = "sha256(path || chr(31) || coalesce(hash, '') || chr(31) || CASE WHEN is_dir THEN 'true' ELSE 'false' END)"
+LANES = " || '-' || ".join(f"CAST(sum(CAST('0x' || substr(line, {8 * k + 1}, 8) AS UBIGINT)) AS VARCHAR)" for k in range(4))
+
+
+@query(BRANCHES + f", l AS (SELECT branch, {LINE} AS line FROM tree) SELECT branch, sha256({LANES}) AS digest, count(*) AS files FROM l GROUP BY 1")
 def tree_digest(spark, d):
-    """Each branch's files, its digest checked against that of the same rows dealt out otherwise."""
-    tree = B.resolved(*branch_tables(spark, d))
-    again = B.tree_digest(tree.repartition(7, "path")).select("branch", F.col("digest").alias("other"))
-    paths = tree.groupBy("branch").agg(F.countDistinct("path").alias("paths"))
-    return B.tree_digest(tree).join(again, "branch").filter("digest = other").join(paths, "branch").select("branch", "files", "paths")
+    return B.tree_digest(B.resolved(*branch_tables(spark, d)))
 
 
 @query("""
@@ -396,6 +397,40 @@ def tree_stats(spark, d):
     )
 
 
+@query("""
+WITH RECURSIVE n AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 10 = 0 THEN NULL ELSE 'customer-' || (c_custkey - c_custkey % 10 + (c_custkey % 10) // 3) END AS up, 'customer-' || c_custkey AS slug FROM customer),
+p AS (SELECT id, slug, '/' || id || '-' || slug AS path FROM n WHERE up IS NULL UNION ALL SELECT n.id, n.slug, p.path || '/' || n.id || '-' || n.slug FROM n JOIN p ON n.up = p.slug)
+SELECT id, path || '/index.md' AS path FROM p""")
+def nested_paths(spark, d):
+    """Customers as posts whose parents are named by slug: each one's place in a nested folder."""
+    k = F.col("c_custkey")
+    up = F.when(k % 10 != 0, F.concat(F.lit("customer-"), (k - k % 10 + F.floor((k % 10) / 3)).cast("string")))
+    posts = table(spark, d, "customer").select(k.alias("id"), F.concat(F.lit("customer-"), k.cast("string")).alias("slug"), up.alias("up"))
+    return B.nested_paths(posts)
+
+
+@query("SELECT o_orderkey, sum(CASE WHEN line LIKE '+%' THEN 1 ELSE 0 END)::BIGINT AS added, sum(CASE WHEN line LIKE '-%' THEN 1 ELSE 0 END)::BIGINT AS removed FROM (SELECT o_orderkey, unnest(CASE WHEN o_orderkey % 3 = 0 THEN [' a', '-' || o_orderstatus, '+' || o_orderpriority] WHEN o_orderkey % 3 = 1 THEN [' a', ' s', '+new'] ELSE [' a', ' s'] END) AS line FROM orders) GROUP BY 1")
+def line_diffs(spark, d):
+    """Two versions of a small text for each order, by lines."""
+    k = F.col("o_orderkey") % 3
+    before = F.concat_ws("\n", F.lit("a"), "o_orderstatus")
+    after = F.when(k == 0, F.concat_ws("\n", F.lit("a"), "o_orderpriority")).when(k == 1, F.concat_ws("\n", before, F.lit("new"))).otherwise(before)
+    lines = F.split(L.line_diff(before, after), "\n")
+    count = lambda mark: F.size(F.filter(lines, lambda x: x.startswith(mark))).cast("long")
+    return table(spark, d, "orders").select("o_orderkey", count("+").alias("added"), count("-").alias("removed"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'a' || chr(10) || 'ours' || chr(10) || 'c' || chr(10) || 'theirs' WHEN o_orderkey % 4 = 1 THEN 'a' || chr(10) || 'same' ELSE NULL END AS text, o_orderkey % 4 > 1 AS conflict FROM orders")
+def line_merges(spark, d):
+    """Three versions of a small text for each order, merged by lines; the merged text where there is no conflict."""
+    k, text = F.col("o_orderkey") % 4, lambda *lines: F.lit("\n".join(lines))
+    base, same = text("a", "b", "c", "d"), text("a", "same")
+    ours = F.when(k == 1, same).otherwise(text("a", "ours", "c", "d"))
+    theirs = F.when(k == 0, text("a", "b", "c", "theirs")).when(k == 1, same).otherwise(text("a", "other", "c", "d"))
+    rows = table(spark, d, "orders").select("o_orderkey", L.line_merge(base, ours, theirs).alias("m"))
+    return rows.select("o_orderkey", F.when(~F.col("m.conflict"), F.col("m.text")).alias("text"), "m.conflict")
+
+
 # Change events
 
 

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from palimpsest.operators import branches as B
 from palimpsest.operators import content as C
+from palimpsest.functions import lines as L
 from palimpsest.operators import diff as D
+from palimpsest.operators import sync
 from palimpsest.streaming import cdc
 
 
@@ -140,3 +142,26 @@ def test_gaps_are_told_apart(spark, tmp_path):
     (tmp_path / "e.json").write_text('{"event":"row","error":"gap"}\n{"event":"row","rows":["{}","{}"]}\n')
     events = cdc.read_events(spark, str(tmp_path))
     assert cdc.gaps(events).count() == 1 and cdc.row_changes(events).count() == 2
+
+
+def test_push_copies_what_is_missing_once(spark, tmp_path):
+    chunks = spark.createDataFrame([("r2", b"2", ["t", "u"]), ("r1", b"1", ["t"]), ("t", b"t", []), ("u", b"u", []), ("x", b"x", [])], "hash string, data binary, refs array<string>")
+    have = chunks.filter("hash in ('r1', 't')")
+    moved = sync.to_copy(chunks, have, "r2")
+    assert {r.hash: r.depth for r in moved.collect()} == {"r2": 0, "u": 1}
+    assert sync.to_copy(chunks, have.unionByName(moved.drop("depth")), "r2").count() == 0
+    commits = spark.createDataFrame([("c1", []), ("c2", ["c1"]), ("c3", ["c2", "x"])], "hash string, parents array<string>")
+    assert sync.descends(commits, "c3", "c1") and not sync.descends(commits, "c1", "c3") and sync.descends(commits, "c2", None)
+    refs = sync.Refs(spark, str(tmp_path))
+    assert refs.get("main") is None and refs.compare_and_set("main", None, "c1") and refs.get("main") == "c1"
+    assert not refs.compare_and_set("main", None, "c2") and refs.compare_and_set("main", "c1", "c2") and refs.get("main") == "c2"
+
+
+def test_line_merge():
+    split = lambda s: s.split()
+    assert L.merge_lines(split("a b c d"), split("a x c d"), split("a b c y")) == (split("a x c y"), False)
+    assert L.merge_lines(split("a b c"), split("a x c"), split("a x c")) == (split("a x c"), False)
+    lines, conflict = L.merge_lines(split("a b c"), split("a x c"), split("a y c"))
+    assert conflict and lines == ["a", "<<<<<<< ours", "x", "=======", "y", ">>>>>>> theirs", "c"]
+    assert L.merge_lines([], ["n"], []) == (["n"], False) and L.merge_lines(["a"], [], ["a"]) == ([], False)
+    assert L.diff_lines(split("a b"), split("a c")) == [" a", "-b", "+c"]
