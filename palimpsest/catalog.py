@@ -2,4 +2,4 @@
 
 from __future__ import annotations
 
-from palimpsest.queries import QUERIES, SQL
+from palimpsest.plans.queries import QUERIES, SQL
