@@ -4,7 +4,7 @@ A paragraph (a line of text) is the set of its words and word pairs. A multinomi
 penalty is trained on the notices below, as they stand and within other words, against paragraphs of the corpus and
 sentences that only sound alike (the class `unknown`). The penalty leaves weights on few n-grams; these are a small
 table, joined to the n-grams of all paragraphs of all documents, so paragraphs without any of them (nearly all) drop
-out at the join, as what they are: unknown. The unknown class is calibrated by the margins of the learning rows: scale
+out at the join, as what they are: unknown; words common in the corpus are no features. The unknown class is calibrated by the margins of the learning rows: scale
 and shift put the surest of the unknown at 5 percent and the least sure notice at 95. A paragraph that the regression gives to a family is confirmed if it holds at
 least `confirm` of the n-grams of one of the family's notices.
 
@@ -18,6 +18,7 @@ other columns are ignored.
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer
@@ -82,6 +83,8 @@ DECOYS = [
 ]
 AROUND = ["{}", "This project: {}", "Copyright (c) 2019 Jane Doe. {}", "{} See the file for details.", "Notice. {} Thank you for reading this page."]
 UNKNOWN = "unknown"
+#: N-grams that more than this share of the drawn corpus paragraphs have say nothing about licences and are no features.
+COMMON = 0.005
 
 
 def grams(text: Column) -> Column:
@@ -113,18 +116,21 @@ def fit_licenses(docs: DataFrame, unknowns: int = 600) -> DataFrame:
     for notice in all_notices:
         drawn = drawn.filter(~F.contains("text", F.lit(notice)))
     drawn = drawn.orderBy("h", "text").limit(unknowns).select(F.lit(0.0).alias("label"), "text")
-    rows = spark.createDataFrame(known, "label double, text string").unionByName(drawn).select("label", grams(F.col("text")).alias("grams")).coalesce(1).cache()
+    trained = spark.createDataFrame(known, "label double, text string").unionByName(drawn).select("label", grams(F.col("text")).alias("grams")).collect()  # a bounded number of rows
+    others = [r.grams for r in trained[len(known) :]]
+    seen = Counter(g for gs in others for g in gs)
+    common = {g for g, n in seen.items() if n > len(others) * COMMON}
+    trained = [(r.label, [g for g in r.grams if g not in common]) for r in trained]
+    rows = spark.createDataFrame(trained, "label double, grams array<string>").coalesce(1)
     counts = CountVectorizer(inputCol="grams", outputCol="features", binary=True, minDF=1.0, vocabSize=1 << 16).fit(rows)
     model = LogisticRegression(family="multinomial", elasticNetParam=1.0, regParam=0.0005, maxIter=50, tol=1e-5, standardization=False).fit(counts.transform(rows))
-    trained = rows.collect()  # the notices, the decoys and the drawn paragraphs
-    rows.unpersist()
     weights, start = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
     # Calibration: scale and shift, so that the surest unknown paragraph and the least sure notice stand at 5 and 95 percent.
     place = {g: n for n, g in enumerate(counts.vocabulary)}
     margins: dict[bool, list[float]] = {True: [], False: []}
-    for row in trained:
-        logits = start + weights[:, [place[g] for g in row.grams]].sum(1)
-        margins[row.label > 0].append(float(logits[1:].max() - logits[0]))
+    for label, own in trained:
+        logits = start + weights[:, [place[g] for g in own]].sum(1)
+        margins[label > 0].append(float(logits[1:].max() - logits[0]))
     low, high = _quantile(margins[False], 0.995), _quantile(margins[True], 0.005)
     scale = 2 * math.log(19) / max(high - low, 0.5)
     weights, start = weights * scale, start * scale
@@ -138,15 +144,17 @@ def scan_licenses(docs: DataFrame, weights: DataFrame, confirm: float = 0.8) ->
     spark, families = docs.sparkSession, [UNKNOWN, *NOTICES]
     start = weights.filter("gram = ''").first().weights
     spoken = paragraphs(docs).withColumn("grams", grams(F.col("text")))
-    met = spoken.select("row", "paragraph", F.explode("grams").alias("gram")).join(F.broadcast(weights.filter("gram <> ''")), "gram")  # as many rows as NOTICES has n-grams, at most
-    logits = met.groupBy("row", "paragraph").agg(*[(F.sum(F.get("weights", F.lit(k))) + start[k]).alias(f"l{k}") for k in range(len(families))])
+    said = spoken.select("row", "doc_id", "paragraph", "text", F.explode("grams").alias("gram"))
+    met = said.join(F.broadcast(weights.filter("gram <> ''")), "gram")  # as many rows as NOTICES has n-grams, at most
+    sums = [(F.sum(F.get("weights", F.lit(k))) + start[k]).alias(f"l{k}") for k in range(len(families))]
+    logits = met.groupBy("row", "paragraph").agg(*sums, F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
     names = [F.struct(F.col(f"l{k}").alias("logit"), F.lit(f).alias("family")) for k, f in enumerate(families)]
-    top = logits.select("row", "paragraph", F.array(*names).alias("all")).withColumn("best", F.array_max("all")).filter(F.col("best.family") != UNKNOWN)
+    top = logits.select("row", "doc_id", "paragraph", "text", F.array(*names).alias("all")).withColumn("best", F.array_max("all")).filter(F.col("best.family") != UNKNOWN)
     total = F.aggregate("all", F.lit(0.0), lambda t, x: t + F.exp(x["logit"] - F.col("best.logit")))
-    found = top.select("row", "paragraph", "best.family", (1 / total).alias("probability"))
+    found = top.select("row", "doc_id", "paragraph", grams(F.col("text")).alias("grams"), "best.family", (1 / total).alias("probability"))
     notices = spark.createDataFrame([(f, n) for f, own in NOTICES.items() for n in own], "family string, notice string")
     notices = notices.select("family", grams(F.col("notice")).alias("own"))
-    texts = spoken.join(found, ["row", "paragraph"]).join(F.broadcast(notices), "family")
+    texts = found.join(F.broadcast(notices), "family")
     alike = F.size(F.array_intersect("grams", "own")) / F.size("own")
     out = texts.groupBy("row", "doc_id", "paragraph", "family", "probability").agg(F.max(alike).alias("likeness"))
     return out.select("doc_id", "paragraph", "family", "probability", (F.col("likeness") >= confirm).alias("confirmed"), "likeness")
