@@ -16,4 +16,9 @@ QUERIES = {
     "op9_chat_format": chat_format.op9_chat_format,
     "op10_embedding_dedup": embedding_dup.op10_embedding_dedup,
 }
-SQL = {"op3_url_filter": url_filter.SQL, "op9_chat_format": chat_format.SQL}
+SQL = {
+    "op2_near_dedup": near_dup.SQL,
+    "op3_url_filter": url_filter.SQL,
+    "op9_chat_format": chat_format.SQL,
+    "op10_embedding_dedup": embedding_dup.SQL,
+}
