@@ -3,12 +3,15 @@
 A paragraph (a line of text) is the set of its words and word pairs. A multinomial logistic regression with an L1
 penalty is trained on the notices below, as they stand and within other words, against paragraphs of the corpus and
 sentences that only sound alike (the class `unknown`). The penalty leaves weights on few n-grams; these are a small
-table, joined to the n-grams of all paragraphs of all documents, so paragraphs without any of them (nearly all) drop
-out at the join, as what they are: unknown; words common in the corpus are no features. The unknown class is calibrated by the margins of the learning rows: scale
-and shift put the surest of the unknown at 5 percent and the least sure notice at 95. A paragraph that the regression gives to a family is confirmed if it holds at
-least `confirm` of the n-grams of one of the family's notices.
+table. Each weight that speaks for a family has a hint, its n-gram's rarer word; the words of all paragraphs of all
+documents are joined with the hints, and paragraphs without any (nearly all) drop out there, as what they are: unknown.
+The others' n-grams are joined with the weights. Words common in the corpus are no features. The unknown class is
+calibrated by the margins of the learning rows: scale and shift put the surest of the unknown at 5 percent and the least
+sure notice at 95. A paragraph that the regression gives to a family is confirmed if it holds at least `confirm` of the
+n-grams of one of the family's notices.
 
-Learning takes a bounded sample of `unknowns` corpus paragraphs, in the order of a hash of their text.
+Learning takes a bounded sample of at most `unknowns` corpus paragraphs, from documents in the order of a hash of their
+text.
 
 Defined results: a null or empty text has no paragraphs; a row per paragraph found, so a document without licences has
 no row; repeated rows of one doc_id are scanned one by one; a null doc_id is passed on; an empty table gives no rows;
@@ -105,17 +108,16 @@ def _quantile(values: list[float], q: float) -> float:
 
 
 def fit_licenses(docs: DataFrame, unknowns: int = 600) -> DataFrame:
-    """(gram, weights): the regression's few weights, an array in the order of the families, unknown first; gram '' is the intercept."""
+    """(gram, weights, hint): the regression's few weights, an array in the order of the families, unknown first; gram '' is the intercept."""
     spark = docs.sparkSession
     families = [UNKNOWN, *NOTICES]
     known = [(float(k), around.format(n)) for k, f in enumerate(families[1:], 1) for n in NOTICES[f] for around in AROUND]
     known += [(0.0, around.format(d)) for d in DECOYS for around in AROUND]
-    whole = paragraphs(docs)
-    all_notices = [n for notices in NOTICES.values() for n in notices]
-    drawn = whole.select("text", F.xxhash64("text").alias("h")).filter(F.length("text") <= 4096)
-    for notice in all_notices:
+    some = docs.filter(F.length("text").between(1, 32_768)).select("doc_id", "text").orderBy(F.xxhash64("text"), "text").limit(unknowns // 4)
+    drawn = paragraphs(some).filter(F.length("text") <= 4096)
+    for notice in (n for own in NOTICES.values() for n in own):
         drawn = drawn.filter(~F.contains("text", F.lit(notice)))
-    drawn = drawn.orderBy("h", "text").limit(unknowns).select(F.lit(0.0).alias("label"), "text")
+    drawn = drawn.orderBy("row", "paragraph").limit(unknowns).select(F.lit(0.0).alias("label"), "text")
     trained = spark.createDataFrame(known, "label double, text string").unionByName(drawn).select("label", grams(F.col("text")).alias("grams")).collect()  # a bounded number of rows
     others = [r.grams for r in trained[len(known) :]]
     seen = Counter(g for gs in others for g in gs)
@@ -135,16 +137,25 @@ def fit_licenses(docs: DataFrame, unknowns: int = 600) -> DataFrame:
     scale = 2 * math.log(19) / max(high - low, 0.5)
     weights, start = weights * scale, start * scale
     start[0] += scale * (low + high) / 2
-    table_rows = [(g, weights[:, n].tolist()) for n, g in enumerate(counts.vocabulary) if abs(weights[:, n]).max() > 1e-9]
-    return spark.createDataFrame([("", start.tolist()), *table_rows], "gram string, weights array<double>")
+    kept = [(g, weights[:, n].tolist(), _hint(g, seen)) for n, g in enumerate(counts.vocabulary) if abs(weights[:, n]).max() > 1e-9]
+    return spark.createDataFrame([("", start.tolist(), ""), *kept], "gram string, weights array<double>, hint string")
+
+
+def _hint(gram: str, seen: Counter) -> str:
+    """The rarer word of a pair, in the paragraphs drawn: whatever holds the pair holds it."""
+    return min(gram.split(" "), key=lambda w: (seen[w], -len(w), w))
 
 
 def scan_licenses(docs: DataFrame, weights: DataFrame, confirm: float = 0.8) -> DataFrame:
     """(doc_id, paragraph, family, probability, confirmed, likeness): the paragraphs of docs(doc_id, text) that name a licence."""
     spark, families = docs.sparkSession, [UNKNOWN, *NOTICES]
     start = weights.filter("gram = ''").first().weights
-    spoken = paragraphs(docs).withColumn("grams", grams(F.col("text")))
-    said = spoken.select("row", "doc_id", "paragraph", "text", F.explode("grams").alias("gram"))
+    pieces = F.split(F.lower("text"), "[^a-z0-9]+")  # a word of ASCII letters and digits is a piece, whatever stands around it
+    helpful = F.exists(F.slice("weights", 2, len(NOTICES)), lambda w: w > F.get("weights", F.lit(0)))  # others lead no paragraph away from unknown
+    hints = weights.filter((F.col("gram") != "") & helpful).select(F.col("hint").alias("piece")).distinct()
+    near = paragraphs(docs).select("row", "doc_id", "paragraph", "text", F.explode(pieces).alias("piece")).join(F.broadcast(hints), "piece")
+    near = near.groupBy("row", "paragraph").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
+    said = near.select("row", "doc_id", "paragraph", "text", F.explode(grams(F.col("text"))).alias("gram"))
     met = said.join(F.broadcast(weights.filter("gram <> ''")), "gram")  # as many rows as NOTICES has n-grams, at most
     sums = [(F.sum(F.get("weights", F.lit(k))) + start[k]).alias(f"l{k}") for k in range(len(families))]
     logits = met.groupBy("row", "paragraph").agg(*sums, F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
