@@ -240,6 +240,17 @@ def test_page_text(page, text):
     assert text_of(page) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<html><head><title>t</title><body><article><p>Hello world", "Hello world"), ("<head><title>t</title><p>one<p>two", "one two"),
+    ("<head><meta charset='x'><style>a</style></head>b", "b"), ("<p>one</p><svg width=\"1\"/><p>two</p>", "one two"), ("<p>one<iframe/><p>two<iframe src='x'></iframe>", "one two"),
+    ("<p>a<script src='x' />b()</script>c", "ac"), ("<p>a<svg><path d='x'/><text>no</text></svg>b", "ab"), ("<p>a<button>no<p>b<button>no</button>", "a b"),
+    ("<p>a<select><option>no<p>b", "a b"), ("<title>no<body>a", "a"), ("<p>a<script>no<p>no", "a"), ("<header-x>a</header-x>", "a"),
+    ("<main><p>one</p><article>card</article><p>two</p></main><p>no", "one card two"), ("<article>a</article><p>no", "a"), ("<div role=main>a<article>b</article></div>", "a b"),
+])
+def test_page_text_with_missing_ends_and_main_beside_article(page, text):
+    assert text_of(page) == text
+
+
 def test_common_lines_is_a_longest_common_subsequence():
     rng = random.Random(5)
     for _ in range(200):
