@@ -1,6 +1,10 @@
 """Licence scan in DataFrame functions alone: a sparse logistic regression over word n-grams, confirmed by templates.
 
-A paragraph (a line of text) is the set of its words and word pairs. A multinomial logistic regression with an L1
+A paragraph (a line of text) is the set of its words and word pairs. Notices wrapped over several lines are found as well:
+at every line break but those at blank lines, the last words of the line and the first of the lines after it, as many
+of either as the longest notice has, are one more paragraph, numbered after its first line. It counts where it is likelier
+than each line in it that names a licence, and then stands for those lines; of two such paragraphs with a line in common
+the likelier counts. A multinomial logistic regression with an L1
 penalty is trained on the notices below, as they stand and within other words, against paragraphs of the corpus and
 sentences that only sound alike (the class `unknown`). The penalty leaves weights on few n-grams; these are a small
 table. Each weight that speaks for a family has a hint, its n-gram's rarer word; the words of all paragraphs of all
@@ -13,7 +17,8 @@ n-grams of one of the family's notices.
 Learning takes a bounded sample of at most `unknowns` corpus paragraphs, from documents in the order of a hash of their
 text.
 
-Defined results: a null or empty text has no paragraphs; a row per paragraph found, so a document without licences has
+Defined results: a null or empty text has no paragraphs; a blank line is white space only, and lines without letters or
+digits (rulers, comment marks) are passed over; a row per paragraph found, so a document without licences has
 no row; repeated rows of one doc_id are scanned one by one; a null doc_id is passed on; an empty table gives no rows;
 other columns are ignored.
 """
@@ -21,6 +26,7 @@ other columns are ignored.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 
 from pyspark.ml.classification import LogisticRegression
@@ -103,6 +109,38 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     return rows.select("row", "doc_id", F.posexplode("lines").alias("paragraph", "text")).filter(F.trim("text") != "")
 
 
+#: The most words that any of NOTICES has.
+LONGEST = max(len([w for w in re.split(r"[\W_]+", n) if w]) for own in NOTICES.values() for n in own)
+
+
+def passages(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, paragraph, last, text): the lines of docs(doc_id, text), and around each break within a block the words of `paragraph` to `last`."""
+    words = lambda x: F.filter(F.split(x, r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    read = lambda x, n: F.struct(n.alias("n"), x.alias("text"), F.slice(words(x), 1, LONGEST).alias("head"))
+    worded = lambda s: (F.size(s["head"]) > 0) | ~s["text"].rlike(r"\S")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.filter(F.transform(F.split("text", "\n"), read), worded).alias("lines"))
+    start = F.struct(F.array().cast("array<string>").alias("words"), F.lit(-1).alias("last"), F.lit(False).alias("done"))
+
+    def further(a: Column, s: Column) -> Column:
+        blank = F.size(s["head"]) == 0
+        more = F.struct(F.concat(a["words"], s["head"]).alias("words"), s["n"].alias("last"), (F.size(a["words"]) + F.size(s["head"]) >= LONGEST).alias("done"))
+        return F.when(a["done"] | blank, F.struct(a["words"].alias("words"), a["last"].alias("last"), F.lit(True).alias("done"))).otherwise(more)
+
+    after = lambda s, k: F.struct(s["n"].alias("n"), s["text"].alias("text"), F.aggregate(F.slice("lines", k + 2, LONGEST), start, further).alias("after"))
+    lines = rows.select("row", "doc_id", F.explode(F.transform("lines", after)).alias("s")).select("row", "doc_id", F.col("s.n").alias("paragraph"), "s.text", "s.after").filter(r"text rlike '\\S'")
+    own = words(F.col("text"))
+    joined = F.array_join(F.concat(F.slice(own, F.greatest(F.size(own) - LONGEST + 1, F.lit(1)), F.lit(LONGEST)), F.slice("after.words", 1, LONGEST)), " ")
+    line = F.struct(F.col("paragraph").alias("last"), F.col("text"))
+    wrapped = F.when(F.col("after.last") >= 0, F.struct(F.col("after.last").alias("last"), joined.alias("text")))
+    return lines.select("row", "doc_id", "paragraph", F.explode(F.array_compact(F.array(line, wrapped))).alias("p")).select("row", "doc_id", "paragraph", "p.last", "p.text")
+
+
+def _notices(spark: SparkSession) -> DataFrame:
+    """(family, own): each notice's n-grams."""
+    notices = spark.createDataFrame([(f, n) for f, own in NOTICES.items() for n in own], "family string, notice string")
+    return notices.select("family", grams(F.col("notice")).alias("own"))
+
+
 def _quantile(values: list[float], q: float) -> float:
     return sorted(values)[min(len(values) - 1, int(q * len(values)))]
 
@@ -117,6 +155,8 @@ def fit_licenses(docs: DataFrame, unknowns: int = 600) -> DataFrame:
     drawn = paragraphs(some).filter(F.length("text") <= 4096)
     for notice in (n for own in NOTICES.values() for n in own):
         drawn = drawn.filter(~F.contains("text", F.lit(notice)))
+    own = F.col("grams")  # nor the lines of a wrapped notice
+    drawn = drawn.withColumn("grams", grams(F.col("text"))).join(F.broadcast(_notices(spark)), F.size(F.array_except(own, "own")) <= F.size(own) * 0.2, "left_anti")
     drawn = drawn.orderBy("row", "paragraph").limit(unknowns).select(F.lit(0.0).alias("label"), "text")
     trained = spark.createDataFrame(known, "label double, text string").unionByName(drawn).select("label", grams(F.col("text")).alias("grams")).collect()  # a bounded number of rows
     others = [r.grams for r in trained[len(known) :]]
@@ -153,24 +193,34 @@ def scan_licenses(docs: DataFrame, weights: DataFrame, confirm: float = 0.8) ->
     pieces = F.split(F.lower("text"), "[^a-z0-9]+")  # a word of ASCII letters and digits is a piece, whatever stands around it
     helpful = F.exists(F.slice("weights", 2, len(NOTICES)), lambda w: w > F.get("weights", F.lit(0)))  # others lead no paragraph away from unknown
     hints = weights.filter((F.col("gram") != "") & helpful).select(F.col("hint").alias("piece")).distinct()
-    near = paragraphs(docs).select("row", "doc_id", "paragraph", "text", F.explode(pieces).alias("piece")).join(F.broadcast(hints), "piece")
-    near = near.groupBy("row", "paragraph").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
-    said = near.select("row", "doc_id", "paragraph", "text", F.explode(grams(F.col("text"))).alias("gram"))
+    near = passages(docs).select("row", "doc_id", "paragraph", "last", "text", F.explode(pieces).alias("piece")).join(F.broadcast(hints), "piece")
+    near = near.groupBy("row", "paragraph", "last").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
+    said = near.select("row", "doc_id", "paragraph", "last", "text", F.explode(grams(F.col("text"))).alias("gram"))
     met = said.join(F.broadcast(weights.filter("gram <> ''")), "gram")  # as many rows as NOTICES has n-grams, at most
     sums = [(F.sum(F.get("weights", F.lit(k))) + start[k]).alias(f"l{k}") for k in range(len(families))]
-    logits = met.groupBy("row", "paragraph").agg(*sums, F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
+    logits = met.groupBy("row", "paragraph", "last").agg(*sums, F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
     names = [F.struct(F.col(f"l{k}").alias("logit"), F.lit(f).alias("family")) for k, f in enumerate(families)]
-    top = logits.select("row", "doc_id", "paragraph", "text", F.array(*names).alias("all")).withColumn("best", F.array_max("all")).filter(F.col("best.family") != UNKNOWN)
+    top = logits.select("row", "doc_id", "paragraph", "last", "text", F.array(*names).alias("all")).withColumn("best", F.array_max("all")).filter(F.col("best.family") != UNKNOWN)
     total = F.aggregate("all", F.lit(0.0), lambda t, x: t + F.exp(x["logit"] - F.col("best.logit")))
-    found = top.select("row", "doc_id", "paragraph", grams(F.col("text")).alias("grams"), "best.family", (1 / total).alias("probability"))
-    notices = spark.createDataFrame([(f, n) for f, own in NOTICES.items() for n in own], "family string, notice string")
-    notices = notices.select("family", grams(F.col("notice")).alias("own"))
-    texts = found.join(F.broadcast(notices), "family")
+    found = top.select("row", "doc_id", "paragraph", "last", grams(F.col("text")).alias("grams"), "best.family", (1 / total).alias("probability"))
+    texts = found.join(F.broadcast(_notices(spark)), "family")
     alike = F.size(F.array_intersect("grams", "own")) / F.size("own")
-    out = texts.groupBy("row", "doc_id", "paragraph", "family", "probability").agg(F.max(alike).alias("likeness"))
+    out = texts.groupBy("row", "doc_id", "paragraph", "last", "family", "probability").agg(F.max(alike).alias("likeness"))
+    out = _unwrapped(out)
     return out.select("doc_id", "paragraph", "family", "probability", (F.col("likeness") >= confirm).alias("confirmed"), "likeness")
 
 
+def _unwrapped(found: DataFrame) -> DataFrame:
+    """Of the passages found in each document, those that no likelier one with a line in common stands for; of equals a line, then the first."""
+    one = F.struct("likeness", (F.col("paragraph") - F.col("last")).alias("less"), (-F.col("paragraph")).alias("place"), "last", "family", "probability")
+    kept = found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.collect_list(one).alias("all"))  # no more than the document's own licences
+    first = lambda s: -s["place"]
+    meets = lambda a, b: (first(a) <= b["last"]) & (first(b) <= a["last"]) & ((a["less"] < 0) | (b["less"] < 0))
+    better = lambda a, b: (a["likeness"] > b["likeness"]) | (a["likeness"] == b["likeness"]) & ((a["less"] > b["less"]) | (a["less"] == b["less"]) & (a["place"] > b["place"]))
+    kept = kept.select("doc_id", F.explode(F.filter("all", lambda b: ~F.exists("all", lambda a: meets(a, b) & better(a, b)))).alias("s"))
+    return kept.select("doc_id", (-F.col("s.place")).alias("paragraph"), "s.family", "s.probability", "s.likeness")
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every paragraph of every document that names a licence, with its family."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
