@@ -39,30 +39,30 @@ LONG_RUN = 20_000
 
 
 class ByteBpe:
-    """The ids that the tokenizers file gives without special tokens.
+    """The ids that the tokenizers file gives; with `added`, as by the library's defaults, an added token's text in a document is that token.
 
     tiktoken runs its merges, several times as fast; texts with a run of LONG_RUN characters without white space, on
     which its merging is quadratic, go to the tokenizers library itself.
     """
 
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, added: bool = False):
+        self.path, self.added = path, added
         model = json.load(open(path, encoding="utf-8"))
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]  # byte-level BPE writes other bytes as U+0100 and up
         others = [b for b in range(256) if b not in set(printable)]
         byte_of = {chr(b): b for b in printable} | {chr(256 + n): b for n, b in enumerate(others)}
-        special = {t["content"] for t in model["added_tokens"]}
+        special = {t["content"]: t["id"] for t in model["added_tokens"]}
         ranks = {bytes(byte_of[c] for c in token): n for token, n in model["model"]["vocab"].items() if token not in special}
-        self.fast = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.fast = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
         self.exact: Tokenizer | None = None
 
     def ids(self, text: str) -> np.ndarray:
         if len(text) > LONG_RUN and max(map(len, text.split()), default=0) > LONG_RUN:
             if self.exact is None:
                 self.exact = Tokenizer.from_file(self.path)
-                self.exact.encode_special_tokens = True
+                self.exact.encode_special_tokens = not self.added
             return np.array(self.exact.encode(text, add_special_tokens=False).ids, "<u4")
-        return np.asarray(self.fast.encode_to_numpy(text, disallowed_special=()), "<u4")
+        return np.asarray(self.fast.encode_to_numpy(text, allowed_special="all" if self.added else set(), disallowed_special=()), "<u4")
 
 
 def best_fit(lengths: list[int], size: int) -> tuple[list[int], list[int], list[int]]:
@@ -96,7 +96,7 @@ def pack_locally(docs: DataFrame, size: int, path: str) -> DataFrame:
     """Every piece of docs(doc_id, text) with the sequence (`bin`) that its own task put it in."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBpe(path)
+        bpe = ByteBpe(path, added=True)
         made = TaskContext.get().partitionId() << 40
         names = [n.rpartition(" ")[0] for n in PIECES.split(", ")]
         rows: list[tuple] = []

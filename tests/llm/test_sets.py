@@ -142,6 +142,16 @@ def test_ids_of_documents_and_of_a_long_run(spark, both):
     assert all(both[0].ids(t).tolist() == both[1].encode(t, add_special_tokens=False).ids for t in texts)
 
 
+def test_packed_ids_are_those_of_the_library_defaults(spark):
+    path = public_tokenizers.path(packing.VOCABULARY)
+    bpe, exact = packing.ByteBpe(path, added=True), Tokenizer.from_file(path)
+    texts = ["a <|endoftext|>b", "<|endoftext|><|endoftext|>", "<|endoftext|", "ab" * 15_000 + "<|endoftext|>"]
+    want = [exact.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [bpe.ids(t).tolist() for t in texts] == want and 50256 in want[0]
+    row = packing.pack(spark.createDataFrame([(1, texts[0])], "doc_id long, text string")).first()
+    assert row.length == len(want[0]) + 1
+
+
 @settings(max_examples=60, deadline=None)
 @given(lengths=st.lists(st.integers(1, 50), max_size=80))
 def test_best_fit(lengths):
