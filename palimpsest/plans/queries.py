@@ -487,7 +487,7 @@ def slugify(spark, d):
 @query("SELECT page_id, host, CASE WHEN n = 1 THEN list_extract(p, 1) ELSE list_extract(p, 1) || '/' || list_extract(p, 2) END AS folder, n FROM (SELECT page_id, lower(regexp_extract(url, '://([^/:?#]*)', 1)) AS host, string_split(trim(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/'), '/') AS p, unnest(range(1, len(string_split(trim(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/'), '/')))) AS n FROM pages) WHERE n <= 2")
 def path_parents(spark, d):
     path = F.regexp_extract("url", "://[^/?#]*([^?#]*)", 1)
-    rows = table(spark, d, "pages").select("page_id", X.url_host(F.col("url")).alias("host"), F.posexplode(X.parents(path)).alias("at", "folder")).filter("at < 2")
+    rows = table(spark, d, "pages").select("page_id", X.url_host(F.col("url")).alias("host"), F.posexplode(X.parents(path)).alias("at", "folder"))
     return rows.select("page_id", "host", F.substring("folder", 2, 1 << 20).alias("folder"), (F.col("at") + 1).cast("long").alias("n"))
 
 
