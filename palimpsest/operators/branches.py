@@ -115,12 +115,16 @@ def nested_paths(posts: DataFrame) -> DataFrame:
     """(id, path) of posts(id, slug, up): folders named id-slug inside the folder of the post whose slug is `up`.
 
     Slugs that name a parent must belong to one post; posts whose parents lead to no root have no path.
+    Each round puts what stands above a post's known parents before them, so a chain of n posts takes log2(n) rounds.
     """
-    spark = posts.sparkSession
-    posts.createOrReplaceTempView("palimpsest_posts")
-    return spark.sql(f"""
-        WITH RECURSIVE placed(id, slug, path) MAX RECURSION LEVEL {DEPTH} AS (
-          SELECT id, slug, concat('/', id, '-', slug) FROM palimpsest_posts WHERE up IS NULL
-          UNION ALL
-          SELECT n.id, n.slug, concat(p.path, '/', n.id, '-', n.slug) FROM palimpsest_posts n JOIN placed p ON n.up = p.slug
-        ) SELECT id, concat(path, '/index.md') AS path FROM placed""")
+    own = F.concat(F.lit("/"), F.col("id").cast("string"), F.lit("-"), "slug")
+    state = written(posts.select("id", "slug", "up", own.alias("path")), "posts")
+    done, left = state.filter("up is null"), state.filter("up is not null")
+    while not left.isEmpty():
+        above = done.unionByName(left).select(F.col("slug").alias("up"), F.col("up").alias("over"), F.col("path").alias("above"))
+        after = written(left.join(above, "up").select("id", "slug", F.col("over").alias("up"), F.concat("above", "path").alias("path")), "posts")
+        placed, left = after.filter("up is null"), after.filter("up is not null")
+        if placed.isEmpty():
+            break
+        done = done.unionByName(placed)
+    return done.select("id", F.concat("path", F.lit("/index.md")).alias("path"))
