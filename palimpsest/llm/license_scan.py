@@ -122,11 +122,11 @@ def passages(docs: DataFrame) -> DataFrame:
     start = F.struct(F.array().cast("array<string>").alias("words"), F.lit(-1).alias("last"), F.lit(False).alias("done"))
 
     def further(a: Column, s: Column) -> Column:
-        blank = F.size(s["head"]) == 0
+        blank = s.isNull() | (F.size(s["head"]) == 0)
         more = F.struct(F.concat(a["words"], s["head"]).alias("words"), s["n"].alias("last"), (F.size(a["words"]) + F.size(s["head"]) >= LONGEST).alias("done"))
         return F.when(a["done"] | blank, F.struct(a["words"].alias("words"), a["last"].alias("last"), F.lit(True).alias("done"))).otherwise(more)
 
-    after = lambda s, k: F.struct(s["n"].alias("n"), s["text"].alias("text"), F.aggregate(F.slice("lines", k + 2, LONGEST), start, further).alias("after"))
+    after = lambda s, k: F.struct(s["n"].alias("n"), s["text"].alias("text"), F.aggregate(F.sequence(k + 1, k + LONGEST), start, lambda a, j: further(a, F.get("lines", j))).alias("after"))
     lines = rows.select("row", "doc_id", F.explode(F.transform("lines", after)).alias("s")).select("row", "doc_id", F.col("s.n").alias("paragraph"), "s.text", "s.after").filter(r"text rlike '\\S'")
     own = words(F.col("text"))
     joined = F.array_join(F.concat(F.slice(own, F.greatest(F.size(own) - LONGEST + 1, F.lit(1)), F.lit(LONGEST)), F.slice("after.words", 1, LONGEST)), " ")
