@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import html as html_module
 import math
 import random
+import re
 import textwrap
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -299,6 +302,67 @@ def test_page_text_with_missing_ends_and_main_beside_article(page, text):
     assert text_of(page) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    ('<div class="has-sidebar"><article><p>Text</p></article></div>', "Text"), ('<div class="content no-sidebar"><p>Text', "Text"),
+    ('<article><div class="related-work"><p>Prior art</div></article>', "Prior art"), ('<article>Main</article><article class="comment"><p>First!</p></article>', "Main"),
+    ('<p><span class="ad">buy <span>now</span> cheap</span> text', "text"), ('<div id="search"><article><p>Found</article></div>', "Found"),
+    ('<div class="comments"><article>First!</article></div>', ""), ('<main>Main<div class="search"><article>card</article></div></main>', "Main"),
+    ('<p class="notice">no<p>yes', "yes"), ("<ul><li class=ad>no<li>yes</ul>", "yes"), ('<div class="widget_2 ad-slot">no</div><div class="article-share">no</div><div class="adorable shared-memory">yes</div>', "yes"),
+    ('<div role="navigation">no</div><section role="region">yes</section>', "yes"), ('<div class="side-bar">no</div><div class="sidebar-left">no</div>yes', "yes"),
+])
+def test_names_that_set_apart_and_names_that_do_not(page, text):
+    assert text_of(page) == text
+
+
+class PlainArticle(HTMLParser):
+    """The article's text by the standard library's parser: blocks end at block-level tags, each with single spaces."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=False)
+        self.inside, self.parts, self.blocks = 0, [], []
+
+    def end_block(self):
+        if text := " ".join(html_module.unescape("".join(self.parts)).split()):
+            self.blocks.append(text)
+        self.parts = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("article", "h1", "p"):
+            self.end_block()
+        self.inside += tag == "article"
+        if tag == "br":
+            self.parts.append(" ")
+
+    def handle_endtag(self, tag):
+        if tag in ("article", "h1", "p"):
+            self.end_block()
+        self.inside -= tag == "article"
+
+    def handle_data(self, data):
+        if self.inside:
+            self.parts.append(data)
+
+    def handle_entityref(self, name):
+        self.handle_data(f"&{name};")
+
+    def handle_charref(self, name):
+        self.handle_data(f"&#{name};")
+
+
+@pytest.mark.parametrize("name", ["sf0.001", "sf0.01"])
+def test_given_pages_equal_a_plain_parser(spark, name):
+    pages = spark.read.parquet(f"/root/testdata/{name}/pages.parquet")
+    got = {r.page_id: (r.text, r.n_chars) for r in html_text.op7_html_text(spark, f"/root/testdata/{name}").collect()}
+    want = {}
+    for page in pages.collect():
+        plain = PlainArticle()
+        plain.feed(re.sub(r"(?s)<(script|style)\b.*?</\1>", "", page.html or ""))
+        plain.close()
+        plain.end_block()
+        want[page.page_id] = (" ".join(plain.blocks), len(" ".join(plain.blocks)))
+    assert got == want and len(got) == pages.count() > 0
+
+
 def test_common_lines_is_a_longest_common_subsequence():
     rng = random.Random(5)
     for _ in range(200):
