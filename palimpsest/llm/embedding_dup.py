@@ -8,18 +8,20 @@
    one such leader form its core: they are linked with each other by the triangle inequality, without being compared.
 3. Cores that share a filter are compared by their leaders, each pair once: too far apart for any link, so close that
    all their members are linked, or in between, where their members are compared. So a group of n close copies costs
-   about n comparisons, not n * n, and its link counts are still exact.
+   about n comparisons, not n * n, and its link counts are still exact. Where a filter holds many cores, they are dealt
+   into blocks, and tasks compare two blocks at a time as matrices; only pairs close enough leave a task.
 4. All cosines are of the original numbers in double precision. Links make components by large-star and small-star.
 
 Defined results: a vector that is null, empty, zero, or holds a null or non-finite number is linked with nothing;
 vectors of different lengths are not linked; a null id keeps null as its component and is linked with nothing;
-repeated rows of one id are one vector if they are equal; labels and other columns are ignored; an empty table gives
+repeated rows of one id are one vector if they are equal, and different vectors if not; labels and other columns are ignored; an empty table gives
 no rows.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,12 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import map_batches, written
+from palimpsest.llm.common import map_batches, map_groups, written
 from palimpsest.llm.components import connected_components
 from palimpsest.session import table
 
 #: Filters a vector meets in one code, on average.
 LIST = 16
+#: Vectors of a task that looks up filters; cores of a filter up to which its pairs are listed; cores of a block beyond that.
+TASK, FEW, BLOCK = 50_000, 64, 1024
 
 
 @dataclass(frozen=True)
@@ -50,30 +54,39 @@ class CapFilters:
         books = [_unit(rng.standard_normal((self.words, len(part)))) for part in np.array_split(np.arange(self.dim), self.blocks)]
         return rotation, books
 
-    def scores(self, vectors: np.ndarray, number: int) -> list[np.ndarray]:
-        """For each block, the score of every vector with every codeword; blocks count alike, whatever their length."""
+    def scorer(self, number: int) -> Callable[[np.ndarray], list[np.ndarray]]:
+        """A code's function: for each block, the score of every vector with every codeword; blocks count alike, whatever their length."""
         rotation, books = self.code(number)
-        turned = np.pad(vectors, ((0, 0), (0, self.dim - vectors.shape[1]))) @ rotation
-        parts = np.array_split(turned, self.blocks, axis=1)
-        return [_unit(p) @ book.T / math.sqrt(self.blocks) for p, book in zip(parts, books)]
+
+        def scores(vectors: np.ndarray) -> list[np.ndarray]:
+            turned = np.pad(vectors, ((0, 0), (0, self.dim - vectors.shape[1]))) @ rotation
+            return [_unit(p) @ book.T / math.sqrt(self.blocks) for p, book in zip(np.array_split(turned, self.blocks, axis=1), books)]
+
+        return scores
+
+    def scores(self, vectors: np.ndarray, number: int) -> list[np.ndarray]:
+        return self.scorer(number)(vectors)
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
 
 
-def decode(scores: list[np.ndarray], alpha: float) -> np.ndarray:
-    """The filters of one vector: all whose block scores add up to alpha, or else the best."""
-    tops = [s.max() for s in scores]
-    alpha = min(alpha, sum(tops) - 1e-12)
-    ids, sums = np.zeros(1, np.int64), np.zeros(1)
+def decode(scores: list[np.ndarray], alpha: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, filter) of all vectors: the filters whose block scores add up to alpha, or else a vector's best."""
+    tops = [s.max(1) for s in scores]
+    least = np.minimum(alpha, sum(tops) - 1e-12)
+    rows, ids, sums = np.arange(len(least)), np.zeros(len(least), np.int64), np.zeros(len(least))
     for block, s in enumerate(scores):
-        rest = sum(tops[block + 1 :])
-        able = np.flatnonzero(s >= alpha - sums.max() - rest)
-        total = sums[:, None] + s[able]
-        i, j = np.nonzero(total >= alpha - rest)
-        ids, sums = ids[i] * len(s) + able[j], total[i, j]
-    return ids
+        rest = sum(tops[block + 1 :], np.zeros(len(least)))
+        owner, word = np.nonzero(s >= (least - rest - sum(tops[:block]))[:, None])
+        own = np.bincount(owner, minlength=len(least))
+        begins, n = np.cumsum(own) - own, own[rows]
+        at = np.repeat(begins[rows] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        rows, sums = np.repeat(rows, n), np.repeat(sums, n) + s[owner[at], word[at]]
+        kept = sums >= (least - rest)[rows]
+        rows, sums, ids = rows[kept], sums[kept], (np.repeat(ids, n) * s.shape[1] + word[at])[kept]
+    return rows, ids
 
 
 def fit_filters(dim: int, vectors: int, cosine: float, miss: float = 1e-5) -> CapFilters:
@@ -86,37 +99,33 @@ def fit_filters(dim: int, vectors: int, cosine: float, miss: float = 1e-5) -> Ca
     scored = CapFilters(dim, blocks, words, 0.0, 1).scores(tried, 0)
     for _ in range(12):
         alpha = (low + high) / 2
-        mean = sum(np.count_nonzero(_sums(scored, n) >= alpha) if blocks == 2 else len(decode([s[n] for s in scored], alpha)) for n in range(0, 200, 2)) / 100
+        mean = len(decode(scored, alpha)[0]) / len(tried)
         low, high = (alpha, high) if mean > LIST else (low, alpha)
     x = _unit(rng.standard_normal((400, dim)))
     aside = rng.standard_normal((400, dim))
     aside = _unit(aside - (aside * x).sum(1, keepdims=True) * x)
     y = cosine * x + math.sqrt(1 - cosine**2) * aside
     one = CapFilters(dim, blocks, words, high, 1)
-    a, b = one.scores(x, 0), one.scores(y, 0)
-    met = sum(bool(np.intersect1d(decode([s[n] for s in a], high), decode([s[n] for s in b], high)).size) for n in range(400)) / 400
+    (row_a, a), (row_b, b) = decode(one.scores(x, 0), high), decode(one.scores(y, 0), high)
+    places = words**blocks
+    met = len(np.unique(np.intersect1d(row_a * places + a, row_b * places + b) // places)) / len(x)
     return CapFilters(dim, blocks, words, high, math.ceil(math.log(miss) / math.log(1 - min(met, 0.99))))
 
 
-def _sums(scored: list[np.ndarray], n: int) -> np.ndarray:
-    return scored[0][n][:, None] + scored[1][n]
-
-
-def _filters_of(classes: DataFrame, caps: CapFilters) -> DataFrame:
+def _filters_of(classes: DataFrame, caps: CapFilters, tasks: int) -> DataFrame:
     """(key, node): the filters of every class's vector."""
 
-    def listed(batch: pa.RecordBatch) -> pa.RecordBatch:
-        nodes, vectors = batch.column(0).to_numpy(), _matrix(batch.column(1))
-        keys, owners = [], []
-        for number in range(caps.codes):
-            scores = caps.scores(_unit(vectors / np.abs(vectors).max(1, keepdims=True)), number)
-            for n, node in enumerate(nodes):
-                found = decode([s[n] for s in scores], caps.alpha)
-                keys.append(found + number * caps.words**caps.blocks)
-                owners.append(np.full(len(found), node))
-        return pa.RecordBatch.from_pydict({"key": np.concatenate(keys), "node": np.concatenate(owners)})
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, vectors = batch.column(0).to_numpy(), _matrix(batch.column(1))
+            vectors = _unit(vectors / np.abs(vectors).max(1, keepdims=True)) if len(vectors) else vectors
+            for number in range(caps.codes):
+                scores_of = caps.scorer(number)
+                for start in range(0, len(nodes), 128):
+                    rows, found = decode(scores_of(vectors[start : start + 128]), caps.alpha)
+                    yield pa.RecordBatch.from_pydict({"key": found + number * caps.words**caps.blocks, "node": nodes[start + rows]})
 
-    return map_batches(classes.select("node", "vector"), listed, "key long, node long", rows=512)
+    return classes.select("node", "vector").repartition(tasks).mapInArrow(listed, "key long, node long")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -137,11 +146,35 @@ def _cosines(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return map_batches(both, measured, "a long, b long, cosine double", rows=4096)
 
 
+def _close_in_blocks(many: DataFrame, classes: DataFrame, cores: DataFrame, angle: float) -> DataFrame:
+    """The pairs (a, b) of cores of one filter, of many(key, core, n), that are close enough for any of their members to be linked."""
+    blocks = F.ceil(F.col("n") / BLOCK)
+    own = F.pmod(F.xxhash64("core", F.lit(1)), blocks)
+    two = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda k: F.xxhash64("key", F.least(own, k), F.greatest(own, k)))
+    dealt = many.select(F.explode(two).alias("g"), "core").join(cores.select("core", "radius"), "core")
+    dealt = dealt.join(classes.select(F.col("node").alias("core"), "vector"), "core").select("g", "core", "radius", "vector")
+
+    def close(rows: pa.Table) -> dict[str, list]:
+        ids, radius, vectors = rows.column(1).to_numpy(), rows.column(2).to_numpy(), _matrix(rows.column(3).combine_chunks())
+        vectors, a, b = _unit(vectors / np.abs(vectors).max(1, keepdims=True)), [], []
+        for start in range(0, len(ids), 256):
+            turn = np.arccos(np.clip(vectors[start : start + 256] @ vectors.T, -1, 1))
+            i, j = np.nonzero(turn <= angle + radius[start : start + 256, None] + radius + 1e-6)
+            x, y = ids[start + i], ids[j]
+            a.append(x[x < y])
+            b.append(y[x < y])
+        return {"a": np.concatenate(a), "b": np.concatenate(b)}
+
+    return map_groups(dealt, close, "a long, b long")
+
+
 def _linked(classes: DataFrame, dim: int, cosine: float) -> tuple[DataFrame, DataFrame]:
     """(node, n_links) where it is above none, and the links (a, b) that make the components, for vectors of one length."""
-    caps = fit_filters(dim, classes.count(), cosine)
+    size = classes.count()
+    caps = fit_filters(dim, size, cosine)
     angle = math.acos(cosine)
-    met = written(_filters_of(classes, caps), "filters")
+    tasks = max(classes.sparkSession.sparkContext.defaultParallelism, -(-size // TASK))
+    met = written(_filters_of(classes, caps, tasks), "filters")
     hubs = met.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1").drop("n")
     shared = written(met.join(hubs, "key"), "shared")
     stars = shared.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
@@ -156,9 +189,14 @@ def _linked(classes: DataFrame, dim: int, cosine: float) -> tuple[DataFrame, Dat
     cores = placed.groupBy("core").agg(F.sum("copies").alias("weight"), F.max("away").alias("radius"))
 
     inside = shared.select("key", "node").join(placed.select("node", "core"), "node").select("key", "core").distinct()
-    mixed = inside.groupBy("key").agg(F.min("core").alias("low"), F.max("core").alias("high")).filter("low < high").select("key")
-    inside = inside.join(mixed, "key", "left_semi")
-    pairs = inside.toDF("key", "a").join(inside.toDF("key", "b"), "key").filter("a < b").select("a", "b").distinct()
+    mixed = inside.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    inside = written(inside.join(mixed, "key"), "inside")
+    few = inside.filter(F.col("n") <= FEW).select("key", "core")
+    pairs = few.toDF("key", "a").join(few.toDF("key", "b"), "key").filter("a < b").select("a", "b")
+    many = inside.filter(F.col("n") > FEW)
+    if not many.isEmpty():
+        pairs = pairs.unionByName(_close_in_blocks(many, classes, cores, angle))
+    pairs = pairs.distinct()
     apart = _cosines(pairs, classes).withColumn("angle", F.acos(F.least("cosine", F.lit(1.0))))
     apart = apart.join(cores.toDF("a", "weight_a", "radius_a"), "a").join(cores.toDF("b", "weight_b", "radius_b"), "b")
     reach = F.col("radius_a") + F.col("radius_b")
@@ -185,7 +223,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("vector"))
     sound = F.forall("vector", lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)) & ~F.coalesce(F.isnan(x), F.lit(True)))
     sound = sound & F.exists("vector", lambda x: x != 0) & F.col("vec_id").isNotNull()
-    classes = written(rows.filter(sound).groupBy("vector").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")), "classes")
+    classes = written(rows.filter(sound).groupBy("vector").agg(F.min("vec_id").alias("node"), F.count_distinct("vec_id").alias("copies")), "classes")
     counts = links = None
     for (dim,) in classes.select(F.size("vector")).distinct().collect():
         n, found = _linked(classes.filter(F.size("vector") == dim), dim, cosine)

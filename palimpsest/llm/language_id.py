@@ -191,20 +191,32 @@ def code_lengths(model: LanguageModel, tables: tuple[list[KeyTable], list[KeyTab
 
 
 def fit_languages(known: DataFrame, per_language: int = 500, longest: int = 16_384) -> LanguageModel:
-    """known(doc_id, text, lang): the rows that may be learned from."""
-    known = known.filter(F.col("lang").isNotNull() & F.length("text").between(1, longest))
-    names = [r.lang for r in known.select("lang").distinct().collect()]
-    texts: dict[str, list[bytes]] = {}
-    for name in names:
-        some = known.filter(F.col("lang") == name).select(F.xxhash64("doc_id").alias("h"), "text")
-        texts[name] = [r.text.encode() for r in _lowest(some, per_language).collect()]
+    """known(doc_id, text, lang): the rows that may be learned from.
+
+    One count of the languages (no text is read for it) bounds the hashes that each language's sample lies under, so the
+    texts are read once, whatever the number of languages.
+    """
+    known = known.filter(F.col("lang").isNotNull()).withColumn("h", F.xxhash64("doc_id"))
+    sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
+    if not sizes:
+        return LanguageModel([])
+    wanted = per_language + 6 * int(per_language**0.5) + 6
+    bounds = [x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(int((1 << 64) * min(1.0, wanted / n)) - (1 << 63) - (n <= wanted)).cast("long"))]
+    sound = known.filter("text is not null and text <> ''").select("lang", "h", F.substring("text", 1, longest).alias("text"))
+    under = sound.filter(F.col("h") <= F.element_at(F.create_map(*bounds), F.col("lang")))
+    texts = _by_language(under.dropDuplicates(["lang", "h"]).collect(), per_language)
+    for lang in sizes.keys() - texts.keys():  # its few texts lie above the bound
+        texts |= _by_language(sound.filter(F.col("lang") == lang).orderBy("h").limit(per_language).collect(), per_language)
     return train(texts) if texts else LanguageModel([])
 
 
-def _lowest(some: DataFrame, n: int) -> DataFrame:
-    """The n rows of least h: a bound on h from the hashes alone, so that no task holds more texts than it must."""
-    bound = some.select("h").orderBy("h").limit(n).agg(F.max("h")).first()[0]
-    return some.filter(F.col("h") <= (bound if bound is not None else 0)).limit(2 * n)
+def _by_language(rows: list, most: int) -> dict[str, list[bytes]]:
+    texts: dict[str, list[bytes]] = {}
+    for r in sorted(rows, key=lambda r: (r.lang, r.h)):
+        own = texts.setdefault(r.lang, [])
+        if len(own) < most:
+            own.append(r.text.encode("utf-8", "surrogatepass"))
+    return texts
 
 
 def identify(docs: DataFrame, model: LanguageModel, outs: tuple[str, str, str] = ("lang_pred", "score", "bits_per_byte")) -> DataFrame:

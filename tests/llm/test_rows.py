@@ -119,6 +119,30 @@ def test_language_edges(spark, odd):
     assert {r.lang_pred for r in language_id.identify(odd, language_id.fit_languages(known.limit(0))).collect()} == {"und"}
 
 
+def test_languages_are_learned_in_one_read_of_the_texts(spark):
+    rows = [(k, f"wort{k % 7} und der hund" if k % 3 else f"word{k % 7} and the dog", "de" if k % 3 else "en") for k in range(900)]
+    rows += [(2000 + k, "", "fr") for k in range(900)] + [(3000, "le chien et la table", "fr"), (None, "il cane", "it"), (None, "il gatto", "it")]
+    known = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit_languages(known, per_language=20)
+    assert model.languages == ["de", "en", "fr", "it"]
+    whole = language_id.fit_languages(spark.createDataFrame([(1, "abc " * 9000, "x"), (2, "qrs " * 9000, "y")], known.schema), longest=100)
+    assert whole.languages == ["x", "y"]
+
+
+def test_predictions_equal_the_shortest_naive_code(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").filter("text is not null").orderBy("doc_id").limit(60).collect()
+    texts: dict[str, list[bytes]] = {}
+    for r in docs[:40]:
+        if r.lang:
+            texts.setdefault(r.lang, []).append(r.text[:600].encode())
+    model = language_id.train(texts)
+    rows = [(r.doc_id, r.text[:300]) for r in docs[40:]]
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    for doc_id, text in rows:
+        bits = {name: naive_bits(own, text.encode()) for name, own in texts.items()}
+        assert got[doc_id] == (min(sorted(bits), key=bits.get) if any(map(str.isalpha, text)) else "und")
+
+
 # Licences
 
 

@@ -117,10 +117,34 @@ def test_vectors_equal_brute_force(spark):
 def test_a_vector_is_decoded_to_just_the_filters_it_exceeds():
     caps = embedding_dup.CapFilters(20, 2, 64, 0.5, 1)
     scores = caps.scores(np.random.default_rng(2).standard_normal((20, 20)), 0)
+    rows, found = embedding_dup.decode(scores, 0.5)
     for n in range(20):
         total = scores[0][n][:, None] + scores[1][n]
         want = set(np.flatnonzero(total.ravel() >= 0.5)) or {int(total.argmax())}
-        assert set(embedding_dup.decode([s[n] for s in scores], 0.5)) == want
+        assert set(found[rows == n]) == want
+    three = embedding_dup.CapFilters(20, 3, 16, 0.5, 1).scores(np.random.default_rng(3).standard_normal((9, 20)), 0)
+    rows, found = embedding_dup.decode(three, 0.6)
+    for n in range(9):
+        total = three[0][n][:, None, None] + three[1][n][:, None] + three[2][n]
+        assert set(found[rows == n]) == (set(np.flatnonzero(total.ravel() >= 0.6)) or {int(total.argmax())})
+
+
+def test_repeated_ids_are_one_vector_and_hot_filters_are_compared_in_blocks(spark, monkeypatch):
+    twice = spark.createDataFrame([(5, [1.0, 0.0]), (5, [1.0, 0.0]), (7, [1.0, 0.01])], "vec_id long, embedding array<double>")
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in embedding_dup.near_vectors(twice).collect()) == [(5, 1, 5), (5, 1, 5), (7, 1, 5)]
+    monkeypatch.setattr(embedding_dup, "FEW", 2)
+    monkeypatch.setattr(embedding_dup, "BLOCK", 8)
+    rng = np.random.default_rng(14)
+    centre = rng.standard_normal(24)
+    rows = [(centre + 0.2 * rng.standard_normal(24)).tolist() for _ in range(90)]
+    df = spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dup.near_vectors(df).collect()}
+    x = np.array(rows)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.95
+    np.fill_diagonal(near, False)
+    want = parts(range(90), zip(*(a.tolist() for a in np.nonzero(near))))
+    assert near.sum() > 400 and got == {n: (int(near[n].sum()), want[n]) for n in range(90)}
 
 
 @pytest.fixture(scope="module")
