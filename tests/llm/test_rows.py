@@ -176,6 +176,87 @@ def test_licences_wrapped_over_lines(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+NAMED = {
+    "All human rights reserved to the people.": None, "This project is MIT licensed.": ("MIT", True), "GPLv3": ("GPL-3.0", False), "BSD 2-Clause": ("BSD", False),
+    "Permission is hereby granted, free of charge, to any person": ("MIT", True), "He has an MIT degree and a driver license.": None, "All rights reserved.": ("proprietary", True),
+    "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.": ("AGPL-3.0", True),
+    "Distributed under the Boost Software License, Version 1.0.": ("BSL-1.0", True), "This program is made available under the Eclipse Public License 2.0": ("EPL-2.0", True),
+    "released under the GNU GPL version 2 or later": ("GPL-2.0", True), "The version was published by the foundation, free of charge to the general public.": None,
+}
+
+
+@pytest.fixture(scope="module")
+def weights(spark):
+    fitted = license_scan.fit_licenses(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    return spark.createDataFrame(fitted.collect(), fitted.schema)
+
+
+def test_licences_and_near_misses(spark, weights):
+    df = spark.createDataFrame(list(enumerate(NAMED)), "doc_id long, text string")
+    got = {r.doc_id: (r.family, r.confirmed) for r in license_scan.scan_licenses(df, weights).collect()}
+    assert {t: got.get(k) for k, t in enumerate(NAMED)} == NAMED
+
+
+def plain_scan(text: str, told: dict, start: list[float], templates: dict[str, list[set]]) -> set:
+    """The scan of one text, word by word."""
+    words_of = lambda t: [w for w in re.split(r"[\W_]+", t) if w]
+    families, most = [license_scan.UNKNOWN, *license_scan.LICENSES], license_scan.LONGEST
+
+    def judged(t):
+        words = words_of(t.lower())
+        own = set(words) | {f"{a} {b}" for a, b in zip(words, words[1:])}
+        logits = [s + sum(told[g][k] for g in own if g in told) for k, s in enumerate(start)]
+        k = max(range(len(logits)), key=lambda k: (logits[k], k))
+        likeness = max((len(own & t) / len(t) for t in templates.get(families[k], [])), default=0)
+        return families[k], round(1 / sum(math.exp(x - logits[k]) for x in logits), 6), round(likeness, 6)
+
+    lines = [(n, x) for n, x in enumerate(text.split("\n")) if words_of(x) or not x.strip()]
+    found = []
+    for at, (n, line) in enumerate(lines):
+        if not line.strip():
+            continue
+        found.append((n, n, *judged(line)))
+        after, last = [], None
+        for m, more in lines[at + 1 :]:
+            if not more.strip() or len(after) >= most:
+                break
+            after, last = after + words_of(more)[:most], m
+        if last is not None:
+            found.append((n, last, *judged(" ".join(words_of(line)[-most:] + after[:most]))))
+    found = [f for f in found if f[2] != license_scan.UNKNOWN]
+    rank = lambda f: (f[4], f[0] - f[1], -f[0])
+    return {(f[0], *f[2:]) for f in found if not any(g[0] <= f[1] and f[0] <= g[1] and (g[1] > g[0] or f[1] > f[0]) and rank(g) > rank(f) for g in found)}
+
+
+def test_scan_equals_a_plain_one(spark, weights):
+    told = {r.gram: r.weights for r in weights.collect()}
+    start = told.pop("")
+
+    def pairs(t):
+        words = [x for x in re.split(r"[\W_]+", t.lower()) if x]
+        return {f"{a} {b}" for a, b in zip(words, words[1:])}
+
+    templates = {f: [pairs(n) for n in own if pairs(n)] for f, own in license_scan.NOTICES.items()}
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("length(text) < 3000").collect()]
+    rng, notices = random.Random(13), [n for own in license_scan.NOTICES.values() for n in own]
+    for k in range(120):
+        lines = [line for _ in range(rng.randrange(1, 4)) for line in (*textwrap.wrap(rng.choice(notices), rng.choice([20, 72, 500])), *rng.choice([[], [""], ["***"], ["some other words"], ["All of it, under the bridge."]]))]
+        docs.append((10_000 + k, "\n".join(lines)))
+    got: dict = {}
+    for r in license_scan.scan_licenses(spark.createDataFrame(docs, "doc_id long, text string"), weights).collect():
+        got.setdefault(r.doc_id, set()).add((r.paragraph, r.family, round(r.probability, 6), round(r.likeness, 6)))
+    want = {d: p for d, t in docs if (p := plain_scan(t, told, start, templates))}
+    assert set(got) == set(want) and len(got) > 110
+    for d, own in want.items():
+        assert [x[:2] for x in sorted(got[d])] == [x[:2] for x in sorted(own)] and np.allclose([x[2:] for x in sorted(got[d])], [x[2:] for x in sorted(own)], atol=1e-5)
+
+
+def test_a_long_line_is_scanned_whole(spark, weights):
+    long = "some words of a license and more words " * 12_000 + "Released under the MIT License. The end"
+    got = license_scan.scan_licenses(spark.createDataFrame([(1, long)], "doc_id long, text string"), weights).collect()
+    assert [(r.family, r.confirmed) for r in got] == [("MIT", True)]
+
+
 # Decontamination
 
 
