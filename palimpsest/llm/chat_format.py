@@ -8,7 +8,8 @@ Roles and texts are escaped (& < [ become &amp; &lt; &lsqb;), so that none of th
 text, and the layout can be read back into the turns it was made from.
 
 Defined results: a null role or text counts as empty; turns are ordered by (turn, role, text), a null turn first, so
-ties and repeated rows come out alike on every run; rows of a null conv_id form one conversation; an empty table gives
+ties and repeated rows come out alike on every run; rows of a null conv_id form one conversation; a
+conversation is one row, however long (as the result asks); an empty table gives
 no rows; columns other than conv_id, turn, role and text are ignored.
 """
 

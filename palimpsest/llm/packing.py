@@ -8,7 +8,7 @@ than `items_per_task` items, until a round merges nothing. Tokens and texts neve
 
 Defined results: a null text counts as empty, and an empty text is one piece of one token, the end mark; a null doc_id
 is kept as it is; repeated rows are packed as often as they occur; a document longer than `size` has its short piece
-first; an empty table gives no rows; columns other than doc_id and text are ignored.
+first; of pieces of one length the first in its task is placed first; a very long text is tokenized whole; an empty table gives no rows; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations

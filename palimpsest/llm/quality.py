@@ -10,8 +10,8 @@ texts up to `longest` characters; half of them make the dictionaries and half th
 whole text, row by row, with no shuffle.
 
 Defined results: a null text scores as an empty one, which has a score too (what the length alone says); labels other
-than 0 and 1 are not learned; without labels of both classes every score is the share of good labels, or 0.5 if there
-are none; repeated rows get equal scores; other columns pass through untouched, one of the result's name is
+than 0 and 1 are not learned; with fewer than two learnable texts of either class every score is the share of good labels,
+or 0.5 if there are none; very long texts are scored whole, block by block; repeated rows get equal scores; other columns pass through untouched, one of the result's name is
 replaced.
 """
 
@@ -81,7 +81,7 @@ def fit_quality(labelled: DataFrame, docs: DataFrame, per_class: int = 2000, lon
     rows = texts.join(F.broadcast(drawn), "doc_id").orderBy(F.xxhash64("doc_id"), "text").limit(2 * per_class).collect()  # 2 * per_class ids at most
     by = {q: [r.text.encode() for r in rows if r.quality == q] for q in (0, 1)}
     prior = len(by[1]) / len(rows) if rows else 0.5
-    if min(map(len, by.values())) < 16:
+    if min(map(len, by.values())) < 2:  # one text for the dictionary, one for the calibration
         return QualityModel(b"", b"", (), prior)
     made = {}
     for q, texts_of in by.items():

@@ -6,8 +6,11 @@ that no `*` or open end can lengthen. A rule is stored under the one that the fe
 fetches a rule that also says `es`. Rules without such a token are stored under the empty token, which every URL has.
 
 Defined results: a null URL, or one without `://`, has an empty host and path and fits no host rule; repeated rows and
-repeated URLs are judged once and returned as often as they occur; a rule table of any size works (a large one is
-joined by shuffle, a small one Spark broadcasts by its measured size); an empty table gives no rows.
+repeated URLs are judged once and returned as often as they occur; a very long URL is judged whole; of host rules of one
+length, the later by verdict and then by text counts (only equal rules with both verdicts meet so: block wins); columns of
+the results' names are replaced, others pass through; a rule table of any size works (a large one is
+joined by shuffle, a small one Spark broadcasts by its measured size; a token or URL that very many rows share is split by
+Spark's adaptive skew join); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -76,8 +79,9 @@ def judge_urls(urls: DataFrame, rules: DataFrame, default: str = "allow") -> Dat
     )
     fits = tokens.join(rarest, "token").filter(F.regexp_like("key", F.col("regex")))
     best = fits.groupBy("url").agg(F.max(F.struct("rank", "verdict", "rule")).alias("best"))
-    judged = urls.join(best, "url", "left").withColumns({"host": host, "path": path})
-    return judged.withColumns({"rule": F.col("best.rule"), "verdict": F.coalesce("best.verdict", F.lit(default))}).drop("best")
+    free = "best" + "_" * (1 + max(map(len, urls.columns)))  # a name that no column has
+    judged = urls.join(best.withColumnRenamed("best", free), "url", "left").withColumns({"host": host, "path": path})
+    return judged.withColumns({"rule": F.col(f"{free}.rule"), "verdict": F.coalesce(f"{free}.verdict", F.lit(default))}).drop(free)
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

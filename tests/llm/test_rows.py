@@ -62,6 +62,22 @@ def test_quality_scores_the_whole_text(labelled):
     assert quality.features(start + b"ALPHA!! BETA!! " * 400, good, bad)[1] < quality.features(start, good, bad)[1]
 
 
+def test_quality_learns_from_few_texts(labelled):
+    model = quality.fit_quality(labelled.filter("doc_id < 6").select("doc_id", "quality"), labelled)
+    got = quality.score_quality(labelled.filter("doc_id >= 100"), model).select("quality", "score").collect()
+    assert sum((r.score >= 0.5) == (r.quality == 1) for r in got) > 0.9 * len(got)
+
+
+def test_held_out_documents_are_told_apart(spark):
+    d = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    rows = [r for r in quality.op1_quality(spark, d).collect() if r.held_out and r.doc_id in labels]
+    assert len(rows) > 50 and sum(r.predicted == labels[r.doc_id] for r in rows) >= 0.98 * len(rows)
+    langs = {r.doc_id: r.lang for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    rows = [r for r in language_id.op8_language_id(spark, d).collect() if r.held_out and langs[r.doc_id]]
+    assert len(rows) > 100 and sum(r.lang_pred == langs[r.doc_id] for r in rows) >= 0.98 * len(rows)
+
+
 # Language
 
 
@@ -365,7 +381,7 @@ def test_chats_round_trip(spark):
 
 def test_urls(spark):
     urls = [None, "", "nothing", "http://X.Example.COM/en/a?x#y", "https://www.example.com/en/", "http://a.b.net/es/", "http://net/fr/x", "http://org.de", "http://buy.cheap-pills.org/", "http://badnet/es/", "http://a.net/ES/"]
-    pages = spark.createDataFrame([(k, u) for k, u in enumerate(urls)] + [(3, urls[3])], "page_id long, url string").withColumns({"rank": F.lit(1), "token": F.lit("x")})
+    pages = spark.createDataFrame([(k, u) for k, u in enumerate(urls)] + [(3, urls[3])], "page_id long, url string").withColumns({"rank": F.lit(1), "token": F.lit("x"), "best": F.lit(2), "regex": F.lit(None).cast("string")})
     got = url_filter.judge_urls(pages, url_filter.rule_table(spark, url_filter.HOST_RULES, url_filter.SPAM_PATTERNS))
     rows = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in got.collect()}
     assert got.count() == len(urls) + 1

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import zlib
 from itertools import combinations
 
 import numpy as np
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from palimpsest.llm import components, embedding_dup, near_dup, packing
+from palimpsest.llm import components, decontaminate, embedding_dup, language_id, near_dup, packing, quality
 
 LONG = " ".join(f"w{k % 977}" for k in range(30_000))
 
@@ -203,12 +204,68 @@ def test_packing(spark, both):
         ids = np.append(both[0].ids(text or ""), 0).astype("<u4")
         own = sorted(by_doc[doc_id], key=lambda r: r.piece)
         assert [r.start for r in own] == np.cumsum([0] + [r.length for r in own])[:-1].tolist() and sum(r.length for r in own) == len(ids)
-        assert all(r.length == 128 for r in own[1:]) and all(r.ids_crc32 == __import__("zlib").crc32(ids[r.start : r.start + r.length].tobytes()) for r in own)
+        assert all(r.length == 128 for r in own[1:]) and all(r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes()) for r in own)
     total = sum(r.length for r in rows)
     assert len(by_doc[402]) == 2 * -(-901 // 128) and by_doc[400][0].length == 1 and len(by_sequence) <= 1.07 * -(-total // 128)  # five tasks of some sixty pieces
     assert packing.pack(df.limit(0), size=128).count() == 0
 
 
+def test_given_documents_are_packed_as_the_library_tokenizes_them(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs = docs.withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("a <|endoftext|>"), "text")).otherwise(F.col("text")))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    check_packing(docs, packing.op5_packing(spark, str(tmp_path)).collect())
+
+
+def check_packing(docs, rows):
+    exact = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
+    by_doc, by_sequence = {}, {}
+    for r in rows:
+        by_doc.setdefault(r.doc_id, []).append(r)
+        by_sequence.setdefault(r.sequence_id, []).append(r)
+    for doc in docs.collect():
+        ids = np.append(np.array(exact.encode(doc.text or "", add_special_tokens=False).ids, "<u4"), np.uint32(0)).astype("<u4")
+        own = sorted(by_doc.pop(doc.doc_id), key=lambda r: r.piece)
+        first = len(ids) % packing.SIZE or packing.SIZE
+        want = [(0, first)] + [(at, packing.SIZE) for at in range(first, len(ids), packing.SIZE)]
+        assert [(r.piece, r.start, r.length, r.ids_crc32) for r in own] == [(n, a, size, zlib.crc32(ids[a : a + size].tobytes())) for n, (a, size) in enumerate(want)]
+    assert not by_doc
+    for own in by_sequence.values():
+        own.sort(key=lambda r: r.offset)
+        assert [r.offset for r in own] == np.cumsum([0] + [r.length for r in own])[:-1].tolist() and sum(r.length for r in own) <= packing.SIZE
+    assert len(by_sequence) <= 1 + 1.02 * -(-sum(r.length for r in rows) // packing.SIZE)
+
+
+def test_pipeline_equals_plain_stages(spark):
+    """Each stage on the given documents against what plain Python makes of the rows that the stage before kept."""
+    d, (named, stages) = "/root/testdata/sf0.001", zip(*corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    tables = [docs]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        tables.append(corpus_pipeline.written(stage(spark, tables[-1], d), name))
+    rows = [t.collect() for t in tables]
+    ids = [sorted(r.doc_id for r in some) for some in rows]
+
+    labels = spark.read.parquet(f"{d}/labels.parquet").filter(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
+    model = quality.fit_quality(labels, docs)
+    tools = quality._compressors(model)
+    score = lambda t: 1 / (1 + np.exp(-np.clip(np.dot(quality.features((t or "").encode(), *tools), model.weights), -30, 30)))
+    assert ids[1] == sorted(r.doc_id for r in rows[0] if score(r.text) >= 0.5)
+
+    learned = language_id.fit_languages(tables[1].filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).select("doc_id", "text", "lang"))
+    bits = lambda t: language_id.code_lengths(learned, learned.tables(), [t.encode()]).min() / len(t.encode())
+    assert ids[2] == sorted(r.doc_id for r in rows[1] if any(map(str.isalpha, r.text or "")) and bits(r.text) < 8)
+
+    near = brute_near([(r.doc_id, r.text) for r in rows[2]], near_dup.Likeness())
+    assert ids[3] == sorted(k for k, (_, component) in near.items() if k == component)
+
+    items = [decontaminate._words([r.text])[0] for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()]
+    holds = lambda words: any(decontaminate.edits_of(i, words)[0] <= len(i) * 20 // 100 for i in items)
+    assert ids[4] == sorted(r.doc_id for r in rows[3] if not holds(decontaminate._words([r.text])[0]))
+    check_packing(tables[4], stages[-1](spark, tables[4], d).collect())
+    assert named == ("quality", "language", "near_dup", "decontaminate", "pack") and len(ids[0]) > len(ids[1]) and len(ids[3]) > len(ids[4]) > 0
+
+
 def test_pipeline_on_odd_documents(spark, tmp_path):
     rng, item = random.Random(10), " ".join(f"bench{k}" for k in range(20))
     words = "the river runs by old stone houses and every garden has light".split()
