@@ -10,8 +10,8 @@ from palimpsest.functions import text as X
 from palimpsest.operators import branches as B
 from palimpsest.operators import content as C
 from palimpsest.operators import diff as D
-from palimpsest.operators.overlay import VersionedTable, local_table
-from palimpsest.session import table
+from palimpsest.operators.overlay import VersionedTable, apply_net, fold, local_table
+from palimpsest.session import table, written
 from palimpsest.streaming import cdc
 
 
@@ -21,9 +21,9 @@ def money(c: str | Column) -> Column:
 
 
 def orders_overlay(spark: SparkSession, sf_dir: str) -> VersionedTable:
-    """orders with every 13th row's status patched (and every 26th's priority set to NULL), every 17th removed, and new rows under negative keys."""
+    """orders with every 13th row's status patched (and every 26th's priority set to NULL), every 17th removed, and a copy of every 29th under a negative key."""
     orders = table(spark, sf_dir, "orders")
-    new = orders.filter("o_orderkey < 100").withColumns({"o_orderkey": -F.col("o_orderkey") - 1, "o_orderstatus": F.lit("N")})
+    new = orders.filter("o_orderkey % 29 = 0").withColumns({"o_orderkey": -F.col("o_orderkey") - 1, "o_orderstatus": F.lit("N")})
     t = VersionedTable(orders, ("o_orderkey",)).update(F.col("o_orderkey") % 13 == 0, {"o_orderstatus": F.lit("X")})
     t = t.update(F.col("o_orderkey") % 26 == 0, {"o_orderpriority": F.lit(None).cast("string")})
     return t.delete(F.col("o_orderkey") % 17 == 0).insert(new)
@@ -34,7 +34,7 @@ WITH v AS (
   SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 13 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_totalprice, o_orderdate,
     CASE WHEN o_orderkey % 26 = 0 THEN NULL ELSE o_orderpriority END AS o_orderpriority
   FROM orders WHERE o_orderkey % 17 <> 0
-  UNION ALL SELECT -o_orderkey - 1, o_custkey, 'N', o_totalprice, o_orderdate, o_orderpriority FROM orders WHERE o_orderkey < 100
+  UNION ALL SELECT -o_orderkey - 1, o_custkey, 'N', o_totalprice, o_orderdate, o_orderpriority FROM orders WHERE o_orderkey % 29 = 0
 )"""
 
 QUERIES: dict = {}
@@ -98,8 +98,6 @@ FROM base b FULL JOIN net n ON b.user_id = n.user_id
 WHERE coalesce(n.bop, '-') <> 'D' AND (b.user_id IS NOT NULL OR n.bop = 'I')""")
 def oplog_fold(spark, d):
     """The events as a log over the customers' balances: a signup is a row, an error a removal, a click sets value, all set kind."""
-    from palimpsest.operators.overlay import apply_net, fold
-
     base = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_acctbal").alias("value"), F.lit("base").alias("kind"))
     kind = F.col("event_type")
     ops = table(spark, d, "events").select(
@@ -107,7 +105,7 @@ def oplog_fold(spark, d):
         F.when(kind.isin("click", "signup"), F.array(F.lit("value"), F.lit("kind"))).when(kind == "error", F.array().cast("array<string>")).otherwise(F.array(F.lit("kind"))).alias("changed"),
         "user_id", "value", kind.alias("kind"),
     )
-    return apply_net(base, fold(ops, ["user_id"], base.columns), ["user_id"])
+    return apply_net(base, written(fold(ops, ["user_id"], base.columns), "net"), ["user_id"])
 
 
 @query("SELECT c_custkey, c_nationkey, CASE WHEN c_acctbal < 0 AND c_mktsegment = 'BUILDING' THEN c_acctbal + 100 ELSE c_acctbal END AS c_acctbal, CASE WHEN c_acctbal < 0 AND c_mktsegment = 'BUILDING' THEN 'RESCUED' ELSE c_mktsegment END AS c_mktsegment FROM customer")

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: str = "8", app: str = "palimpsest") -> SparkSession:
@@ -52,3 +53,17 @@ def dropped(df: DataFrame) -> None:
     for path in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def numbered(rows: DataFrame, name: str) -> DataFrame:
+    """rows with consecutive numbers from 0 in a column `name`, without a sort or a single task: rows are written and each file's are counted."""
+    spark, mark = rows.sparkSession, F.monotonically_increasing_id()
+    kept = written(rows.withColumn(name, mark), "numbered")
+    counts = {r.part: r.n for r in kept.groupBy(F.shiftright(name, 33).alias("part")).agg(F.count("*").alias("n")).collect()}  # a number a task
+    shifts, so_far = [], 0
+    for part in sorted(counts):
+        shifts.append((part, so_far - (part << 33)))
+        so_far += counts[part]
+    shift = spark.createDataFrame(shifts, "_part long, _shift long")
+    placed = kept.withColumn("_part", F.shiftright(name, 33)).join(F.broadcast(shift), "_part")
+    return placed.withColumn(name, F.col(name) + F.col("_shift")).select(*rows.columns, name)

@@ -66,7 +66,7 @@ def test_insert_over_a_row_replaces_it_and_delete_hides_it_for_good(spark, base)
 
 def test_update_of_nothing_changes_nothing(base):
     t = VersionedTable(base, ("k",)).update(F.col("k") == 99, {"a": F.lit("x")})
-    assert rows(t.read()) == rows(base) and t.ops.count() == 0
+    assert rows(t.read()) == rows(base) and t.changes_since(1).count() == 0
 
 
 def test_limit_and_order_come_after_the_merge(spark, base):
@@ -99,3 +99,58 @@ def test_filter_on_an_unpatched_column_reaches_the_scan(spark, base, tmp_path):
     t = VersionedTable(stored, ("k",)).delete(F.col("k") == 3)
     plan = t.read().filter("k = 5")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(k,5)" in plan
+
+
+def test_random_statements_equal_a_dict(spark, base):
+    rng = random.Random(5)
+    for _ in range(3):
+        t, model = VersionedTable(base, ("k",)), {r.k: (r.a, r.c) for r in base.collect()}
+        for n in range(9):
+            kind, k = rng.choice("IIUUUDDT" if n == 4 else "IIUUUDD"), rng.randrange(10)
+            if kind == "I":
+                new = [(k, f"i{n}", n), (k + 20, None, n)]
+                t = t.insert(spark.createDataFrame(new, base.schema))
+                model |= {x: (a, c) for x, a, c in new}
+            elif kind == "U":
+                t = t.update(F.col("c") % 3 == k % 3, {"c": F.col("c") + k, "a": F.lit(None)})
+                model = {x: (None, c + k) if c % 3 == k % 3 else (a, c) for x, (a, c) in model.items()}
+            elif kind == "D":
+                t = t.delete(F.col("k") % 4 == k % 4)
+                model = {x: v for x, v in model.items() if x % 4 != k % 4}
+            else:
+                t, model = t.truncate(), {}
+        want = sorted(((k, *v) for k, v in model.items()), key=str)
+        assert rows(t.read()) == want
+        stored = t.stored()
+        assert rows(stored.read()) == want and not stored.statements and stored.dirty().count() == 0
+        assert rows(stored.insert(base.limit(1)).delete(F.lit(True)).stored().read()) == []
+
+
+def test_nothing_runs_on_writing_and_the_base_is_read_once(spark, base, tmp_path):
+    base.write.parquet(str(tmp_path / "base"))
+    stored = spark.read.parquet(str(tmp_path / "base"))
+    t = VersionedTable(stored, ("k",)).update(F.col("k") % 2 == 0, {"a": F.lit("x")}).delete(F.col("c") > 50).update(F.col("k") == 1, {"c": F.lit(0)})
+    plan = t.read()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Join" not in plan and "Exchange" not in plan
+
+
+def test_new_rows_get_keys_below_zero(spark, base):
+    new = spark.createDataFrame([(f"n{k}", k) for k in range(5)], "a string, c long").repartition(3)
+    t = VersionedTable(base, ("k",)).insert_new(new)
+    assert sorted(r.k for r in t.read().filter("k < 0").collect()) == [-5, -4, -3, -2, -1]
+    assert sorted(r.k for r in t.insert_new(new.limit(2)).read().filter("k < 0").collect()) == [-7, -6, -5, -4, -3, -2, -1]
+
+
+def test_keys_cannot_be_set_and_equal_keys_of_an_insert_are_one(spark, base):
+    with pytest.raises(ValueError):
+        VersionedTable(base, ("k",)).update(F.lit(True), {"k": F.lit(1)})
+    twice = spark.createDataFrame([(50, "a", 1), (50, "b", 1)], base.schema)
+    assert rows(VersionedTable(base, ("k",)).insert(twice).read().filter("k = 50")) == [(50, "b", 1)]
+
+
+def test_journal_by_time_and_the_dirty_keys(base):
+    t = VersionedTable(base, ("k",)).update(F.col("k") == 1, {"a": F.lit("z")})
+    later = t.delete(F.col("k") < 3)
+    assert [(r.seq, r.k) for r in later.changes_since(later.statements[1].at).orderBy("k").collect()] == [(2, 0), (2, 1), (2, 2)]
+    assert sorted((r.k, r.op) for r in later.dirty().collect()) == [(0, "D"), (1, "D"), (2, "D")]
+    assert sorted((r.k, r.op) for r in t.truncate().dirty(2).collect()) == [(k, "D") for k in range(8)]
