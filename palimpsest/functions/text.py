@@ -36,6 +36,28 @@ def is_tree_path(path: Column) -> Column:
     return F.coalesce(path.rlike(r"^(/(?!\.{1,2}(/|$))[^/\x00]+)+$"), F.lit(False))
 
 
+def is_server_path(path: Column) -> Column:
+    """Paths that belong to the server that runs a site, not to the site: its own folder, version control, database files."""
+    return F.coalesce(path.rlike(r"(^|/)(\.git|\.server|node_modules)(/|$)|\.(sqlite|db)(-wal|-shm|-journal)?$"), F.lit(False))
+
+
+#: Names that no branch may have.
+RESERVED = ["HEAD", "main", "master", "origin", "refs", "new"]
+
+
+def is_branch_name(name: Column) -> Column:
+    """Letters, digits, `-` and `_` after a letter or digit, 64 at most, and no reserved name."""
+    return F.coalesce(name.rlike("^[a-zA-Z0-9][a-zA-Z0-9_-]{0,63}$") & ~name.isin(RESERVED), F.lit(False))
+
+
+def is_identifier(name: Column) -> Column:
+    return F.coalesce(name.rlike("^[A-Za-z_][A-Za-z0-9_]*$"), F.lit(False))
+
+
+def joined(folder: Column, name: Column) -> Column:
+    return F.concat(F.regexp_replace(folder, "/+$", ""), F.lit("/"), F.regexp_replace(name, "^/+", ""))
+
+
 def url_host(url: Column) -> Column:
     return F.lower(F.try_parse_url(url, F.lit("HOST")))
 
@@ -77,7 +99,13 @@ def _rewrite_value(data: bytes, at: int, old: bytes, new: bytes) -> tuple[bytes,
         size, begin = int(data[at + 2 : colon]), colon + 2
         if data[colon + 1 : begin] != b'"' or data[begin + size : begin + size + 2] != b'";':
             raise ValueError("string length")
-        text = data[begin : begin + size].replace(old, new)
+        inner = data[begin : begin + size]
+        try:  # a string that is itself a serialized value, to its end
+            text, end = _rewrite_value(inner, 0, old, new)
+            if end != len(inner):
+                text = inner.replace(old, new)
+        except (ValueError, IndexError):
+            text = inner.replace(old, new)
         return b's:%d:"%s";' % (len(text), text), begin + size + 2
     if kind in (b"a:", b"O:"):
         head_end = data.index(b":{", at) + 2
@@ -113,22 +141,11 @@ def rewrite_serialized(text: Column, old: str, new: str) -> Column:
     return rewritten(text)
 
 
-def links(html: Column) -> Column:
-    """The href values of a page's anchors, in order, entities left as they are."""
-    return F.regexp_extract_all(html, F.lit(r"(?i)<a\s(?:[^>]*?\s)?href\s*=\s*\"([^\"]*)\""), F.lit(1))
-
-
 def headings(html: Column) -> Column:
     """The levels of a page's headings, in order."""
     return F.transform(F.regexp_extract_all(html, F.lit(r"(?i)<h([1-6])[\s>]"), F.lit(1)), lambda h: h.cast("int"))
 
 
-def without_active(html: Column) -> Column:
-    """Scripts and on* handlers taken out."""
-    bare = F.regexp_replace(html, r"(?is)<script\b.*?</script\s*>", "")
-    return F.regexp_replace(bare, r"(?i)\son[a-z]+\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", "")
-
-
 def absolute(href: Column, page: Column) -> Column:
     """A link as an absolute address, seen from its page."""
     site = F.regexp_extract(page, "^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*", 0)
@@ -140,13 +157,34 @@ def absolute(href: Column, page: Column) -> Column:
     )
 
 
-def blocks(content: Column) -> Column:
-    """Block comments of a post in order: array of (name, attrs as JSON text, closing, void)."""
-    found = F.regexp_extract_all(content, F.lit(r"(<!--\s+/?wp:[a-z][a-z0-9_/-]*\s+(?:\{.*?\}\s+)?/?-->)"), F.lit(1))
-    return F.transform(
-        found,
-        lambda c: F.struct(
-            F.regexp_extract(c, r"wp:([a-z][a-z0-9_/-]*)", 1).alias("name"), F.regexp_extract(c, r"(\{.*\})", 1).alias("attrs"),
-            c.rlike(r"^<!--\s+/wp:").alias("closing"), c.rlike(r"/-->$").alias("void"),
-        ),
-    )
+def patched(left: Column, right: Column) -> Column:
+    """Two maps in one; where both have a key, the right one's value counts."""
+    kept = F.map_filter(left, lambda k, _: ~F.map_contains_key(right, k))
+    return F.map_concat(kept, right)
+
+
+def sorted_keys(m: Column) -> Column:
+    """A map's keys, shorter ones first, equally long ones by their bytes."""
+    return F.transform(F.array_sort(F.transform(F.map_keys(m), lambda k: F.struct(F.octet_length(k).alias("n"), k.alias("k")))), lambda s: s["k"])
+
+
+def scrubbed(data: Column) -> Column:
+    """Bytes as text, every invalid part made U+FFFD."""
+    return F.make_valid_utf8(data.cast("string"))
+
+
+def salvaged(data: Column) -> Column:
+    """Bytes as text: as UTF-8 where they are valid, else as Latin-1."""
+    return F.when(F.is_valid_utf8(data.cast("string")), data.cast("string")).otherwise(F.decode(data, "ISO-8859-1"))
+
+
+def has_noncharacters(text: Column) -> Column:
+    """Whether a text holds a code point that Unicode keeps free for good: U+FDD0 to U+FDEF, or the last two of a plane."""
+    last_two = "".join(f"\\x{{{plane:X}FFFE}}\\x{{{plane:X}FFFF}}" for plane in range(17))
+    return text.rlike(f"[\\x{{FDD0}}-\\x{{FDEF}}{last_two}]")
+
+
+def local_date(gmt: Column, zone: str) -> Column:
+    """A GMT date and time as text, in a site's own zone; what is no date stays."""
+    at = F.try_to_timestamp(gmt, F.lit("yyyy-MM-dd HH:mm:ss"))
+    return F.coalesce(F.date_format(F.from_utc_timestamp(at, zone), "yyyy-MM-dd HH:mm:ss"), gmt)

@@ -5,36 +5,47 @@ branches(branch, parent); entries(branch, path, hash, is_dir): a null hash that
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from functools import reduce
 
-from palimpsest.session import written
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
-DEPTH = 1000
+from palimpsest.functions.lines import line_merge
+from palimpsest.functions.text import is_server_path, parents
+from palimpsest.operators.diff import three_way
+from palimpsest.session import numbered, written
 
 
 def chains(branches: DataFrame) -> DataFrame:
-    """(branch, ancestor, depth): every branch with itself (depth 0) and what it inherits from, by a recursive query."""
-    spark = branches.sparkSession
-    branches.createOrReplaceTempView("palimpsest_branches")
-    return spark.sql(f"""
-        WITH RECURSIVE chain(branch, ancestor, parent, depth) MAX RECURSION LEVEL {DEPTH} AS (
-          SELECT branch, branch, parent, 0L FROM palimpsest_branches
-          UNION ALL
-          SELECT c.branch, b.branch, b.parent, c.depth + 1 FROM chain c JOIN palimpsest_branches b ON b.branch = c.parent
-        ) SELECT branch, ancestor, depth FROM chain""")
-
-
-def resolved(branches: DataFrame, entries: DataFrame) -> DataFrame:
-    """(branch, path, hash, is_dir): what each branch shows; the nearest entry of a path wins and a tombstone hides it."""
+    """(branch, ancestor, depth): every branch with itself (depth 0) and what it inherits from.
+
+    Pointers are doubled: each round joins the steps known so far with themselves, so chains of n branches take log2(n) rounds.
+    """
+    known = branches.select("branch", "parent")
+    out = known.select("branch", F.col("branch").alias("ancestor"), F.lit(0).cast("long").alias("depth"))
+    jump = known.filter("parent is not null and parent <> branch").join(known.select(F.col("branch").alias("parent")), "parent").select("branch", F.col("parent").alias("to"))
+    step = 1
+    while not jump.isEmpty():
+        more = out.alias("o").join(jump.alias("j"), F.col("o.ancestor") == F.col("j.branch")).select("o.branch", F.col("j.to").alias("ancestor"), (F.col("o.depth") + step).alias("depth"))
+        out = written(out.unionByName(more), "chains")
+        jump = written(jump.alias("a").join(jump.alias("b"), F.col("a.to") == F.col("b.branch")).select("a.branch", F.col("b.to").alias("to")), "jump")
+        step *= 2
+        if step > 1 << 40:
+            raise ValueError("branches that are their own ancestors")
+    return out
+
+
+def resolved(branches: DataFrame, entries: DataFrame, only: list[str] | None = None) -> DataFrame:
+    """(branch, path, hash, is_dir): what each branch shows, or those named in `only`; the nearest entry of a path wins and a tombstone hides it."""
     line = chains(branches).withColumnRenamed("branch", "of")
+    line = line if only is None else line.filter(F.col("of").isin(only))
     seen = line.join(entries, F.col("ancestor") == F.col("branch")).select("of", "path", "hash", "is_dir", "depth")
     nearest = seen.groupBy("of", "path").agg(F.min_by(F.struct("hash", "is_dir"), "depth").alias("e"))
     return nearest.filter("e.hash is not null or e.is_dir").select(F.col("of").alias("branch"), "path", "e.hash", "e.is_dir")
 
 
 def listed(tree: DataFrame, folder: str) -> DataFrame:
-    """Direct children of a folder, by name."""
+    """Direct children of a folder, with their names; order the rows by name where they are shown."""
     base = "" if folder in ("", "/") else "/" + folder.strip("/")
     inside = F.substring("path", len(base) + 2, 1 << 20)
     return tree.filter(F.startswith("path", F.lit(base + "/"))).filter(~F.contains(inside, F.lit("/"))).withColumn("name", inside)
@@ -60,13 +71,124 @@ def tree_digest(tree: DataFrame) -> DataFrame:
     return tree.groupBy("branch").agg(F.sha2(F.concat_ws("-", *lanes), 256).alias("digest"), F.count("*").alias("files"))
 
 
-def common_ancestors(branches: DataFrame) -> DataFrame:
-    """(a, b, ancestor): the nearest branch that both inherit from, for every two branches that have one."""
+def common_ancestors(branches: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """(a, b, ancestor): the nearest branch that both inherit from, for pairs(a, b), or for every two branches that have one."""
     line = chains(branches)
-    both = line.toDF("a", "ancestor", "da").join(line.toDF("b", "ancestor", "db"), "ancestor").filter("a < b")
+    if pairs is None:
+        both = line.toDF("a", "ancestor", "da").join(line.toDF("b", "ancestor", "db"), "ancestor").filter("a < b")
+    else:
+        both = pairs.join(line.toDF("a", "ancestor", "da"), "a").join(line.toDF("b", "ancestor", "db"), ["b", "ancestor"])
     return both.groupBy("a", "b").agg(F.min_by("ancestor", F.struct(F.col("da") + F.col("db"), "ancestor")).alias("ancestor"))
 
 
+# Writes: rows (branch, path, hash, is_dir) that with_writes() lays over the entries
+
+
+def files_written(files: DataFrame) -> DataFrame:
+    """files(branch, path, hash) as writes."""
+    return files.select("branch", "path", "hash", F.lit(False).alias("is_dir"))
+
+
+def removed(paths: DataFrame) -> DataFrame:
+    """Tombstones for paths(branch, path): a folder's own row goes, what is in it stays."""
+    return paths.select("branch", "path", F.lit(None).cast("string").alias("hash"), F.lit(False).alias("is_dir"))
+
+
+def removed_with_contents(tree: DataFrame, paths: DataFrame) -> DataFrame:
+    """Tombstones for paths(branch, path) and all that tree(branch, path, ...) shows below them: each path is looked up by its own folders."""
+    above = tree.select("branch", F.col("path").alias("of"), F.explode(F.concat(parents(F.col("path")), F.array("path"))).alias("path"))
+    return removed(above.join(paths.select("branch", "path"), ["branch", "path"], "left_semi").select("branch", F.col("of").alias("path")).distinct())
+
+
+def folders_made(paths: DataFrame) -> DataFrame:
+    return paths.select("branch", "path", F.lit(None).cast("string").alias("hash"), F.lit(True).alias("is_dir"))
+
+
+def missing_folders(tree: DataFrame, writes: DataFrame) -> DataFrame:
+    """Folders that the paths written stand in and tree lacks, as writes."""
+    above = writes.filter("hash is not null or is_dir").select("branch", F.explode(parents(F.col("path"))).alias("path")).distinct()
+    return folders_made(above.join(tree.select("branch", "path"), ["branch", "path"], "left_anti"))
+
+
+def renamed(tree: DataFrame, moves: DataFrame) -> DataFrame:
+    """moves(branch, path, to) as writes: a copy of what the branch shows at path, and a tombstone there; a move of nothing writes nothing."""
+    found = tree.join(moves, ["branch", "path"])
+    return found.select("branch", F.col("to").alias("path"), "hash", "is_dir").unionByName(removed(found.join(moves.select("branch", F.col("to").alias("path")), ["branch", "path"], "left_anti")))
+
+
+def with_writes(entries: DataFrame, *writes: DataFrame) -> DataFrame:
+    """entries after the writes, later ones over earlier ones: one row a branch and path, nothing of other branches touched."""
+    names = ["branch", "path", "hash", "is_dir"]
+    rows = [t.select(*names).withColumn("turn", F.lit(n)) for n, t in enumerate((entries, *writes))]
+    last = reduce(DataFrame.unionByName, rows).groupBy("branch", "path").agg(F.max_by(F.struct("hash", "is_dir"), "turn").alias("e"))
+    return last.select("branch", "path", "e.hash", "e.is_dir")
+
+
+# Commits: commits(commit_id, branch, parent_id, marker, message, digest) and files(commit_id, path, hash, is_dir)
+
+
+def recorded(tree: DataFrame, commits: DataFrame, heads: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """New rows of commits and of files: a commit of what each branch of heads(branch, marker, message) shows, above its latest one.
+
+    A branch whose tree is what its latest commit holds gets none; ids go on from the greatest there is.
+    """
+    latest = commits.groupBy("branch").agg(F.max_by(F.struct("commit_id", "digest"), "commit_id").alias("last"))
+    now = heads.join(tree_digest(tree).select("branch", "digest"), "branch", "left").withColumn("digest", F.coalesce("digest", F.lit("")))
+    now = now.join(latest, "branch", "left").filter(F.col("last").isNull() | (F.col("last.digest") != F.col("digest")))
+    top = commits.agg(F.coalesce(F.max("commit_id"), F.lit(0))).first()[0]
+    new = numbered(now, "n").select((F.col("n") + top + 1).alias("commit_id"), "branch", F.col("last.commit_id").alias("parent_id"), "marker", "message", "digest")
+    return new, tree.join(new.select("branch", "commit_id"), "branch").select("commit_id", "path", "hash", "is_dir")
+
+
+def dirty(tree: DataFrame, commits: DataFrame, heads: DataFrame) -> DataFrame:
+    """(branch, dirty): whether a branch shows other than the commit that heads(branch, commit_id) says it stands at, which need not be its newest."""
+    at = heads.join(commits.select("commit_id", "digest"), "commit_id", "left").select("branch", F.col("digest").alias("at"))
+    now = at.join(tree_digest(tree).select("branch", "digest"), "branch", "left")
+    return now.select("branch", (~F.coalesce("digest", F.lit("")).eqNullSafe(F.col("at"))).alias("dirty"))
+
+
+def history(commits: DataFrame, heads: DataFrame, n: int = 20) -> DataFrame:
+    """(branch, commit_id, back): the n commits (1 to 500) from heads(branch, commit_id) along first parents; the steps are doubled each round."""
+    n = max(1, min(n, 500))
+    out = heads.select("branch", "commit_id", F.lit(0).cast("long").alias("back"))
+    jump, step = commits.filter("parent_id is not null").select("commit_id", F.col("parent_id").alias("to")), 1
+    while step < n:
+        more = out.join(jump, "commit_id").select("branch", F.col("to").alias("commit_id"), (F.col("back") + step).alias("back"))
+        out = written(out.unionByName(more.filter(F.col("back") < n)), "history")
+        jump = written(jump.alias("a").join(jump.alias("b"), F.col("a.to") == F.col("b.commit_id")).select("a.commit_id", F.col("b.to").alias("to")), "jump")
+        step *= 2
+    return out
+
+
+def paired(log: DataFrame, files_of: DataFrame) -> DataFrame:
+    """log(marker, ...) with whether a commit of files is paired with each marker, so that a reset there brings files back."""
+    return log.join(files_of.select("marker").filter("marker is not null").distinct().withColumn("has_files", F.lit(True)), "marker", "left").withColumn("has_files", F.coalesce("has_files", F.lit(False)))
+
+
+def exported(tree: DataFrame, branch: str, transient: Column | None = None) -> DataFrame:
+    """(path, hash, is_dir) of one branch on its own, without the rows that are the server's or that `transient` holds for."""
+    rows = tree.filter((F.col("branch") == branch) & ~is_server_path(F.col("path"))).select("path", "hash", "is_dir")
+    return rows if transient is None else rows.filter(~F.coalesce(transient, F.lit(False)))
+
+
+def merged_files(base: DataFrame, source: DataFrame, target: DataFrame, strategy: str = "abort") -> DataFrame:
+    """(path, text, decision) after a merge of three states of (path, text): whole files by three_way(), files that both sides changed line by line.
+
+    decision is noop, apply, keep, merged or conflict; a conflict's text has both sides between markers, or the side that the strategy names.
+    """
+    plan = three_way(base, source, target, ["path"])
+    of = lambda t, name: t.select("path", F.struct("text").alias(name))
+    rows = plan.join(of(base, "b"), "path", "left").join(of(source, "s"), "path", "left").join(of(target, "t"), "path", "left")
+    clash = rows.filter("decision = 'conflict'").withColumn("m", F.when(F.expr("s is not null and t is not null"), line_merge(F.col("b.text"), F.col("t.text"), F.col("s.text"))))
+    side = {"theirs": F.col("s.text"), "ours": F.col("t.text")}.get(strategy, F.col("m.text"))
+    clean = F.coalesce(~F.col("m.conflict"), F.lit(False))
+    decided = clash.select("path", F.when(clean, F.col("m.text")).otherwise(side).alias("text"), F.when(clean, "merged").otherwise("conflict").alias("decision"))
+    if strategy == "abort" and (some := decided.filter("decision = 'conflict'").select("path").limit(20).collect()):
+        raise ValueError(f"conflicts on {[r.path for r in some]}")
+    plain = rows.filter("decision <> 'conflict'").select("path", F.when(F.col("decision") == "apply", F.col("s.text")).otherwise(F.col("t.text")).alias("text"), "decision")
+    return plain.unionByName(decided).filter("text is not null")
+
+
 def snapshot(tree: DataFrame, branch: str, commit: int) -> DataFrame:
     return tree.filter(F.col("branch") == branch).select(F.lit(commit).cast("long").alias("commit_id"), "path", "hash", "is_dir")
 
@@ -81,8 +203,9 @@ def reset(entries: DataFrame, branches: DataFrame, branch: str, snap: DataFrame)
 
 def commit_log(commits: DataFrame, n: int = 20) -> DataFrame:
     """The latest n commits (1 to 500) of each branch, latest first, with the commit before."""
-    latest = Window.partitionBy("branch").orderBy(F.desc("commit_id"))
-    return commits.withColumns({"rank": F.row_number().over(latest).cast("long"), "before": F.lead("commit_id").over(latest)}).filter(F.col("rank") <= max(1, min(n, 500)))
+    n, latest = max(1, min(n, 500)), Window.partitionBy("branch").orderBy(F.desc("commit_id"))
+    some = commits.withColumn("rank", F.row_number().over(latest)).filter(F.col("rank") <= n + 1)  # tasks drop the rest before the shuffle
+    return some.withColumns({"before": F.lead("commit_id").over(latest), "rank": F.col("rank").cast("long")}).filter(F.col("rank") <= n)
 
 
 def promoted(branches: DataFrame, branch: str) -> DataFrame:
@@ -111,12 +234,20 @@ def hierarchy_faults(nodes: DataFrame, rounds: int = 64) -> DataFrame:
     raise ValueError(f"chains longer than 2 ** {rounds}")
 
 
+def flat_paths(posts: DataFrame) -> DataFrame:
+    """(id, path) of posts(id, slug): one file each beside the others."""
+    return posts.select("id", F.concat(F.lit("/"), F.col("id").cast("string"), F.coalesce(F.concat(F.lit("-"), "slug"), F.lit("")), F.lit(".md")).alias("path"))
+
+
 def nested_paths(posts: DataFrame) -> DataFrame:
     """(id, path) of posts(id, slug, up): folders named id-slug inside the folder of the post whose slug is `up`.
 
     Slugs that name a parent must belong to one post; posts whose parents lead to no root have no path.
     Each round puts what stands above a post's known parents before them, so a chain of n posts takes log2(n) rounds.
     """
+    named = posts.join(posts.filter("up is not null").select(F.col("up").alias("slug")).distinct(), "slug", "left_semi")
+    if twice := named.groupBy("slug").count().filter("count > 1").limit(5).collect():
+        raise ValueError(f"parents named by slugs of several posts: {[r.slug for r in twice]}")
     own = F.concat(F.lit("/"), F.col("id").cast("string"), F.lit("-"), "slug")
     state = written(posts.select("id", "slug", "up", own.alias("path")), "posts")
     done, left = state.filter("up is null"), state.filter("up is not null")

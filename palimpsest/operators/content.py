@@ -22,11 +22,6 @@ def buckets(rows: DataFrame, keys: list[str], bucket: str) -> DataFrame:
     )
 
 
-def set_digest(lines: Column) -> Column:
-    """SHA-256 of a group's lines in byte order: for groups of bounded size."""
-    return F.sha2(F.array_join(F.array_sort(F.collect_list(lines)), ""), 256)
-
-
 def stored_once(blobs: DataFrame, text: str = "text") -> DataFrame:
     """(hash, size, refs) of the distinct texts."""
     hashed = blobs.select(F.sha2(F.coalesce(text, F.lit("")), 256).alias("hash"), F.length(F.encode(F.coalesce(text, F.lit("")), "UTF-8")).cast("long").alias("size"))
@@ -44,8 +39,29 @@ def missing(wanted: DataFrame, present: DataFrame) -> DataFrame:
     return wanted.join(present.select("hash"), "hash", "left_anti")
 
 
-def reachable(edges: DataFrame, roots: DataFrame, rounds: int = 64) -> DataFrame:
-    """(node, depth): nodes reached from roots(node) by edges(node, ref), at their least depth; each round's frontier is distinct and new."""
+def put_once(store: DataFrame, new: DataFrame) -> DataFrame:
+    """store(hash, data, refs) with the new chunks that it lacks, each once; a chunk whose hash is not that of its data is refused."""
+    if wrong := new.filter(~F.sha2("data", 256).eqNullSafe(F.col("hash"))).select("hash").limit(5).collect():
+        raise ValueError(f"chunks that are not what their hashes say: {[r.hash for r in wrong]}")
+    return store.unionByName(missing(new, store).dropDuplicates(["hash"]).select(store.columns))
+
+
+def garbage_totals(blobs: DataFrame, *live: DataFrame) -> DataFrame:
+    """One row for a dry run over blobs(hash, size): how many there are and their bytes, before and after, and what would go."""
+    marked = blobs.withColumn("_live", F.lit(False))
+    for table in live:
+        named = table.select("hash").distinct().withColumn("_named", F.lit(True))
+        marked = marked.join(named, "hash", "left").withColumn("_live", F.col("_live") | F.coalesce("_named", F.lit(False))).drop("_named")
+    size = lambda which: F.coalesce(F.sum(F.when(which, F.col("size"))), F.lit(0)).cast("long")
+    alive = F.col("_live")
+    return marked.agg(F.count("*").alias("blobs"), size(F.lit(True)).alias("bytes"), F.count_if(alive).alias("kept"), size(alive).alias("kept_bytes"), F.count_if(~alive).alias("freed"), size(~alive).alias("freed_bytes"))
+
+
+def reachable(edges: DataFrame, roots: DataFrame, rounds: int = 64, until: str | None = None) -> DataFrame:
+    """(node, depth): nodes reached from roots(node) by edges(node, ref), at their least depth; each round's frontier is distinct and new.
+
+    With `until`, the search ends as soon as that node is met.
+    """
     seen = roots.select("node").distinct().withColumn("depth", F.lit(0).cast("long"))
     frontier = seen
     for depth in range(1, rounds + 1):
@@ -54,4 +70,6 @@ def reachable(edges: DataFrame, roots: DataFrame, rounds: int = 64) -> DataFrame
         if frontier.isEmpty():
             return seen
         seen = seen.unionByName(frontier)
+        if until is not None and not frontier.filter(F.col("node") == until).isEmpty():
+            return seen
     raise ValueError(f"still going after {rounds} rounds")

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from palimpsest.operators.content import buckets, row_hash
 
 
-def _both(a: DataFrame, b: DataFrame, keys: list[str], how: str) -> DataFrame:
+def both_sides(a: DataFrame, b: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Both tables as a and b, joined on their keys, null-safe; `_in` is true on the sides that have the row."""
     left, right = a.withColumn("_in", F.lit(True)).alias("a"), b.withColumn("_in", F.lit(True)).alias("b")
     return left.join(right, reduce(lambda x, y: x & y, (F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys)), how)
 
@@ -21,7 +22,7 @@ def diff(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     differs = [F.when(~F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")), F.lit(c)) for c in others]
     kind = F.when(F.col("a._in").isNull(), "added").when(F.col("b._in").isNull(), "removed").otherwise("changed")
     changed = F.when(kind == "changed", F.array_compact(F.array(*differs))).otherwise(F.array().cast("array<string>"))
-    out = _both(a, b, keys, "full_outer").select(*[F.coalesce(f"a.{k}", f"b.{k}").alias(k) for k in keys], kind.alias("kind"), changed.alias("changed"))
+    out = both_sides(a, b, keys, "full_outer").select(*[F.coalesce(f"a.{k}", f"b.{k}").alias(k) for k in keys], kind.alias("kind"), changed.alias("changed"))
     return out.filter((F.col("kind") != "changed") | (F.size("changed") > 0))
 
 
@@ -62,12 +63,24 @@ def reconcile(source: DataFrame, target: DataFrame, keys: list[str], protected:
     equal = reduce(lambda x, y: x & y, (F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in others), F.lit(True))
     left = target if protected is None else target.withColumn("_held", F.coalesce(protected, F.lit(False)))
     action = F.when(F.col("b._in").isNull(), "insert").when(F.col("a._in").isNull(), "delete").when(~equal, "update")
-    rows = _both(source, left, keys, "full_outer").withColumn("action", action)
+    rows = both_sides(source, left, keys, "full_outer").withColumn("action", action)
     if protected is not None:
         rows = rows.filter((F.col("action") != "delete") | ~F.col("b._held"))
     return rows.filter("action is not null").select(*[F.coalesce(f"a.{k}", f"b.{k}").alias(k) for k in keys], "action")
 
 
+def applied(source: DataFrame, target: DataFrame, keys: list[str], protected: Column | None = None) -> DataFrame:
+    """The target made equal to the source, as reconcile() says: protected rows stay where the source has none of their key. Other columns than the source's are refused."""
+    if schema_changes(source, target):
+        raise ValueError("the tables' columns differ; reconcile them first")
+    rows = source.select(target.columns)
+    if protected is None:
+        return rows
+    held = target.filter(F.coalesce(protected, F.lit(False))).alias("a")
+    meets = reduce(lambda x, y: x & y, (F.col(f"a.`{k}`").eqNullSafe(F.col(f"b.`{k}`")) for k in keys))
+    return rows.unionByName(held.join(rows.select(*keys).alias("b"), meets, "left_anti"))
+
+
 def schema_changes(source: DataFrame, target: DataFrame) -> list[tuple[str, str]]:
     """(column, add or drop) to give target the source's columns, names compared without case; both at once are refused."""
     have, want = {c.lower(): c for c in target.columns}, {c.lower(): c for c in source.columns}

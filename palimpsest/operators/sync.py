@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.operators.content import missing, reachable
+from palimpsest.operators.content import missing, put_once, reachable
+from palimpsest.session import written
 
 
 def to_copy(chunks: DataFrame, have: DataFrame, root: str) -> DataFrame:
@@ -20,7 +21,7 @@ def descends(commits: DataFrame, new: str, old: str | None) -> bool:
     if old is None or old == new:
         return True
     edges = commits.select(F.col("hash").alias("node"), F.explode("parents").alias("ref"))
-    return not reachable(edges, commits.sparkSession.createDataFrame([(new,)], "node string"), 10_000).filter(F.col("node") == old).isEmpty()
+    return not reachable(edges, commits.sparkSession.createDataFrame([(new,)], "node string"), 10_000, until=old).filter(F.col("node") == old).isEmpty()
 
 
 class Refs:
@@ -60,3 +61,26 @@ class Refs:
         stream.writeUTF(new)
         stream.close()
         return True
+
+
+def push(local: DataFrame, remote: DataFrame, refs: Refs, name: str, new: str, commits: DataFrame) -> tuple[DataFrame, int, str]:
+    """(remote's chunks after it, how many moved, up-to-date or pushed): chunks go first and the reference last, so a push that fails leaves the reference where it was.
+
+    Refused where the reference is not among new's forebears in commits(hash, parents), or has moved in the meantime.
+    """
+    old = refs.get(name)
+    if old == new:
+        return remote, 0, "up-to-date"
+    if not descends(commits, new, old):
+        raise ValueError("push refused: not a fast-forward")
+    moved = written(to_copy(local, remote, new).select(remote.columns), "moved")
+    after = put_once(remote, moved)
+    if not refs.compare_and_set(name, old, new):
+        raise ValueError("push refused: the reference has moved; fetch first")
+    return after, moved.count(), "pushed"
+
+
+def fetch(local: DataFrame, remote: DataFrame, refs: Refs, name: str) -> tuple[DataFrame, str | None]:
+    """local's chunks with what the remote reference reaches, and that reference's hash; no local reference moves."""
+    at = refs.get(name)
+    return (local, None) if at is None else (put_once(local, written(to_copy(remote, local, at).select(local.columns), "moved")), at)

@@ -6,12 +6,16 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions import lines as L
+from palimpsest.functions import markup as M
 from palimpsest.functions import text as X
 from palimpsest.operators import branches as B
 from palimpsest.operators import content as C
 from palimpsest.operators import diff as D
+from palimpsest.operators import posts as P
+from palimpsest.operators import trees as T
 from palimpsest.operators.overlay import VersionedTable, apply_net, fold, local_table
 from palimpsest.session import table, written
+from palimpsest.sources import files as S
 from palimpsest.streaming import cdc
 
 
@@ -482,7 +486,7 @@ def slugify(spark, d):
     return table(spark, d, "part").select("p_partkey", X.slug(F.concat("p_name", F.lit(" ("), "p_brand", F.lit(")"))).alias("slug"))
 
 
-@query("SELECT page_id, host, CASE WHEN n = 1 THEN list_extract(p, 1) ELSE list_extract(p, 1) || '/' || list_extract(p, 2) END AS folder, n FROM (SELECT page_id, lower(regexp_extract(url, '://([^/:?#]*)', 1)) AS host, string_split(trim(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/'), '/') AS p, unnest(range(1, len(string_split(trim(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/'), '/')))) AS n FROM pages) WHERE n <= 2")
+@query("SELECT page_id, host, array_to_string(p[1:n], '/') AS folder, n FROM (SELECT page_id, lower(regexp_extract(url, '://([^/:?#]*)', 1)) AS host, string_split(trim(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/'), '/') AS p, unnest(range(1, len(string_split(trim(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/'), '/')))) AS n FROM pages)")
 def path_parents(spark, d):
     path = F.regexp_extract("url", "://[^/?#]*([^?#]*)", 1)
     rows = table(spark, d, "pages").select("page_id", X.url_host(F.col("url")).alias("host"), F.posexplode(X.parents(path)).alias("at", "folder"))
@@ -509,7 +513,7 @@ def nfc_hash(spark, d):
 
 @query("""SELECT page_id, CAST(len(l) AS BIGINT) AS n, list_extract(l, 1) AS first_link FROM (SELECT page_id, regexp_extract_all(html, '(?i)<a\\s(?:[^>]*?\\s)?href\\s*=\\s*"([^"]*)"', 1) AS l FROM pages)""")
 def html_links(spark, d):
-    found = X.links(F.col("html"))
+    found = M.links(F.col("html"))
     return table(spark, d, "pages").select("page_id", F.size(found).cast("long").alias("n"), F.get(found, F.lit(0)).alias("first_link"))
 
 
@@ -544,4 +548,242 @@ def serialized_rewrite(spark, d):
 
 @query("SELECT page_id, regexp_replace(html, '(?is)<script\\b.*?</script\\s*>', '', 'g') AS html FROM pages")
 def html_strip_active(spark, d):
-    return table(spark, d, "pages").select("page_id", X.without_active(F.col("html")).alias("html"))
+    return table(spark, d, "pages").select("page_id", M.without_active(F.col("html")).alias("html"))
+
+
+# Writes to branches, commits, merges of files
+
+PART = r"try_cast(regexp_extract(path, '/([0-9]+)\.txt$', 1) AS BIGINT)"
+
+
+@query(BRANCHES + f"""
+, k AS (SELECT t.*, {PART} AS n FROM tree t JOIN region ON branch = r_name), m AS (SELECT * FROM k WHERE n % 13 = 0 AND n % 11 <> 0)
+SELECT branch, path, hash, is_dir FROM k WHERE n IS NULL OR n % 11 <> 0 AND n % 13 <> 0
+UNION ALL SELECT branch, '/moved/' || n || '.txt', hash, is_dir FROM m UNION ALL SELECT DISTINCT branch, '/moved', CAST(NULL AS VARCHAR), true FROM m""")
+def branch_writes(spark, d):
+    """In each region's branch every 11th part's file is removed and every 13th moved to a new folder; what the branches then show."""
+    branches, entries = branch_tables(spark, d)
+    names = table(spark, d, "region").select(F.col("r_name").alias("branch"))
+    part = F.regexp_extract("path", r"/([0-9]+)\.txt$", 1).try_cast("long")
+    tree = B.resolved(branches, entries).join(names, "branch", "left_semi")
+    gone = B.removed(tree.filter(part % 11 == 0))
+    left = tree.join(gone.select("branch", "path"), ["branch", "path"], "left_anti")
+    moves = B.renamed(left, left.filter(part % 13 == 0).select("branch", "path", F.concat(F.lit("/moved/"), part.cast("string"), F.lit(".txt")).alias("to")))
+    after = B.with_writes(entries, gone, moves, B.missing_folders(left, moves))
+    return B.resolved(branches, after).join(names, "branch", "left_semi").select("branch", "path", "hash", "is_dir")
+
+
+@query(BRANCHES + f"""
+, x AS (SELECT c.branch, e.path, e.hash, e.is_dir, c.depth, row_number() OVER (PARTITION BY c.branch, e.path ORDER BY c.depth) AS rn FROM chain c JOIN en e ON e.branch = c.ancestor),
+h AS (SELECT DISTINCT x.branch FROM x LEFT JOIN region ON branch = r_name WHERE rn = 1 AND (hash IS NOT NULL OR is_dir) AND {PART} % 500 = 0 AND branch <> 'trunk' AND (r_name IS NOT NULL OR depth > 0))
+SELECT branch, branch IN (SELECT branch FROM h) AS dirty FROM br""")
+def branch_dirty(spark, d):
+    """Every branch is committed, then each region's branch loses some files: which branches show other than their commits."""
+    branches, entries = branch_tables(spark, d)
+    none = spark.createDataFrame([], "commit_id long, branch string, parent_id long, marker string, message string, digest string")
+    commits, _ = B.recorded(B.resolved(branches, entries), none, branches.select("branch", F.lit("m").alias("marker"), F.lit("first").alias("message")))
+    commits = written(commits, "commits")
+    regions = table(spark, d, "region").select(F.col("r_name").alias("branch"))
+    some = entries.filter(F.regexp_extract("path", r"/([0-9]+)\.txt$", 1).try_cast("long") % 500 == 0).select("path").distinct()
+    after = B.with_writes(entries, B.removed(some.withColumn("branch", F.explode(F.array(*[F.lit(r.branch) for r in regions.collect()])))))
+    return B.dirty(B.resolved(branches, after), commits, commits.select("branch", "commit_id"))
+
+
+@query("SELECT branch, commit_id, CAST(back AS BIGINT) AS back FROM (SELECT o_custkey AS branch, o_orderkey AS commit_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) - 1 AS back FROM orders) WHERE back < 5")
+def commit_history(spark, d):
+    """Each customer's orders as commits upon commits: the latest five, by parent pointers."""
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("branch"), F.col("o_orderkey").alias("commit_id"))
+    commits = cdc.images(o, "branch", "commit_id", "commit_id").withColumnRenamed("before", "parent_id")
+    return B.history(commits, o.groupBy("branch").agg(F.max("commit_id").alias("commit_id")), 5)
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS marker, o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45) AS has_files FROM orders")
+def commit_pairs(spark, d):
+    log = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("marker"))
+    return B.paired(log, table(spark, d, "lineitem").filter("l_quantity > 45").select(F.col("l_orderkey").cast("string").alias("marker")))
+
+
+@query("""
+WITH t AS (SELECT DISTINCT doc_id AS path, text FROM documents WHERE text <> '' AND doc_id IS NOT NULL)
+SELECT path, sha256(CASE WHEN path % 3 = 0 THEN 'S' || chr(10) ELSE '' END || text || CASE WHEN path % 4 = 0 THEN chr(10) || 'T' ELSE '' END) AS hash,
+  CASE WHEN path % 12 = 0 THEN 'merged' WHEN path % 3 = 0 THEN 'apply' WHEN path % 4 = 0 THEN 'keep' ELSE 'noop' END AS decision FROM t""")
+def merge_files(spark, d):
+    """The documents as files that two branches changed: a line before every third in one, a line after every fourth in the other."""
+    base = table(spark, d, "documents").filter("text <> '' and doc_id is not null").select(F.col("doc_id").alias("path"), "text").distinct()
+    source = base.withColumn("text", F.when(F.col("path") % 3 == 0, F.concat(F.lit("S\n"), "text")).otherwise(F.col("text")))
+    target = base.withColumn("text", F.when(F.col("path") % 4 == 0, F.concat("text", F.lit("\nT"))).otherwise(F.col("text")))
+    return B.merged_files(base, source, target, "ours").select("path", F.sha2("text", 256).alias("hash"), "decision")
+
+
+@query(BRANCHES + """
+, p AS (SELECT n_name AS child, r_name AS old FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey = 3)
+SELECT branch, CASE WHEN branch = child THEN 'trunk' WHEN branch = old THEN child ELSE parent END AS parent FROM br, p""")
+def branch_promote(spark, d):
+    """The fourth nation's branch trades places with its region's."""
+    name = table(spark, d, "nation").filter("n_nationkey = 3").first().n_name
+    return B.promoted(branch_tables(spark, d)[0], name)
+
+
+# Stored trees, applied states, posts
+
+
+@query("SELECT o_orderkey, o_orderstatus AS before, CASE WHEN o_orderkey % 700 = 0 THEN NULL ELSE 'X' END AS after FROM orders WHERE o_orderkey % 500 = 0 OR o_orderkey % 700 = 0")
+def tree_diff(spark, d):
+    """Orders stored as a digest tree, one commit upon it, and the rows that differ between the two versions, both sides of each."""
+    o = table(spark, d, "orders")
+    first = T.build(o, ("o_orderkey",), 64)
+    then = first.commit(o.filter("o_orderkey % 500 = 0 and o_orderkey % 700 <> 0").withColumn("o_orderstatus", F.lit("X")), o.filter("o_orderkey % 700 = 0").select("o_orderkey"))
+    return first.diff(then).select("o_orderkey", F.col("a.o_orderstatus").alias("before"), F.col("b.o_orderstatus").alias("after"))
+
+
+@query("SELECT c_mktsegment, count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS keys FROM (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'moved' ELSE c_mktsegment END AS c_mktsegment FROM customer WHERE c_custkey % 9 <> 0) GROUP BY 1")
+def tree_read(spark, d):
+    """Customers through three versions of a tree: every fifth rewritten, then every ninth taken out."""
+    c = table(spark, d, "customer")
+    tree = T.build(c, ("c_custkey",), 32).commit(c.filter("c_custkey % 5 = 0").withColumn("c_mktsegment", F.lit("moved"))).commit(gone=c.filter("c_custkey % 9 = 0").select("c_custkey"))
+    return tree.read().groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.sum("c_custkey").cast("long").alias("keys"))
+
+
+@query("SELECT c_custkey, c_name, c_nationkey, CASE WHEN c_custkey % 4 = 0 THEN 0.0 ELSE c_acctbal END AS c_acctbal, c_mktsegment FROM customer WHERE c_custkey % 3 <> 0 UNION ALL SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer WHERE c_custkey % 3 = 0 AND c_mktsegment = 'MACHINERY'")
+def apply_state(spark, d):
+    """Customers made equal to another state of them, the machinery segment protected."""
+    target = table(spark, d, "customer")
+    source = target.filter("c_custkey % 3 <> 0").withColumn("c_acctbal", F.when(F.col("c_custkey") % 4 == 0, 0.0).otherwise(F.col("c_acctbal")))
+    return D.applied(source, target, ["c_custkey"], F.col("c_mktsegment") == "MACHINERY").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+
+
+@query("""
+WITH p AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 10 = 0 THEN NULL ELSE c_custkey - c_custkey % 10 END AS parent FROM customer),
+t AS (SELECT max(CASE WHEN id % 100 = 0 THEN id + 10000000 ELSE id END) AS top FROM p),
+q AS (SELECT CASE WHEN id % 100 = 0 THEN id + 10000000 ELSE id END AS id, CASE WHEN parent % 100 = 0 THEN parent + 10000000 ELSE parent END AS parent, id AS old FROM p WHERE id % 10 <> 7),
+m AS (SELECT o_custkey AS old, count(*) AS n FROM orders GROUP BY 1)
+SELECT q.id, q.parent, coalesce(m.n, 0) AS n_meta FROM q LEFT JOIN m USING (old)
+UNION ALL SELECT (SELECT max(id) FROM q) + row_number() OVER (), NULL, 0 FROM supplier""")
+def posts_dml(spark, d):
+    """Customers as posts with their orders as meta rows: some deleted, some renumbered with all that hangs on them, new ones put in."""
+    k = F.col("c_custkey")
+    posts = table(spark, d, "customer").select(k.alias("id"), F.when(k % 10 != 0, k - k % 10).alias("parent"))
+    posts = posts.withColumn("parent", F.when(F.col("parent").isin(0), F.lit(0).cast("long")).otherwise(F.col("parent")))
+    meta = table(spark, d, "orders").select(F.col("o_orderkey").alias("meta_id"), F.col("o_custkey").alias("post_id"))
+    posts, meta = P.delete_posts(posts, meta, posts.filter("id % 10 = 7").select("id"))
+    moves = posts.select("id").unionByName(posts.filter("parent = 0").select(F.lit(0).cast("long").alias("id")).distinct().filter("id <> 0")).filter("id % 100 = 0").select("id", (F.col("id") + 10000000).alias("new_id"))
+    posts, meta = P.renumber_posts(posts, meta, moves)
+    posts = P.insert_posts(posts, table(spark, d, "supplier").select(F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("parent")))
+    count = meta.groupBy(F.col("post_id").alias("id")).agg(F.count("*").alias("n_meta"))
+    return posts.join(count, "id", "left").select("id", "parent", F.coalesce("n_meta", F.lit(0)).alias("n_meta"))
+
+
+@query("""
+WITH b AS (SELECT sha256(coalesce(text, '')) AS hash, min(strlen(coalesce(text, ''))) AS size, bool_or(coalesce(source IN ('src1', 'src2') OR lang = 'de', false)) AS live FROM documents GROUP BY 1)
+SELECT count(*) AS blobs, CAST(sum(size) AS BIGINT) AS bytes, count(*) FILTER (WHERE live) AS kept, CAST(coalesce(sum(size) FILTER (WHERE live), 0) AS BIGINT) AS kept_bytes,
+  count(*) FILTER (WHERE NOT live) AS freed, CAST(coalesce(sum(size) FILTER (WHERE NOT live), 0) AS BIGINT) AS freed_bytes FROM b""")
+def blob_gc_totals(spark, d):
+    docs = table(spark, d, "documents").withColumn("hash", F.sha2(F.coalesce("text", F.lit("")), 256))
+    return C.garbage_totals(C.stored_once(table(spark, d, "documents")), docs.filter("source in ('src1', 'src2')"), docs.filter("lang = 'de'"))
+
+
+@query("SELECT c_custkey AS id, 'customer ' || c_custkey || ': \"' || c_mktsegment || '\"' AS title, c_name AS meta_value, c_mktsegment AS body FROM customer")
+def posts_round_trip(spark, d):
+    """Customers written as front-matter documents and read back."""
+    k = F.col("c_custkey")
+    title = F.concat(F.lit("customer "), k.cast("string"), F.lit(': "'), "c_mktsegment", F.lit('"'))
+    meta = F.array(F.struct(F.lit("name").alias("meta_key"), F.col("c_name").alias("meta_value")))
+    posts = table(spark, d, "customer").select(k.alias("id"), F.create_map(F.lit("post_title"), title).alias("fields"), meta.alias("meta"), F.col("c_mktsegment").alias("body"))
+    files = S.rendered(posts).select(F.concat(F.lit("/posts/"), F.col("id").cast("string"), F.lit("-customer.md")).alias("path"), F.encode("text", "UTF-8").alias("content"))
+    back = S.parsed_posts(files)
+    values = S.post_meta(back).filter("meta_key = 'name'").select(F.col("post_id").alias("id"), "meta_value")
+    return back.join(values, "id").select("id", F.col("fields")["post_title"].alias("title"), "meta_value", "body")
+
+
+@query("SELECT p_partkey AS post_id, p_name || ' <' || p_brand || '> & more' AS title, 'part' AS post_type, p_type AS content FROM part")
+def feed_round_trip(spark, d):
+    """Parts written as the items of a feed and read back."""
+    title = F.concat("p_name", F.lit(" <"), "p_brand", F.lit("> & more"))
+    posts = table(spark, d, "part").select(F.col("p_partkey").alias("post_id"), title.alias("title"), F.lit("part").alias("post_type"), F.col("p_type").alias("content"))
+    return S.read_items(S.feed_items(posts))
+
+
+# Markup, blocks, encodings
+
+
+@query("""SELECT page_id, sha256(regexp_replace(html, '<a href="([^"]*)">', '<a href="\\1" rel="nofollow">', 'g')) AS hash FROM pages""")
+def html_set_attribute(spark, d):
+    """Every link that says nothing about it marked as not to be followed."""
+    return table(spark, d, "pages").select("page_id", F.sha2(M.with_attribute_where_missing(F.col("html"), "a", "rel", "nofollow"), 256).alias("hash"))
+
+
+@query("""SELECT page_id, tag, count(*) AS n FROM (SELECT page_id, lower(unnest(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9]*)', 1))) AS tag FROM pages) GROUP BY 1, 2""")
+def html_tags(spark, d):
+    return M.elements(table(spark, d, "pages"), "page_id", "html").groupBy("page_id", "tag").agg(F.count("*").alias("n"))
+
+
+@query("SELECT page_id, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<li><a href=')) FROM pages) GROUP BY 1")
+def html_links_in_items(spark, d):
+    """Links directly in list items, by what stands around them."""
+    rows = M.elements(table(spark, d, "pages"), "page_id", "html")
+    return M.inside(rows, "page_id", "li", "a").groupBy("page_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, '<' || source || chr(233) || chr(128512) || '&lt; ' || lang || ' &unknown;' AS text FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL")
+def html_unescape(spark, d):
+    coded = F.concat(F.lit("&lt;"), "source", F.lit("&#233;&#x1F600;&amp;lt; "), "lang", F.lit(" &unknown;"))
+    return table(spark, d, "documents").filter("source is not null and lang is not null").select("doc_id", M.decoded(coded).alias("text"))
+
+
+TURNS = "SELECT conv_id, turn, CAST(1 + (turn * turn + conv_id) % 6 AS INTEGER) AS level FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL"
+
+
+def block_posts(spark, d):
+    """Conversations as posts of heading blocks, one a turn, in a group block with an embed."""
+    k, level = F.col("conv_id"), (1 + (F.col("turn") * F.col("turn") + F.col("conv_id")) % 6).cast("string")
+    block = F.concat(F.lit('<!-- wp:heading {"level":'), level, F.lit("} -->\n<h>x</h>\n<!-- /wp:heading -->"))
+    turns = table(spark, d, "conversations").filter("conv_id is not null and turn is not null").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", block.alias("block")))).alias("all"))
+    host = F.when(k % 3 == 0, "twitter.com").when(k % 3 == 1, "mobile.twitter.com").otherwise("nottwitter.com")
+    embed = F.concat(F.lit('<!-- wp:embed {"url":"https://'), host, F.lit('/x","providerNameSlug":"x"} /-->'))
+    text = F.concat(F.lit("<!-- wp:group -->\n"), F.array_join(F.transform("all", lambda t: t["block"]), "\n"), F.lit("\n"), embed, F.lit("\n<!-- /wp:group -->"))
+    return turns.select("conv_id", text.alias("content"))
+
+
+@query(f"WITH t AS ({TURNS}), l AS (SELECT *, lag(level, 1, 1) OVER (PARTITION BY conv_id ORDER BY turn, level) AS \"before\" FROM t) SELECT conv_id, level, \"before\", count(*) AS n FROM l WHERE level > \"before\" + 1 GROUP BY 1, 2, 3")
+def block_heading_lint(spark, d):
+    """Headings that skip a level."""
+    found = M.skipped_levels(M.heading_levels(M.block_rows(block_posts(spark, d), "conv_id", "content"), "conv_id"), "conv_id")
+    return found.groupBy("conv_id", "level", "before").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH t AS ({TURNS}) SELECT 'core/heading' AS name, CAST(1 AS BIGINT) AS depth, count(*) AS n FROM t UNION ALL SELECT 'core/group', 0, count(DISTINCT conv_id) FROM t UNION ALL SELECT 'core/embed', 1, count(DISTINCT conv_id) FROM t")
+def block_counts(spark, d):
+    return M.block_rows(block_posts(spark, d), "conv_id", "content").groupBy("name", "depth").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH t AS ({TURNS}) SELECT DISTINCT conv_id FROM t WHERE conv_id % 3 < 2")
+def stale_embeds(spark, d):
+    return M.stale_embeds(M.block_rows(block_posts(spark, d), "conv_id", "content"), ["twitter.com"]).select("conv_id")
+
+
+@query("SELECT doc_id, sha256(text || chr(65533)) AS scrubbed, doc_id % 5 = 0 AS nonchar FROM documents WHERE text IS NOT NULL")
+def encoding_scrub(spark, d):
+    """Texts with a broken byte behind them and, in every fifth, a code point that is no character."""
+    odd = F.concat(F.col("text"), F.when(F.col("doc_id") % 5 == 0, F.lit("\ufffe")).otherwise(""))
+    return table(spark, d, "documents").filter("text is not null").select("doc_id", F.sha2(X.scrubbed(F.concat(F.encode("text", "UTF-8"), F.unhex(F.lit("FF")))), 256).alias("scrubbed"), X.has_noncharacters(odd).alias("nonchar"))
+
+
+@query("SELECT doc_id, sha256(text) AS hash FROM documents WHERE regexp_full_match(text, '(?s)[\\x00-\\xff]*')")
+def encoding_salvage(spark, d):
+    """Texts that Latin-1 can hold, as its bytes, read back without being told what they are."""
+    docs = table(spark, d, "documents").withColumn("data", F.when(F.col("text").rlike("^[\\x00-\\xff]*$"), F.encode("text", "ISO-8859-1")))
+    return docs.filter("data is not null").select("doc_id", F.sha2(X.salvaged(F.col("data")), 256).alias("hash"))
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'click' THEN 'patched' ELSE CAST(json_extract_string(props, '$.k') AS VARCHAR) END AS k, event_type AS kind, CASE WHEN event_type = 'click' THEN 'k,kind' ELSE 'k,kind' END AS keys FROM events")
+def map_patches(spark, d):
+    """Each event's properties under a patch that names its kind and, for clicks, a new value."""
+    props = F.create_map(F.lit("k"), F.get_json_object("props", "$.k"))
+    patch = F.when(F.col("event_type") == "click", F.create_map(F.lit("k"), F.lit("patched"), F.lit("kind"), "event_type")).otherwise(F.create_map(F.lit("kind"), "event_type"))
+    m = X.patched(props, patch)
+    return table(spark, d, "events").select("event_id", m["k"].alias("k"), m["kind"].alias("kind"), F.array_join(X.sorted_keys(m), ",").alias("keys"))
+
+
+@query("SELECT event_id, strftime(ts + INTERVAL 2 HOUR, '%Y-%m-%d %H:%M:%S') AS local FROM events")
+def local_dates(spark, d):
+    return table(spark, d, "events").select("event_id", X.local_date(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), "+02:00").alias("local"))

@@ -61,6 +61,11 @@ def parse_post(text: str) -> tuple[dict[str, str], list[tuple[str, str]], str]:
 def read_posts(spark: SparkSession, root: str) -> DataFrame:
     """(path, id, slug, fields, meta, body, error) of every <id>[-slug].md or <id>[-slug]/index.md below root; a bad file is a row with its error."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(root)
+    return parsed_posts(files.select("path", "content"))
+
+
+def parsed_posts(files: DataFrame) -> DataFrame:
+    """read_posts() for files(path, content) that come from elsewhere: names that are no post's are passed over."""
     named = files.filter(F.col("path").rlike(_NAME.pattern) & ~F.col("path").rlike(r"/\.[^/]*(/|$)")).select("path", "content")
 
     def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -104,6 +109,25 @@ def read_feed(spark: SparkSession, path: str) -> DataFrame:
     return items
 
 
+ITEM = "post_id bigint, title string, post_type string, content string"
+
+
+def feed_items(posts: DataFrame) -> DataFrame:
+    """(post_id, item): each post of posts(post_id, title, post_type, content) as an item element of a feed."""
+    return posts.select("post_id", F.to_xml(F.struct("post_id", "title", "post_type", "content"), {"rowTag": "item"}).alias("item"))
+
+
+def read_items(items: DataFrame) -> DataFrame:
+    """The posts back from item elements."""
+    return items.select(F.from_xml("item", ITEM, {"rowTag": "item"}).alias("p")).select("p.*")
+
+
+def pages_at(pages: DataFrame, wanted: DataFrame, size: int = 4096) -> DataFrame:
+    """wanted(path, page_no) with the bytes of pages; a page past the end, or one that nobody wrote, is all zeros."""
+    found = wanted.join(pages, ["path", "page_no"], "left")
+    return found.select("path", "page_no", F.coalesce("bytes", F.unhex(F.lit("00" * size))).alias("bytes"))
+
+
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """(archive, entry, size, content) of the files in zip archives; entries that climb out of the archive are left out."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path", "content")

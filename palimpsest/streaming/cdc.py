@@ -28,6 +28,17 @@ def gaps(events: DataFrame) -> DataFrame:
     return events.filter("error is not null")
 
 
+def counted(events: DataFrame) -> DataFrame:
+    """Events by kind and operation, and of other than row changes what they say: statements, commits, rotations, transaction ids."""
+    return events.groupBy("event", F.coalesce("operation", F.lit("")).alias("operation")).agg(F.count("*").alias("n"), F.count("sql").alias("statements"), F.count("xid").alias("commits"), F.count("next_file").alias("rotations"), F.count("gtid").alias("gtids"))
+
+
+def table_log(changes: DataFrame, name: str, since: str | None = None) -> DataFrame:
+    """The changes of one table, from a timestamp on."""
+    rows = changes.filter(F.col("table") == name)
+    return rows if since is None else rows.filter(F.col("timestamp") >= since)
+
+
 def current_state(changes: DataFrame, key: str, seq: str, gone: Column) -> DataFrame:
     """The latest change of each key, keys whose latest is a removal left out; a partial maximum, no sort."""
     rest = [c for c in changes.columns if c != key]
@@ -61,6 +72,9 @@ def replay_stream(changes: DataFrame, state_dir: str, checkpoint: str, key: str,
         rest = [c for c in rows.columns if c != key]
         last = rows.groupBy(key).agg(F.max_by(F.struct(*rest), seq).alias("r")).select(key, *[F.col(f"r.{c}").alias(c) for c in rest])
         last.write.mode("overwrite").parquet(f"{state_dir}/version={number}")
+        if number > 1:  # a batch that runs again needs the version before it, and no older one
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{state_dir}/version={number - 2}")
+            old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
 
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -8,6 +8,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from palimpsest.functions import markup as M
 from palimpsest.functions import text as X
 from palimpsest.operators.overlay import VersionedTable
 from palimpsest.sources import files
@@ -91,13 +92,71 @@ def test_serialized_values_keep_their_lengths(spark):
 
 def test_links_and_active_content(spark):
     page = '<a class="x" href="/p?q">1</a><script>x</script><a onclick="f()" href="b">2</a>'
-    assert one(spark, X.links(F.col("p")), p=page) == ["/p?q", "b"]
-    assert one(spark, X.without_active(F.col("p")), p=page) == '<a class="x" href="/p?q">1</a><a href="b">2</a>'
+    assert one(spark, M.links(F.col("p")), p=page) == ["/p?q", "b"]
+    assert one(spark, M.without_active(F.col("p")), p=page) == '<a class="x" href="/p?q">1</a><a href="b">2</a>'
     base = "http://h.org/d/page.html?x"
     for href, full in (("b", "http://h.org/d/b"), ("/b", "http://h.org/b"), ("//o.org/", "http://o.org/"), ("#t", base + "#t"), ("mailto:x", "mailto:x")):
         assert one(spark, X.absolute(F.col("h"), F.col("p")), h=href, p=base) == full
 
 
+@pytest.mark.parametrize("page, clean", [
+    ("<p>turn onto=left now</p>", "<p>turn onto=left now</p>"), ("<a href='javascript:x()'>a</a>", "<a>a</a>"), ('<a href="java&#x09;script:x()" id=b>a</a>', "<a id=b>a</a>"),
+    ("<img src=x onerror=boom() alt='a > b'>", "<img src=x alt='a > b'>"), ('<p title="set onclick=1">t</p>', '<p title="set onclick=1">t</p>'), ("<p ONCLICK = 'x' >t</p><SCRIPT src=y></SCRIPT>", "<p >t</p>"),
+    ("a < b <!-- <script>no</script> -->", "a < b <!-- <script>no</script> -->"), ("<script>never ends", ""),
+])
+def test_only_tags_are_cleaned(spark, page, clean):
+    assert one(spark, M.without_active(F.col("p")), p=page) == clean
+
+
+def test_attributes(spark):
+    get = lambda tag, name: one(spark, M.attribute(F.col("t"), name), t=tag)
+    assert get("<a HREF='/x y' b>", "href") == "/x y" and get("<a href=/x>", "href") == "/x" and get("<a b>", "b") == "" and get("<a data-href='x'>", "href") is None
+    assert one(spark, M.links(F.col("p")), p="<a href='x'>1</a><A HREF=y>2</A><abbr href='no'><script>'<a href=no>'</script>") == ["x", "y"]
+    assert one(spark, M.with_attribute_where_missing(F.col("p"), "img", "loading", "lazy"), p='<img src="a"><img loading=eager><p>img</p><img/>') == '<img src="a" loading="lazy"><img loading=eager><p>img</p><img loading="lazy"/>'
+    assert one(spark, M.with_nonce(F.col("p"), "n1"), p="<style>a>b</style><script src='x' nonce=old>1<2</script>") == "<style nonce=\"n1\">a>b</style><script src='x' nonce=\"n1\">1<2</script>"
+    assert one(spark, M.with_srcset(F.col("p"), [480, 768]), p="<img src='p.jpg'>") == "<img src='p.jpg' srcset=\"p.jpg?w=480 480w, p.jpg?w=768 768w\">"
+    assert one(spark, M.without_attribute(F.col("t"), "rel"), t="<a rel=x title=' rel=y ' rel>") == "<a title=' rel=y '>"
+
+
+def test_entities(spark):
+    assert one(spark, M.decoded(F.col("t")), t="AT&amp;T &mdash; 100&percnt; &#x1F600;&#233; &amp;lt; &nope; & &#0; &#xD800; &#99999999;") == "AT&T — 100% 😀é &lt; &nope; & &#0; &#xD800; &#99999999;"
+
+
+def test_elements_and_what_stands_around_them(spark):
+    page = "<article><figure><img src=1><figcaption>x</figcaption></figure><p>t <img src=2></p><figure><img src=3></figure></article>"
+    rows = M.elements(spark.createDataFrame([(1, page)], "k long, html string"), "k", "html")
+    assert [(r.tag, r.depth) for r in rows.orderBy("pos").collect()] == [("article", 0), ("figure", 1), ("img", 2), ("figcaption", 2), ("p", 1), ("img", 2), ("figure", 1), ("img", 2)]
+    assert [r.html for r in M.inside(rows, "k", "figure", "img").orderBy("pos").collect()] == ["<img src=1>", "<img src=3>"]
+
+
 def test_blocks(spark):
-    found = one(spark, X.blocks(F.col("c")), c='<!-- wp:group {"a":1} --><!-- wp:core/image /--><!-- /wp:group -->')
-    assert [(b.name, b.closing, b.void) for b in found] == [("group", False, False), ("core/image", False, True), ("group", True, False)]
+    text = '<!-- wp:heading --><h2>a</h2><!-- /wp:heading --><!-- wp:group {"a":1} --><!-- wp:heading {"level":4} --><h4>b</h4><!-- /wp:heading --><!-- wp:my/quote {"n":5} /--><!-- /wp:group --><!-- wp:heading {"level":3} -->c<!-- /wp:heading -->'
+    rows = M.block_rows(spark.createDataFrame([(1, text)], "k long, c string"), "k", "c")
+    assert [(r.name, r.depth, r.void) for r in rows.orderBy("pos").collect()] == [("core/heading", 0, False), ("core/group", 0, False), ("core/heading", 1, False), ("my/quote", 1, True), ("core/heading", 0, False)]
+    assert [(r.level, r.before) for r in M.skipped_levels(M.heading_levels(rows, "k"), "k").collect()] == [(4, 2)]
+
+
+def test_nested_serialized_values(spark):
+    inner = 's:10:"http://old"'
+    got = one(spark, X.rewrite_serialized(F.col("v"), "http://old", "https://newer"), v=f's:{len(inner) + 1}:"{inner};";')
+    assert got == 's:21:"s:13:"https://newer";";'
+
+
+def test_maps_encodings_and_names(spark):
+    assert one(spark, X.patched(F.create_map(F.lit("a"), F.col("x"), F.lit("b"), F.col("x")), F.create_map(F.lit("b"), F.col("y"))), x="1", y="2") == {"a": "1", "b": "2"}
+    assert one(spark, X.sorted_keys(F.create_map(F.lit("ccc"), F.col("x"), F.lit("b"), F.col("x"), F.lit("aa"), F.col("x"))), x="1") == ["b", "aa", "ccc"]
+    assert one(spark, X.salvaged(F.unhex(F.col("h"))), h="636166E9") == "café" == one(spark, X.salvaged(F.unhex(F.col("h"))), h="636166C3A9")
+    assert one(spark, X.scrubbed(F.unhex(F.col("h"))), h="61FF62") == "a\ufffdb"
+    assert [one(spark, X.has_noncharacters(F.col("t")), t=t) for t in ("a", "\ufdd0", "\uffff", "\U0001fffe", "\U0001f600")] == [False, True, True, True, False]
+    assert one(spark, X.local_date(F.col("t"), "+02:00"), t="2024-01-31 23:30:00") == "2024-02-01 01:30:00" and one(spark, X.local_date(F.col("t"), "+02:00"), t="0000-00-00 00:00:00") == "0000-00-00 00:00:00"
+    assert [one(spark, X.is_branch_name(F.col("t")), t=t) for t in ("dev", "-x", "HEAD", "a/b", "x" * 65)] == [True, False, False, False, False]
+    assert one(spark, X.looks_serialized(F.col("t")), t="a:0:{}") and not one(spark, X.looks_serialized(F.col("t")), t="author: x")
+    assert one(spark, X.basename(F.col("t")), t="/a/b") == "b" and one(spark, X.joined(F.col("t"), F.col("n")), t="/a/", n="/b") == "/a/b" and one(spark, X.is_slug(F.col("t")), t="a-b1")
+    assert [one(spark, X.is_server_path(F.col("t")), t=t) for t in ("/.git/x", "/a/db.sqlite-wal", "/a/b.php")] == [True, True, False]
+
+
+def test_pages_past_the_end_are_zeros(spark, tmp_path):
+    (tmp_path / "db").write_bytes(b"a" * 8)
+    base = files.byte_pages(spark, str(tmp_path / "db"), 4)
+    wanted = base.select("path").distinct().withColumn("page_no", F.explode(F.array(F.lit(2), F.lit(9))))
+    assert [bytes(r.bytes) for r in files.pages_at(base, wanted, 4).orderBy("page_no").collect()] == [b"aaaa", b"\0\0\0\0"]

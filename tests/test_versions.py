@@ -11,7 +11,9 @@ from palimpsest.operators import branches as B
 from palimpsest.operators import content as C
 from palimpsest.functions import lines as L
 from palimpsest.operators import diff as D
+from palimpsest.operators import posts as P
 from palimpsest.operators import sync
+from palimpsest.operators import trees as T
 from palimpsest.streaming import cdc
 
 
@@ -165,3 +167,119 @@ def test_line_merge():
     assert conflict and lines == ["a", "<<<<<<< ours", "x", "=======", "y", ">>>>>>> theirs", "c"]
     assert L.merge_lines([], ["n"], []) == (["n"], False) and L.merge_lines(["a"], [], ["a"]) == ([], False)
     assert L.diff_lines(split("a b"), split("a c")) == [" a", "-b", "+c"]
+
+
+def test_branch_writes(tree):
+    branches, entries = tree
+    shown_now = B.resolved(branches, entries)
+    some = lambda *rows: entries.sparkSession.createDataFrame(rows, "branch string, path string")
+    moves = B.renamed(shown_now, entries.sparkSession.createDataFrame([("fix", "/a", "/n/m/a"), ("fix", "/none", "/x")], "branch string, path string, to string"))
+    after = B.with_writes(entries, B.removed_with_contents(shown_now, some(("dev", "/d"))), moves, B.missing_folders(shown_now, moves))
+    got = B.resolved(branches, after)
+    assert shown(got, "main") == [("/a", "1"), ("/d/.h", "5"), ("/d/b", "2")]  # the parent is left alone
+    assert shown(got, "dev") == [("/e", None)] and shown(got, "fix") == [("/e", None), ("/n", None), ("/n/m", None), ("/n/m/a", "3")]
+    assert [r.path for r in B.exported(got, "fix", F.col("is_dir")).collect()] == ["/n/m/a"]
+
+
+def test_commits_and_the_dirty_check(tree):
+    branches, entries = tree
+    spark = entries.sparkSession
+    none = spark.createDataFrame([], "commit_id long, branch string, parent_id long, marker string, message string, digest string")
+    heads = branches.select("branch", F.lit("m1").alias("marker"), F.lit("one").alias("message"))
+    first, files_of = B.recorded(B.resolved(branches, entries), none, heads)
+    first = spark.createDataFrame(first.collect(), none.schema)
+    assert sorted(r.commit_id for r in first.collect()) == [1, 2, 3]
+    at = first.select("branch", "commit_id")
+    assert not any(r.dirty for r in B.dirty(B.resolved(branches, entries), first, at).collect())
+    later = B.resolved(branches, B.with_writes(entries, B.files_written(spark.createDataFrame([("dev", "/z", "9")], "branch string, path string, hash string"))))
+    assert {r.branch: r.dirty for r in B.dirty(later, first, at).collect()} == {"main": False, "dev": True, "fix": True}
+    second, _ = B.recorded(later, first, heads)
+    rows = {r.branch: (r.commit_id, r.parent_id) for r in second.collect()}
+    ids = {r.branch: r.commit_id for r in first.collect()}
+    assert set(rows) == {"dev", "fix"} and all(rows[b][1] == ids[b] and rows[b][0] > 3 for b in rows)
+    every = first.unionByName(spark.createDataFrame(second.collect(), none.schema))
+    line = B.history(every, every.filter("branch = 'dev'").groupBy("branch").agg(F.max("commit_id").alias("commit_id")), 20)
+    assert sorted((r.back, r.commit_id) for r in line.collect()) == [(0, rows["dev"][0]), (1, ids["dev"])]
+
+
+def test_merge_of_files(spark):
+    make = lambda rows: spark.createDataFrame(rows, "path string, text string")
+    base = make([("a", "1\n2\n3"), ("b", "x"), ("c", "y"), ("d", "z")])
+    source = make([("a", "0\n2\n3"), ("b", "s"), ("d", "z"), ("e", "new")])
+    target = make([("a", "1\n2\n4"), ("b", "t"), ("c", "y"), ("d", "z")])
+    got = {r.path: (r.text, r.decision) for r in B.merged_files(base, source, target, "theirs").collect()}
+    assert got == {"a": ("0\n2\n4", "merged"), "b": ("s", "conflict"), "d": ("z", "noop"), "e": ("new", "apply")}
+    with pytest.raises(ValueError, match="conflicts"):
+        B.merged_files(base, source, target)
+
+
+def test_trees_share_roots_and_read_what_differs(spark):
+    rows = spark.createDataFrame([(k, f"v{k}", None if k % 3 else k) for k in range(300)], "k long, v string, n long")
+    a = T.build(rows, ("k",), 64)
+    assert T.build(rows.repartition(5), ("k",), 64).root == a.root and a.diff(a).count() == 0 and a.commit() is a
+    b = a.commit(spark.createDataFrame([(7, "new", 1), (900, "more", None)], rows.schema), spark.createDataFrame([(9,)], "k long"))
+    assert sorted((r.k, r.a and r.a.v, r.b and r.b.v) for r in a.diff(b).collect()) == [(7, "v7", "new"), (9, "v9", None), (900, None, "more")]
+    assert len(a.changed_buckets(b)) <= 3 and len({r.location for r in b.nodes().filter("level = 0").collect()}) == 2
+    assert [r.v for r in b.get(7).collect()] == ["new"] and b.get(9).count() == 0 and a.get(9).count() == 1
+    back = b.commit(rows.filter("k in (7, 9)"), spark.createDataFrame([(900,)], "k long"))
+    assert back.root == a.root == back.compact().root != b.root
+    empty = T.build(rows.limit(0), ("k",), 64)
+    assert empty.read().count() == 0 and empty.diff(a).count() == 300 and empty.root == a.commit(gone=rows.select("k")).root
+
+
+def test_a_database_keeps_clean_tables(spark):
+    rows = spark.createDataFrame([(1, "a")], "k long, v string")
+    first = T.database_commit({}, {"x": (rows, ("k",)), "y": (rows, ("k",))}, set(), 4)
+    then = T.database_commit(first, {"x": (rows.withColumn("v", F.lit("b")), ("k",)), "y": (rows, ("k",))}, {"x"}, 4)
+    assert then["y"] is first["y"] and T.database_root(then) != T.database_root(first)
+    wider = T.database_commit(first, {"x": (rows, ("k",)), "y": (rows.withColumn("w", F.lit(1)), ("k",))}, set(), 4)
+    assert wider["x"] is first["x"] and wider["y"] is not first["y"]
+
+
+def test_posts_and_their_meta(spark):
+    posts = spark.createDataFrame([(1, None, "a"), (2, 1, "b"), (5, None, "c")], "id long, parent long, slug string")
+    meta = spark.createDataFrame([(1, 1, "k", "v"), (2, 2, "k", "w")], "meta_id long, post_id long, meta_key string, meta_value string")
+    more = P.insert_posts(posts, spark.createDataFrame([(None, 1, "d"), (None, None, "e"), (9, None, "f")], posts.schema))
+    assert sorted(r.id for r in more.collect()) == [1, 2, 5, 9, 10, 11]
+    out, moved = P.renumber_posts(posts, meta, spark.createDataFrame([(1, 100)], "id long, new_id long"))
+    assert sorted((r.id, r.parent) for r in out.collect()) == [(2, 100), (5, None), (100, None)] and sorted((r.meta_id, r.post_id) for r in moved.collect()) == [(1, 100), (2, 2)]
+    left, rest = P.delete_posts(posts, meta, spark.createDataFrame([(2,)], "id long"))
+    assert left.count() == 2 and [r.meta_id for r in rest.collect()] == [1]
+    assert sorted((r.meta_id, r.post_id) for r in P.move_meta(posts, meta, spark.createDataFrame([(1, 5)], "meta_id long, to long")).collect()) == [(1, 5), (2, 2)]
+    assert sorted(r.meta_id for r in P.insert_meta(posts, meta, spark.createDataFrame([(None, 5, "k", "x")], meta.schema)).collect()) == [1, 2, 3]
+    for wrong in (
+        lambda: P.insert_posts(posts, posts.limit(1)), lambda: P.delete_posts(posts, meta, spark.createDataFrame([(1,)], "id long")), lambda: P.renumber_posts(posts, meta, spark.createDataFrame([(1, 2)], "id long, new_id long")),
+        lambda: P.insert_meta(posts, meta, spark.createDataFrame([(None, 77, "k", "x")], meta.schema)), lambda: P.move_meta(posts, meta, spark.createDataFrame([(1, 77)], "meta_id long, to long")),
+    ):
+        with pytest.raises(ValueError):
+            wrong()
+
+
+def test_push_and_fetch(spark, tmp_path):
+    import hashlib
+
+    chunk = lambda data, refs: (hashlib.sha256(data).hexdigest(), data, refs)
+    leaf = chunk(b"leaf", [])
+    c1 = chunk(b"c1", [leaf[0]])
+    c2 = chunk(b"c2", [c1[0], leaf[0]])
+    local = spark.createDataFrame([leaf, c1, c2], "hash string, data binary, refs array<string>")
+    commits = spark.createDataFrame([(c1[0], []), (c2[0], [c1[0]])], "hash string, parents array<string>")
+    refs, remote = sync.Refs(spark, str(tmp_path)), local.limit(0)
+    remote, n, told = sync.push(local, remote, refs, "main", c1[0], commits)
+    assert (n, told) == (2, "pushed") and refs.get("main") == c1[0]
+    remote, n, _ = sync.push(local, remote, refs, "main", c2[0], commits)
+    assert n == 1 and sync.push(local, remote, refs, "main", c2[0], commits)[1:] == (0, "up-to-date")
+    with pytest.raises(ValueError, match="fast-forward"):
+        sync.push(local, remote, refs, "main", c1[0], commits)
+    got, at = sync.fetch(local.limit(0), remote, refs, "main")
+    assert got.count() == 3 and at == c2[0]
+    with pytest.raises(ValueError, match="hashes"):
+        C.put_once(local, spark.createDataFrame([("0", b"x", [])], local.schema))
+
+
+def test_other_events(spark, tmp_path):
+    lines = [{"event": "query", "sql": "x"}, {"event": "xid", "xid": 5}, {"event": "rotate", "next_file": "f"}, {"event": "rows", "operation": "insert", "table": "t", "timestamp": "2", "rows": ["{}"]}, {"event": "rows", "operation": "insert", "table": "u", "timestamp": "1", "rows": ["{}"]}]
+    (tmp_path / "e.json").write_text("\n".join(map(json.dumps, lines)))
+    events = cdc.read_events(spark, str(tmp_path))
+    assert {(r.event, r.operation): (r.n, r.statements, r.commits, r.rotations) for r in cdc.counted(events).collect()} == {("query", ""): (1, 1, 0, 0), ("xid", ""): (1, 0, 1, 0), ("rotate", ""): (1, 0, 0, 1), ("rows", "insert"): (2, 0, 0, 0)}
+    assert cdc.table_log(cdc.row_changes(events), "t", "2").count() == 1 and cdc.table_log(cdc.row_changes(events), "u", "2").count() == 0
