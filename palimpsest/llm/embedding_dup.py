@@ -94,13 +94,14 @@ def fit_filters(dim: int, vectors: int, cosine: float, miss: float = 1e-5) -> Ca
     dim = max(dim, 16)
     blocks = 2 if vectors <= 1 << 22 else 3
     words = int(np.clip(2 ** math.ceil(math.log2((256 * max(1, vectors)) ** (1 / blocks))), 256, 4096))
-    rng, low, high = np.random.default_rng(dim), 0.0, 1.0
-    tried = rng.standard_normal((200, dim))
-    scored = CapFilters(dim, blocks, words, 0.0, 1).scores(tried, 0)
-    for _ in range(12):
-        alpha = (low + high) / 2
-        mean = len(decode(scored, alpha)[0]) / len(tried)
-        low, high = (alpha, high) if mean > LIST else (low, alpha)
+    rng, high, step = np.random.default_rng(dim), 1.0, 1 / 64
+    scored = CapFilters(dim, blocks, words, 0.0, 1).scores(rng.standard_normal((200, dim)), 0)
+    met_by = lambda alpha: len(decode(scored, alpha)[0]) / 200
+    while met_by(high - step) <= LIST:  # from above, where lists are short
+        high -= step
+    for _ in range(6):
+        step /= 2
+        high -= step if met_by(high - step) <= LIST else 0
     x = _unit(rng.standard_normal((400, dim)))
     aside = rng.standard_normal((400, dim))
     aside = _unit(aside - (aside * x).sum(1, keepdims=True) * x)
