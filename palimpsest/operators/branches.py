@@ -21,13 +21,15 @@ def chains(branches: DataFrame) -> DataFrame:
 
     Pointers are doubled: each round joins the steps known so far with themselves, so chains of n branches take log2(n) rounds.
     """
-    known = branches.select("branch", "parent")
+    known = written(branches.select("branch", "parent"), "branches")
     out = known.select("branch", F.col("branch").alias("ancestor"), F.lit(0).cast("long").alias("depth"))
     jump = known.filter("parent is not null and parent <> branch").join(known.select(F.col("branch").alias("parent")), "parent").select("branch", F.col("parent").alias("to"))
     step = 1
     while not jump.isEmpty():
         more = out.alias("o").join(jump.alias("j"), F.col("o.ancestor") == F.col("j.branch")).select("o.branch", F.col("j.to").alias("ancestor"), (F.col("o.depth") + step).alias("depth"))
-        out = written(out.unionByName(more), "chains")
+        out = out.unionByName(more)
+        if step >= 4:  # shallow chains, nearly all there are, need no table between rounds
+            out = written(out, "chains")
         jump = written(jump.alias("a").join(jump.alias("b"), F.col("a.to") == F.col("b.branch")).select("a.branch", F.col("b.to").alias("to")), "jump")
         step *= 2
         if step > 1 << 40:
