@@ -177,14 +177,14 @@ def test_licences(spark):
     assert license_scan.scan_licenses(docs.limit(0), weights).count() == 0
 
 
-def test_licences_wrapped_over_lines(spark):
+def test_licences_wrapped_over_lines(spark, weights):
     notice = {f: max(own, key=len) for f, own in license_scan.NOTICES.items()}
     wrapped = {f: textwrap.wrap(notice[f], 72) for f in ("MIT", "GPL-3.0", "GPL-2.0", "BSD")}
     assert all(len(lines) > 1 for lines in wrapped.values())
     docs = [(k, "A story of the river.\n\n" + "\n".join(lines) + "\n\nThe garden is old.") for k, lines in enumerate(wrapped.values())]
     docs += [(10, "/*\n * " + "\n * ".join(textwrap.wrap(notice["MIT"], 24)) + "\n */"), (11, notice["MIT"].replace(" ", "\n")), (12, "Released under the\n\nMIT License."), (13, "He has a\nnew house.")]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = license_scan.scan_licenses(df, license_scan.fit_licenses(df))
+    got = license_scan.scan_licenses(df, weights)
     sure = sorted((r.doc_id, r.paragraph, r.family) for r in got.collect() if r.confirmed)
     assert sure == [*((k, 2, f) for k, f in enumerate(wrapped)), (10, 1, "MIT"), (11, 0, "MIT")]
     assert got.filter("doc_id < 10").count() == len(wrapped)
