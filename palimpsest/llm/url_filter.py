@@ -40,11 +40,11 @@ def url_parts(url: Column) -> tuple[Column, Column]:
 
 
 def rule_row(verdict: str, pattern: str, name: str | None, rank: int) -> tuple:
-    """(name, verdict, rank, regex over `host path`, literal tokens)."""
+    """(name, verdict, rank, regex over `host#path`, literal tokens); neither part can hold a #."""
     if pattern.startswith("||"):
         host, slash, path = pattern[2:].partition("/")
-        body = re.escape(host) + " " + re.escape(slash + path).replace(r"\*", ".*")
-        regex, open_start = "(?s)^(?:[^ ]*\\.)?" + body, False
+        body = re.escape(host) + "#" + re.escape(slash + path).replace(r"\*", ".*")
+        regex, open_start = "(?s)^(?:[^#]*\\.)?" + body, False
     else:
         regex, open_start = "(?s)" + re.escape(pattern).replace(r"\*", ".*"), True
     literal = pattern.removeprefix("||").lower()
@@ -65,7 +65,7 @@ def judge_urls(urls: DataFrame, rules: DataFrame, default: str = "allow") -> Dat
     """urls(url, ...) with host, path, rule and verdict."""
     host, path = url_parts(F.col("url"))
     each = urls.select("url").distinct().withColumns({"host": host, "path": path})
-    key = F.concat_ws(" ", "host", "path")
+    key = F.concat_ws("#", "host", "path")
     words = F.array_distinct(F.split(F.lower(key), "[^a-z0-9]+"))
     tokens = each.select("url", key.alias("key"), F.explode(F.array_union(words, F.array(F.lit("")))).alias("token"))
 

@@ -393,6 +393,12 @@ def test_urls(spark):
     assert {r.verdict for r in url_filter.judge_urls(pages.filter("page_id > 2"), url_filter.rule_table(spark, [], ["*"])).collect()} == {"block"}
 
 
+def test_a_host_with_spaces_is_a_subdomain_too(spark):
+    pages = spark.createDataFrame([(1, "http://a b.example.com/en/x"), (2, "http://com x/en/"), (3, "http://a.net /es/")], "page_id long, url string")
+    got = url_filter.judge_urls(pages, url_filter.rule_table(spark, url_filter.HOST_RULES, []))
+    assert {r.page_id: (r.rule, r.verdict) for r in got.collect()} == {1: ("example.com/en/", "block"), 2: (None, "allow"), 3: (None, "allow")}
+
+
 # Pages
 
 
