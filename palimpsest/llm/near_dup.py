@@ -4,7 +4,8 @@
    band, one byte each of SIGNATURE minima, and a 128-bit digest of the set.
 2. Equal sets become one class, before anything else; only classes go on, whatever number of copies they stand for.
 3. Within a band's bucket every class is paired with one hub, never all with all. Pairs pass a signature check that is
-   six standard deviations wide of the threshold, then the exact check on both full sets.
+   six standard deviations wide of the threshold, then the exact check on both full sets. A hub of very many pairs is
+   dealt to several tasks, each with a copy of its row.
 4. Components of the links found. Where a bucket then still holds several components, tasks compare the classes of
    different components in blocks, by signature and by full set, and give back just the links that join components: a
    link between classes of one bucket is either found or both are in one component already.
@@ -117,15 +118,32 @@ def _slack(like: Likeness) -> float:
     return 6 * (like.percent * (100 - like.percent) / SIGNATURE) ** 0.5 / 100
 
 
-def _alike(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+def _shared_ends(pairs: DataFrame) -> DataFrame:
+    """(node, parts) of the ends that more than BLOCK of the pairs (a, b) share, hubs of large buckets: at most two for every BLOCK pairs."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    shared = written(ends.filter("parts > 1"), "shared")
+    return F.broadcast(shared) if shared.count() <= BROADCAST_IDS else shared
+
+
+def _with_ends(pairs: DataFrame, rows: DataFrame, shared: DataFrame) -> DataFrame:
+    """pairs(a, b) with the value of both ends out of rows(node, value), as value_a and value_b; a shared end meets its pairs in as many parts as `shared` says."""
+    value, parts = rows.columns[1], F.coalesce("parts", F.lit(1))
+    dealt = rows.join(shared, "node", "left").select("node", value, F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
+    for end, other in (("a", "b"), ("b", "a")):
+        part = F.pmod(F.xxhash64(other), parts).alias("part")
+        pairs = pairs.join(shared.withColumnRenamed("node", end), end, "left").select(*pairs.columns, part)
+        pairs = pairs.join(dealt.toDF(end, f"{value}_{end}", "part"), [end, "part"]).drop("part")
+    return pairs
+
+
+def _alike(pairs: DataFrame, classes: DataFrame, shared: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) whose signatures agree in a share of `least` or more."""
 
     def agreeing(batch: pa.RecordBatch) -> pa.RecordBatch:
         a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, SIGNATURE) for k in (2, 3))
         return batch.filter(pa.array((a == b).mean(1) >= least)).select([0, 1])
 
-    sig = classes.select("node", "sig")
-    both = pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b").select("a", "b", "sig_a", "sig_b")
+    both = _with_ends(pairs, classes.select("node", "sig"), shared).select("a", "b", "sig_a", "sig_b")
     return map_batches(both, agreeing, "a long, b long", rows=4096)
 
 
@@ -145,11 +163,11 @@ def _sets_of(nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, like: Likeness) -> DataFrame:
     """The pairs (a, b) of classes that are linked: by their signatures, then by their full sets."""
-    near = written(_alike(pairs, classes, like.percent / 100 - _slack(like)), "near")
+    shared_ends = _shared_ends(pairs)
+    near = written(_alike(pairs, classes, shared_ends, like.percent / 100 - _slack(like)), "near")
     nodes = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = written(_sets_of(nodes, docs, like.words), "sets")
-    a, b = sets.toDF("a", "items_a"), sets.toDF("b", "items_b")
-    both = near.join(a, "a").join(b, "b")
+    both = _with_ends(near, sets, shared_ends)
     shared = F.size(F.array_intersect("items_a", "items_b"))
     union = F.size("items_a") + F.size("items_b") - F.col("shared")
     return both.withColumn("shared", shared).filter(F.col("shared") * 100 >= union * like.percent).select("a", "b").distinct()
@@ -233,7 +251,7 @@ def near_duplicates(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     hubs = buckets.groupBy("key").agg(F.min_by("node", order).alias("hub"), F.count("*").alias("n")).filter("n > 1").drop("n")
     members = written(buckets.join(hubs, "key"), "members")
     stars = members.filter("node <> hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
-    links = written(_confirmed(stars, classes, docs, like), "links")
+    links = written(_confirmed(written(stars, "pairs"), classes, docs, like), "links")
     found = written(connected_components(links), "found")
 
     # What a star can't see: links between classes of a bucket that are still apart.
