@@ -168,6 +168,22 @@ def sorted_keys(m: Column) -> Column:
     return F.transform(F.array_sort(F.transform(F.map_keys(m), lambda k: F.struct(F.octet_length(k).alias("n"), k.alias("k")))), lambda s: s["k"])
 
 
+@F.pandas_udf(T.StringType())
+def _float_text(number: pd.Series) -> pd.Series:
+    def text(x: float) -> str:
+        if x != x or x in (float("inf"), float("-inf")):
+            return "NAN" if x != x else "INF" if x > 0 else "-INF"
+        short = f"{x:.15G}"
+        return "0" if x == 0 else short if float(short) == x else f"{x:.17G}"
+
+    return number.map(text)
+
+
+def float_text(number: Column) -> Column:
+    """Doubles as decimal text that reads back the same: 15 digits where they do, else 17; NAN, INF, -INF; 0 for either zero."""
+    return F.when(number.isNotNull(), _float_text(number))
+
+
 def scrubbed(data: Column) -> Column:
     """Bytes as text, every invalid part made U+FFFD."""
     return F.make_valid_utf8(data.cast("string"))

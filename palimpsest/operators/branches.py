@@ -162,6 +162,37 @@ def history(commits: DataFrame, heads: DataFrame, n: int = 20) -> DataFrame:
     return out
 
 
+def fast_forwards(commits: DataFrame, moves: DataFrame) -> DataFrame:
+    """moves(new, old) of references with `forward`: whether old is new or among its first parents in commits(commit_id, parent_id).
+
+    Every commit's depth is found by doubling its pointer; then each new commit climbs as far as the depths differ, by the
+    same pointers, 2 ** k steps at a time. A commit that is not known is no one's forebear; a null old is always one.
+    """
+    jumps = [commits.filter("parent_id is not null").select("commit_id", F.col("parent_id").alias("to"))]
+    depth = commits.select("commit_id", F.col("parent_id").alias("to"), F.col("parent_id").isNotNull().cast("long").alias("depth"))
+    while not jumps[-1].isEmpty():
+        above = depth.select(F.col("commit_id").alias("to"), F.col("to").alias("over"), F.col("depth").alias("more"))
+        depth = written(depth.join(above, "to", "left").select("commit_id", F.col("over").alias("to"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")), "depth")
+        jump = jumps[-1]
+        jumps.append(written(jump.alias("a").join(jump.alias("b"), F.col("a.to") == F.col("b.commit_id")).select("a.commit_id", F.col("b.to").alias("to")), "jump"))
+        if len(jumps) > 40:
+            raise ValueError("commits that are their own forebears")
+    of = depth.select("commit_id", "depth")
+    wanted = moves.select("new", "old").distinct().join(of.toDF("new", "dn"), "new").join(of.toDF("old", "do"), "old")
+    at = written(wanted.select("new", "old", F.col("new").alias("at"), (F.col("dn") - F.col("do")).alias("up")).filter("up >= 0"), "moves")
+    for k, jump in enumerate(jumps[:-1]):
+        climbed = at.join(jump.toDF("at", "to"), "at", "left")
+        at = climbed.select("new", "old", F.when(F.getbit("up", F.lit(k)) == 1, F.col("to")).otherwise(F.col("at")).alias("at"), "up")
+    forward = at.filter("at = old").select("new", "old", F.lit(True).alias("forward"))
+    return moves.join(forward, ["new", "old"], "left").withColumn("forward", F.coalesce("forward", F.col("old").isNull() | (F.col("old") == F.col("new")), F.lit(False)))
+
+
+def ends(commits: DataFrame, order: str) -> DataFrame:
+    """(branch, earliest, latest) commit of each branch of commits(branch, commit_id, ...) in an order, ties by id."""
+    by = F.struct(order, "commit_id")
+    return commits.groupBy("branch").agg(F.min_by("commit_id", by).alias("earliest"), F.max_by("commit_id", by).alias("latest"))
+
+
 def paired(log: DataFrame, files_of: DataFrame) -> DataFrame:
     """log(marker, ...) with whether a commit of files is paired with each marker, so that a reset there brings files back."""
     return log.join(files_of.select("marker").filter("marker is not null").distinct().withColumn("has_files", F.lit(True)), "marker", "left").withColumn("has_files", F.coalesce("has_files", F.lit(False)))

@@ -80,6 +80,19 @@ def overlay_join_customer(spark, d):
     return rows.groupBy("c_mktsegment").agg(F.count("*").alias("n_orders"), money("o_totalprice").alias("total"))
 
 
+@query(OVERLAY + """
+SELECT c_custkey, (SELECT max(o_totalprice) FROM v WHERE o_custkey = c_custkey) AS dearest FROM customer
+WHERE EXISTS (SELECT 1 FROM v WHERE o_custkey = c_custkey AND o_orderstatus = 'X') AND c_custkey NOT IN (SELECT o_custkey FROM v WHERE o_orderstatus = 'N' AND o_custkey IS NOT NULL)
+AND c_acctbal > (SELECT avg(c_acctbal) FROM customer)""")
+def overlay_subqueries(spark, d):
+    """Customers by correlated subqueries over the merged rows: some patched order, no new one, and a balance above the mean; the price of each one's dearest order."""
+    v, c = orders_overlay(spark, d).read(), table(spark, d, "customer")
+    mine = v.filter(F.col("o_custkey") == F.col("c_custkey").outer())
+    some = c.filter(mine.filter("o_orderstatus = 'X'").exists()).filter(~mine.filter("o_orderstatus = 'N'").exists())
+    rich = some.filter(F.col("c_acctbal") > c.select(F.avg("c_acctbal")).scalar())
+    return rich.select("c_custkey", mine.select(F.max("o_totalprice")).scalar().alias("dearest"))
+
+
 @query("SELECT n_nationkey, n_name, n_regionkey, count(*) AS suppliers FROM nation JOIN supplier ON s_nationkey = n_nationkey WHERE n_regionkey <> 1 GROUP BY ALL")
 def overlay_local_only(spark, d):
     nation = table(spark, d, "nation")
@@ -624,6 +637,37 @@ def branch_promote(spark, d):
     return B.promoted(branch_tables(spark, d)[0], name)
 
 
+@query("""
+WITH m AS (SELECT o_orderkey AS new, min(o_orderkey) OVER (PARTITION BY o_custkey) AS old FROM orders
+  UNION ALL SELECT a.o_orderkey, b.o_orderkey FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey // 2 UNION ALL SELECT o_orderkey, NULL FROM orders WHERE o_orderkey % 50 = 0)
+SELECT new, old, old IS NULL OR (a.o_custkey = b.o_custkey AND old <= new) AS forward FROM m JOIN orders a ON a.o_orderkey = new LEFT JOIN orders b ON b.o_orderkey = old""")
+def ancestor_test(spark, d):
+    """Each customer's orders as commits upon commits: which moves of a reference need no merge, for three kinds of moves."""
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("branch"), F.col("o_orderkey").alias("commit_id"))
+    commits = written(cdc.images(o, "branch", "commit_id", "commit_id").select("commit_id", F.col("before").alias("parent_id")), "commits")
+    firsts = o.join(o.groupBy("branch").agg(F.min("commit_id").alias("old")), "branch").select(F.col("commit_id").alias("new"), "old")
+    halves = o.select(F.col("commit_id").alias("new"), F.floor(F.col("commit_id") / 2).alias("old")).join(o.select(F.col("commit_id").alias("old")), "old", "left_semi").select("new", "old")
+    fresh = o.filter("commit_id % 50 = 0").select(F.col("commit_id").alias("new"), F.lit(None).cast("long").alias("old"))
+    return B.fast_forwards(commits, firsts.unionByName(halves).unionByName(fresh))
+
+
+@query("SELECT c_mktsegment AS branch, arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS earliest, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS latest FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1")
+def commit_ends(spark, d):
+    commits = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return B.ends(commits.select(F.col("c_mktsegment").alias("branch"), F.col("o_orderkey").alias("commit_id"), "o_orderdate"), "o_orderdate")
+
+
+@query(BRANCHES + """
+, blobs AS (SELECT DISTINCT p_name AS hash, length(p_name) AS size FROM part)
+SELECT t.branch, br.parent, count(*) AS files, count(size) AS stored, CAST(coalesce(sum(size), 0) AS BIGINT) AS bytes FROM tree t JOIN br USING (branch) LEFT JOIN blobs USING (hash) WHERE NOT is_dir GROUP BY ALL""")
+def files_with_blobs(spark, d):
+    """Every branch's files beside the blobs that a store has of them, under the branch's parent; blobs of rewritten files are not in the store."""
+    branches, entries = branch_tables(spark, d)
+    blobs = table(spark, d, "part").select(F.col("p_name").alias("hash"), F.length("p_name").alias("size")).distinct()
+    rows = B.resolved(branches, entries).filter("not is_dir").join(blobs, "hash", "left").groupBy("branch").agg(F.count("*").alias("files"), F.count("size").alias("stored"), F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("bytes"))
+    return rows.join(branches, "branch").select("branch", "parent", "files", "stored", "bytes")
+
+
 # Stored trees, applied states, posts
 
 
@@ -787,3 +831,24 @@ def map_patches(spark, d):
 @query("SELECT event_id, strftime(ts + INTERVAL 2 HOUR, '%Y-%m-%d %H:%M:%S') AS local FROM events")
 def local_dates(spark, d):
     return table(spark, d, "events").select("event_id", X.local_date(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), "+02:00").alias("local"))
+
+
+@query("""SELECT event_id, CASE WHEN x = 0 THEN '0' WHEN CAST(printf('%.15G', x) AS DOUBLE) = x THEN printf('%.15G', x) ELSE printf('%.17G', x) END AS text, sha1(CAST(event_id AS VARCHAR)) AS sha
+FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN value / 3 WHEN event_id % 3 = 1 THEN value * 1e20 ELSE value END AS x FROM events WHERE value IS NOT NULL)""")
+def float_texts(spark, d):
+    """Values, thirds of values and very large values as the shortest text that reads back the same."""
+    k = F.col("event_id") % 3
+    x = F.when(k == 0, F.col("value") / 3).when(k == 1, F.col("value") * 1e20).otherwise(F.col("value"))
+    return table(spark, d, "events").filter("value is not null").select("event_id", X.float_text(x).alias("text"), F.sha1(F.col("event_id").cast("string")).alias("sha"))
+
+
+@query("""SELECT page_id, name, regexp_full_match(name, '[a-zA-Z0-9][a-zA-Z0-9_-]{0,63}') AND name NOT IN ('HEAD', 'main', 'master', 'origin', 'refs', 'new') AS branch, regexp_full_match(name, '[a-z0-9]+(-[a-z0-9]+)*') AS slug,
+  regexp_full_match(name, '[A-Za-z_][A-Za-z0-9_]*') AS identifier, name <> '' AND name NOT IN ('.', '..') AS path
+FROM (SELECT page_id, unnest([url_part, 'a-' || page_id, 'main', '-' || page_id, 'p_' || page_id, '.', repeat('x', CAST(page_id % 80 AS INTEGER))]) AS name FROM (SELECT page_id, regexp_extract(url, '([^/?#]*)$', 1) AS url_part FROM pages WHERE url IS NOT NULL))""")
+def names_checked(spark, d):
+    """Names out of the pages' URLs and ids: which may name a branch, a post, a column or a file."""
+    k = F.col("page_id").cast("string")
+    names = F.array(F.regexp_extract("url", "([^/?#]*)$", 1), F.concat(F.lit("a-"), k), F.lit("main"), F.concat(F.lit("-"), k), F.concat(F.lit("p_"), k), F.lit("."), F.repeat(F.lit("x"), (F.col("page_id") % 80).cast("int")))
+    rows = table(spark, d, "pages").filter("url is not null").select("page_id", F.explode(names).alias("name"))
+    name = F.col("name")
+    return rows.select("page_id", "name", X.is_branch_name(name).alias("branch"), X.is_slug(name).alias("slug"), X.is_identifier(name).alias("identifier"), X.is_tree_path(F.concat(F.lit("/"), name)).alias("path"))

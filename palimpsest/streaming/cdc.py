@@ -57,30 +57,57 @@ def transactions(changes: DataFrame, begins: Column, of: str, seq: str) -> DataF
     return changes.withColumn("txn", F.sum(begins.cast("long")).over(so_far))
 
 
-def replay_stream(changes: DataFrame, state_dir: str, checkpoint: str, key: str, seq: str, gone: Column) -> StreamingQuery:
-    """Keeps the current state of a stream of changes in state_dir, a version a batch; a batch that runs again writes the same version.
+def _kept(spark: SparkSession, state_dir: str) -> list[tuple[int, int, str]]:
+    """(bucket, version, folder) of what a replay keeps, at most two versions a bucket, the older first."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{state_dir}/version=*/_bucket=*")
+    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where) or []
+    folders = [f.getPath().toString() for f in found]
+    return sorted((int(f.rpartition("=")[2]), int(f.rpartition("/")[0].rpartition("=")[2]), f) for f in folders)
+
+
+def _latest(kept: list[tuple[int, int, str]], version: int) -> dict[int, str]:
+    """The folder of each bucket's newest version, `version` at most."""
+    return {bucket: folder for bucket, made, folder in kept if made <= version}
+
+
+def _state(spark: SparkSession, state_dir: str, folders: list[str]) -> DataFrame:
+    empty = spark.read.parquet(f"{state_dir}/schema")
+    return spark.read.schema(empty.schema).option("basePath", state_dir).parquet(*folders) if folders else empty
+
+
+def replay_stream(changes: DataFrame, state_dir: str, checkpoint: str, key: str, seq: str, gone: Column, buckets: int = 64) -> StreamingQuery:
+    """Keeps the current state of a stream of changes in state_dir, by buckets of keys; a batch writes a version of the buckets that it touches, no others.
 
     A batch is folded before it meets the state, so a key may change many times in it; removed keys stay as marks, so
-    that a change that comes late is not taken for a new row.
+    that a change that comes late is not taken for a new row. A batch that runs again starts from the versions before it
+    and writes the same; of each bucket the last two versions are kept.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        rows = batch.withColumn("_gone", gone)
-        if number:
-            rows = rows.unionByName(spark.read.parquet(f"{state_dir}/version={number - 1}"))
-        rest = [c for c in rows.columns if c != key]
-        last = rows.groupBy(key).agg(F.max_by(F.struct(*rest), seq).alias("r")).select(key, *[F.col(f"r.{c}").alias(c) for c in rest])
-        last.write.mode("overwrite").parquet(f"{state_dir}/version={number}")
-        if number > 1:  # a batch that runs again needs the version before it, and no older one
-            old = spark._jvm.org.apache.hadoop.fs.Path(f"{state_dir}/version={number - 2}")
-            old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+        rows = batch.withColumns({"_gone": gone, "_bucket": F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")})
+        if not number:
+            rows.limit(0).write.mode("overwrite").parquet(f"{state_dir}/schema")
+        touched = {r[0] for r in rows.select("_bucket").distinct().collect()}  # `buckets` numbers at most
+        if not touched:
+            return
+        kept = _kept(spark, state_dir)
+        before = {bucket: folder for bucket, folder in _latest(kept, number - 1).items() if bucket in touched}
+        rows = rows.unionByName(_state(spark, state_dir, list(before.values())).select(rows.columns))
+        rest = [c for c in rows.columns if c not in (key, "_bucket")]
+        last = rows.groupBy("_bucket", key).agg(F.max_by(F.struct(*rest), seq).alias("r")).select(key, "_bucket", *[F.col(f"r.{c}").alias(c) for c in rest])
+        last.repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{state_dir}/version={number}")
+        for bucket, made, folder in kept:
+            if bucket in touched and made < number and folder != before[bucket]:
+                old = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
 
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def streamed_state(spark: SparkSession, state_dir: str, version: int) -> DataFrame:
-    return spark.read.parquet(f"{state_dir}/version={version}").filter("not _gone").drop("_gone")
+    """The state after a batch: its version or the one before it of every bucket."""
+    return _state(spark, state_dir, list(_latest(_kept(spark, state_dir), version).values())).filter("not _gone").drop("_gone", "_bucket", "version")
 
 
 def windowed_counts(events: DataFrame, ts: str, by: str, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from palimpsest.operators import branches as B
 from palimpsest.operators import content as C
 from palimpsest.functions import lines as L
+from palimpsest.functions import text as X
 from palimpsest.operators import diff as D
 from palimpsest.operators import posts as P
 from palimpsest.operators import sync
@@ -140,6 +141,36 @@ def test_streamed_state_equals_batch_state(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
 
 
+def test_streamed_batches_touch_only_their_buckets(spark, tmp_path):
+    state, want = tmp_path / "state", {}
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema("id long, seq long, v long, op string").json(str(tmp_path / "in"))
+    batches = [[(k, k, k, "U") for k in range(40)], [(3, 50, 7, "U"), (5, 51, 0, "D")], [(5, 10, 9, "U"), (3, 60, 8, "U")], [(3, 70, 9, "U"), (100, 71, 1, "U")]]
+    for number, batch in enumerate(batches):
+        (tmp_path / "in" / f"{number}.json").write_text("\n".join(json.dumps(dict(zip(("id", "seq", "v", "op"), r))) for r in batch))
+        cdc.replay_stream(stream, str(state), str(tmp_path / "checkpoint"), "id", "seq", F.col("op") == "D", buckets=8).awaitTermination()
+        for k, seq, v, op in batch:
+            if k not in want or want[k][0] < seq:
+                want[k] = (seq, v, op)
+        got = {r.id: r.v for r in cdc.streamed_state(spark, str(state), number).collect()}
+        assert got == {k: v for k, (_, v, op) in want.items() if op != "D"}
+    kept = [str(p.parent.name) + str(p.name) for p in state.glob("version=*/_bucket=*")]
+    assert len([k for k in kept if k.startswith("version=1")]) <= 2 and max(sum(k.endswith(f"_bucket={b}") for k in kept) for b in range(8)) == 2
+
+
+def test_moves_that_need_no_merge(spark):
+    commits = spark.createDataFrame([(1, None), *[(k, k - 1) for k in range(2, 40)], (100, 20), (101, 100), (200, None)], "commit_id long, parent_id long")
+    moves = [(39, 1), (39, 38), (39, 39), (101, 20), (101, 21), (101, 100), (20, 101), (200, 1), (39, None), (39, 999), (999, 1)]
+    got = {(r.new, r.old): r.forward for r in B.fast_forwards(commits, spark.createDataFrame(moves, "new long, old long")).collect()}
+    assert [got[m] for m in moves] == [True, True, True, True, False, True, False, False, True, False, False]
+    assert B.fast_forwards(commits.limit(0), spark.createDataFrame([(1, 2)], "new long, old long")).first().forward is False
+
+
+def test_texts_of_doubles(spark):
+    rows = spark.createDataFrame([(0.1, "0.1"), (0.1 + 0.2, "0.30000000000000004"), (-0.0, "0"), (1e25, "1E+25"), (float("nan"), "NAN"), (float("-inf"), "-INF"), (None, None), (1234567.0, "1234567")], "x double, want string")
+    assert all(r.got == r.want for r in rows.select(X.float_text(F.col("x")).alias("got"), "want").collect())
+
+
 def test_gaps_are_told_apart(spark, tmp_path):
     (tmp_path / "e.json").write_text('{"event":"row","error":"gap"}\n{"event":"row","rows":["{}","{}"]}\n')
     events = cdc.read_events(spark, str(tmp_path))
