@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, SparkSession
+import uuid
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions import lines as L
@@ -14,7 +17,7 @@ from palimpsest.operators import diff as D
 from palimpsest.operators import posts as P
 from palimpsest.operators import trees as T
 from palimpsest.operators.overlay import VersionedTable, apply_net, fold, local_table
-from palimpsest.session import table, written
+from palimpsest.session import shared_folder, table, written
 from palimpsest.sources import files as S
 from palimpsest.streaming import cdc
 
@@ -466,6 +469,42 @@ def cdc_txn(spark, d):
     return rows.groupBy("user_id", "txn").agg(F.count("*").alias("n"), money("value").alias("total"))
 
 
+def event_log(spark, d) -> str:
+    """A folder with the events as a log of row changes, an envelope a line."""
+    events = table(spark, d, "events")
+    op = F.when(F.col("event_type") == "error", "D").when(F.col("event_type") == "signup", "I").otherwise("U")
+    rows = events.select(
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"), F.lit("app").alias("database"), F.concat(F.lit("t"), (F.col("user_id") % 3).cast("string")).alias("table"),
+        op.alias("operation"), F.col("event_id").alias("next_position"), F.struct("event_id", "user_id", "event_type", "value").alias("row"),
+    )
+    folder = f"{shared_folder(spark)}/events-{uuid.uuid4().hex}"
+    cdc.envelopes(rows).repartition(3).write.text(folder)
+    return folder
+
+
+def logged(events: DataFrame) -> DataFrame:
+    return cdc.row_changes(events).withColumn("r", F.from_json("row", "event_id bigint, user_id bigint, event_type string, value double")).select("table", "operation", "timestamp", "r.*")
+
+
+@query("SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1 AND event_type <> 'error'")
+def cdc_stream_replay(spark, d):
+    """The events as a log of envelopes, read as a stream of several batches and replayed into a state by buckets of users."""
+    changes = logged(cdc.read_events(spark, event_log(spark, d), stream=True, files_per_batch=1))
+    folder = f"{shared_folder(spark)}/replay-{uuid.uuid4().hex}"
+    cdc.replay_stream(changes, f"{folder}/state", f"{folder}/checkpoint", "user_id", "event_id", F.col("operation") == "D", buckets=16).awaitTermination()
+    return cdc.streamed_state(spark, f"{folder}/state").select("user_id", "event_id", "event_type", "value")
+
+
+@query("SELECT 't' || (user_id % 3) AS \"table\", CASE event_type WHEN 'error' THEN 'D' WHEN 'signup' THEN 'I' ELSE 'U' END AS operation, count(*) AS n, max(event_id) AS last, (SELECT max(event_id) FROM events) AS position FROM events WHERE ts >= (SELECT min(ts) + INTERVAL 1 DAY FROM events) GROUP BY 1, 2")
+def cdc_table_logs(spark, d):
+    """Each table's part of the log from a day after its beginning on, by operation, and how far the log was read."""
+    events = cdc.read_events(spark, event_log(spark, d))
+    changes, start = logged(events), table(spark, d, "events").agg(F.date_format(F.min("ts") + F.expr("INTERVAL 1 DAY"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")).first()[0]
+    logs = [cdc.table_log(changes, name, start) for name in ("t0", "t1", "t2")]
+    counts = reduce(DataFrame.unionByName, logs).groupBy("table", "operation").agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
+    return counts.withColumn("position", cdc.positions(events).select("next_position").scalar())
+
+
 @query("SELECT event_type, date_trunc('hour', ts) AS start, count(*) AS n FROM events GROUP BY 1, 2")
 def cdc_event_counts(spark, d):
     return cdc.windowed_counts(table(spark, d, "events"), "ts", "event_type").select("event_type", "start", "n")

@@ -12,9 +12,11 @@ execution_time_sec bigint, xid bigint, gtid string, commit boolean, next_file st
 type_name string, error string, table_id bigint, binlog_version int, server_version string, checksum string"""
 
 
-def read_events(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
-    """Envelopes from newline-delimited JSON files, with the file and offset they came from; a stream resumes by its checkpoint."""
+def read_events(spark: SparkSession, path: str, stream: bool = False, files_per_batch: int | None = None) -> DataFrame:
+    """Envelopes from newline-delimited JSON files, with the file they came from; a stream resumes by its checkpoint, any other reader by positions()."""
     reader = (spark.readStream if stream else spark.read).schema(ENVELOPE.replace("\n", " "))
+    if stream and files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.json(path).withColumn("source_file", F.col("_metadata.file_path"))
 
 
@@ -24,6 +26,18 @@ def row_changes(events: DataFrame) -> DataFrame:
     return told.select("timestamp", "database", "table", "operation", F.posexplode("rows").alias("place", "row"))
 
 
+def envelopes(changes: DataFrame) -> DataFrame:
+    """(value): a JSON envelope of a row change for each row of changes(timestamp, database, table, operation, next_position, row); a null row is left out."""
+    names = ["timestamp", "database", "table", "operation", "next_position"]
+    return changes.select(F.to_json(F.struct(F.lit("row").alias("event"), *names, F.array_compact(F.array(F.to_json("row"))).alias("rows"))).alias("value"))
+
+
+def positions(events: DataFrame) -> DataFrame:
+    """(database, next_file, next_position): how far each database's log has been read, where a reader goes on."""
+    at = events.filter("next_position is not null").groupBy("database").agg(F.max(F.struct("next_file", "next_position")).alias("at"))
+    return at.select("database", "at.next_file", "at.next_position")
+
+
 def gaps(events: DataFrame) -> DataFrame:
     return events.filter("error is not null")
 
@@ -105,8 +119,8 @@ def replay_stream(changes: DataFrame, state_dir: str, checkpoint: str, key: str,
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def streamed_state(spark: SparkSession, state_dir: str, version: int) -> DataFrame:
-    """The state after a batch: its version or the one before it of every bucket."""
+def streamed_state(spark: SparkSession, state_dir: str, version: int = 1 << 62) -> DataFrame:
+    """The state after a batch, the newest one or the one before it: of every bucket the version that was newest then."""
     return _state(spark, state_dir, list(_latest(_kept(spark, state_dir), version).values())).filter("not _gone").drop("_gone", "_bucket", "version")
 
 
