@@ -388,12 +388,13 @@ def blob_gc(spark, d):
 
 @query("""
 WITH RECURSIVE e AS (SELECT o_orderkey AS node, o_orderkey * 2 + 1 AS ref FROM orders UNION ALL SELECT o_orderkey, o_orderkey * 3 + 2 FROM orders WHERE o_orderstatus = 'F'),
-r(node, depth) AS (SELECT o_orderkey, 0 FROM orders WHERE o_orderkey < 3 UNION SELECT e.ref, depth + 1 FROM r JOIN e ON e.node = r.node)
+r(node, depth) AS (SELECT o_orderkey, 0 FROM orders WHERE o_orderkey < 3 OR o_orderkey % 500 = 7 UNION SELECT e.ref, depth + 1 FROM r JOIN e ON e.node = r.node)
 SELECT node, CAST(min(depth) AS BIGINT) AS depth FROM r GROUP BY 1""")
 def reachable_chunks(spark, d):
+    """Orders as chunks that refer to others; what is reached from the first and from every 500th."""
     o = table(spark, d, "orders")
     edges = o.select(F.col("o_orderkey").alias("node"), (F.col("o_orderkey") * 2 + 1).alias("ref")).unionByName(o.filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("node"), (F.col("o_orderkey") * 3 + 2).alias("ref")))
-    return C.reachable(edges, o.filter("o_orderkey < 3").select(F.col("o_orderkey").alias("node")))
+    return C.reachable(edges, o.filter("o_orderkey < 3 or o_orderkey % 500 = 7").select(F.col("o_orderkey").alias("node")))
 
 
 @query(BRANCHES + "SELECT branch AS remote, ancestor AS local, depth FROM chain WHERE branch <> ancestor")
