@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import chat_format, decontaminate, embedding_dup, html_text, language_id, license_scan, near_dup, packing, quality, url_filter
+from palimpsest.llm import chat_format, decontaminate, embedding_dup, html_text, language_id, license_scan, near_dup, packing, quality, resampling, url_filter
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_language_id": language_id.op8_language_id,
     "op9_chat_format": chat_format.op9_chat_format,
     "op10_embedding_dedup": embedding_dup.op10_embedding_dedup,
+    "op11_resampling": resampling.op11_resampling,
 }
 SQL = {
     "op2_near_dedup": near_dup.SQL,
     "op3_url_filter": url_filter.SQL,
     "op9_chat_format": chat_format.SQL,
     "op10_embedding_dedup": embedding_dup.SQL,
+    "op11_resampling": resampling.SQL,
 }

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -23,6 +24,19 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], s
     return df.mapInArrow(each, schema)
 
 
+def sliced_by_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in slices whose texts in `column` have `most` bytes together, or one row where that has more."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        start = 0
+        while start < batch.num_rows:
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, "right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def map_groups(df: DataFrame, fn: Callable[[pa.Table], dict[str, list] | None], schema: str) -> DataFrame:
     """fn over the rows of each value of df's first column, a long; many small groups share one pass and one output batch.
 
