@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import chat_format, decontaminate, embedding_dup, html_text, language_id, license_scan, near_dup, packing, quality, resampling, token_align, url_filter
+from palimpsest.llm import chat_format, decontaminate, embedding_dup, html_text, language_id, license_scan, near_dup, packing, quality, resampling, suffix_dedup, token_align, url_filter
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_chat_format": chat_format.op9_chat_format,
     "op10_embedding_dedup": embedding_dup.op10_embedding_dedup,
     "op11_resampling": resampling.op11_resampling,
+    "op12_suffix_dedup": suffix_dedup.op12_suffix_dedup,
     "op13_token_alignment": token_align.op13_token_alignment,
 }
 SQL = {
