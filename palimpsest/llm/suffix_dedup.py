@@ -28,7 +28,6 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -42,7 +41,7 @@ LEAST, PREFIX = 200, 64
 #: Batches that a whole table is dealt into.
 BATCHES = 4
 #: Bytes whose windows are hashed at a time.
-PIECE = 1 << 20
+PIECE = 1 << 18
 #: Different surroundings of one prefix that one task sorts; rows of a task's sort.
 BLOCK, SORTED = 4096, 20_000
 #: Up to this many ids are broadcast to fetch texts by; more are joined by shuffle.
@@ -179,8 +178,8 @@ def regions(texts: DataFrame, least: int) -> DataFrame:
             key = key.view(np.int64)
             wanted = part.column("keys")
             among = np.repeat(np.arange(len(own)), pc.list_value_length(wanted).to_numpy())
-            pairs = pd.MultiIndex.from_arrays([owner, key])
-            some = np.flatnonzero(pairs.isin(pd.MultiIndex.from_arrays([among, pc.list_flatten(wanted).to_numpy()])))
+            of = lambda text, k: k + text * np.int64(0x1E3779B97F4A7C15)  # noqa: E731  a stray one is a candidate too many
+            some = np.flatnonzero(np.isin(of(owner, key), of(among, pc.list_flatten(wanted).to_numpy())))
             around = [own[owner[k]][first[k] : last[k] + least] for k in some]
             content = [hashlib.blake2b(b"%d %d " % (place[k] - first[k], last[k] - first[k]) + r, digest_size=16).digest() for k, r in zip(some, around)]
             numbers = [pa.array(x[some], pa.int32()) for x in (place, first, last)]
@@ -230,7 +229,8 @@ def matched(group: np.ndarray, ahead: np.ndarray, behind: np.ndarray, around: li
     return np.concatenate(row), np.concatenate(back)
 
 
-FOUND = "key long, content binary, back array<int>"
+#: Which windows of some bytes occur again, as runs: they begin lo to hi bytes before the suffix.
+FOUND = "key long, content binary, back array<struct<lo:int,hi:int>>"
 
 
 def _found_in_groups(contents: DataFrame, least: int) -> DataFrame:
@@ -241,7 +241,13 @@ def _found_in_groups(contents: DataFrame, least: int) -> DataFrame:
             key, ahead, behind, copies = (rows.column(c).to_numpy() for c in ("key", "ahead", "behind", "copies"))
             row, back = matched(key.view(np.uint64), ahead, behind, rows.column("region").to_pylist(), copies, least)
             order = np.argsort(row, kind="stable")
-            return pa.RecordBatch.from_arrays([rows.column("key").combine_chunks(), rows.column("content").combine_chunks(), _lists(back[order], row[order], len(key), pa.int32())], names=["key", "content", "back"])
+            row, back = row[order], back[order]
+            new = np.ones(len(row), bool)
+            new[1:] = (row[1:] != row[:-1]) | (back[1:] != back[:-1] + 1)
+            ends = np.append(new[1:], True) if len(row) else new
+            runs = pa.StructArray.from_arrays([pa.array(back[x], pa.int32()) for x in (new, ends)], ["lo", "hi"])
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row[new], np.arange(len(key) + 1)).astype(np.int32)), runs)
+            return pa.RecordBatch.from_arrays([rows.column("key").combine_chunks(), rows.column("content").combine_chunks(), lists], names=["key", "content", "back"])
 
         held: list[pa.RecordBatch] = []
         for batch in batches:
@@ -277,11 +283,11 @@ def _found_by_hash(contents: DataFrame, least: int) -> DataFrame:
 
     windows = contents.mapInArrow(each, "h1 long, h2 long, key long, content binary, copies long, back int")
     counts = windows.groupBy("h1", "h2").agg(F.sum("copies").alias("n")).filter("n > 1").select("h1", "h2")
-    return windows.join(counts, ["h1", "h2"], "left_semi").groupBy("key", "content").agg(F.collect_list("back").alias("back"))
+    return windows.join(counts, ["h1", "h2"], "left_semi").groupBy("key", "content").agg(F.collect_list(F.struct(F.col("back").alias("lo"), F.col("back").alias("hi"))).alias("back"))
 
 
 def _covered(texts: DataFrame, least: int) -> DataFrame:
-    """(node, n_removed, n_spans, kept_sha256) of texts(node, at, text), `at` the begins of the windows that go."""
+    """(node, n_removed, n_spans, kept_sha256) of texts(node, at, text), `at` from where on windows go, and to where."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in sliced_by_bytes(batches, "text", PIECE):
@@ -289,9 +295,8 @@ def _covered(texts: DataFrame, least: int) -> DataFrame:
             for text, at in zip(part.column("text").to_pylist(), part.column("at")):
                 data = np.frombuffer(text.encode(), np.uint8)
                 steps = np.zeros(len(data) + 1, np.int32)
-                begins = at.values.to_numpy()
-                np.add.at(steps, begins, 1)
-                np.add.at(steps, begins + least, -1)
+                np.add.at(steps, at.values.field("lo").to_numpy(), 1)
+                np.add.at(steps, at.values.field("hi").to_numpy() + least, -1)
                 gone = np.cumsum(steps[:-1]) > 0
                 out[0].append(int(gone.sum()))
                 out[1].append(int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()))
@@ -309,6 +314,8 @@ def without_repeats(docs: DataFrame, least: int = LEAST, batches: int = BATCHES)
     classes = written(rows.groupBy("digest").agg(one.alias("one"), F.count("*").alias("copies")).select("digest", F.col("one.row").alias("node"), F.col("one.doc_id").alias("doc_id"), "copies"), "classes")
     picked_by = rows.select(F.col("row").alias("node"), "keys").join(classes.select("node"), "node", "left_semi").select("node", F.explode("keys").alias("key"))
     entries = written(picked_by, "entries", codec="zstd")
+    heads = written(rows.select("doc_id", "digest", "n_bytes"), "heads")
+    dropped(rows)
 
     family = SuffixFamily()
     for batch in range(batches):
@@ -322,17 +329,17 @@ def without_repeats(docs: DataFrame, least: int = LEAST, batches: int = BATCHES)
     contents = written(distinct.agg(F.count("*").alias("copies")), "contents", codec="zstd")
     sizes = contents.groupBy("key").agg(F.count("*").alias("n"), F.sum("copies").alias("all"))
     contents = contents.join(sizes.filter("all > 1"), "key")
-    found = contents.filter("n = 1").select("key", "content", F.sequence("behind", "ahead").alias("back"))
+    found = contents.filter("n = 1").select("key", "content", F.array(F.struct(F.col("behind").alias("lo"), F.col("ahead").alias("hi"))).alias("back"))
     found = found.unionByName(_found_in_groups(contents.filter(f"n > 1 and n <= {BLOCK}"), least)).unionByName(_found_by_hash(contents.filter(f"n > {BLOCK}"), least))
 
     single = classes.filter("copies = 1").select("node", "digest", "doc_id")
     marks = around.select("node", "key", "content", "place").join(found.filter("size(back) > 0"), ["key", "content"])
-    marks = marks.join(single.select("node"), "node", "left_semi").select("node", F.transform("back", lambda d: F.col("place") - d).alias("at"))
+    marks = marks.join(single.select("node"), "node", "left_semi").select("node", F.transform("back", lambda d: F.struct((F.col("place") - d["hi"]).alias("lo"), (F.col("place") - d["lo"]).alias("hi"))).alias("at"))
     marks = written(marks.groupBy("node").agg(F.flatten(F.collect_list("at")).alias("at")).join(single, "node"), "marks", codec="zstd")
     changed = written(_covered(_texts_of(docs, marks), least), "changed")
 
     digests = classes.select("digest", "copies", "node")
-    out = rows.drop("keys", "row").join(digests.join(changed, "node", "left").drop("node"), "digest")
+    out = heads.join(digests.join(changed, "node", "left").drop("node"), "digest")
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= least)
     nothing = F.lit(hashlib.sha256(b"").hexdigest())
     return out.select(
