@@ -39,7 +39,7 @@ def three_way(base: DataFrame, source: DataFrame, target: DataFrame, keys: list[
     columns = [c for c in base.columns if c not in keys]
     sides = []
     for n, t in enumerate((base, source, target)):
-        sides.append(t.select(*keys, F.lit(n).alias("side"), row_hash(columns).alias("hash")))
+        sides.append(t.select(*keys, F.lit(n).alias("side"), row_hash(columns, t.schema).alias("hash")))
     got = sides[0].unionByName(sides[1]).unionByName(sides[2]).groupBy(*keys).agg(*[F.max(F.when(F.col("side") == n, F.col("hash"))).alias(name) for n, name in enumerate("bst")])
     equal = lambda x, y: F.col(x).eqNullSafe(F.col(y))
     decision = F.when(equal("s", "t"), "noop").when(equal("b", "t"), "apply").when(equal("b", "s"), "keep").otherwise("conflict")

@@ -4,7 +4,8 @@ A statement (insert, update, delete, truncate) is kept as what it says, not as t
 table is opened or written to. A read lays the statements over the base as projections, filters and, for inserted rows,
 one anti join by key, so that filters, joins, limits and aggregates written over read() see the merged rows, and a merged
 read is one scan of the base with its column pruning and, for predicates on columns that no statement sets, its filter
-pushdown. The journal of old and new rows is worked out when it is read. stored() writes the net change (changed rows and
+pushdown. Where more than a few updates follow each other, every INLINED-th is a wall for such filters, so that the plan
+grows with the statements and not with their product; stored() gives the pushdown back. The journal of old and new rows is worked out when it is read. stored() writes the net change (changed rows and
 tombstones, never the base) and gives a table over it that has no statements.
 
 A log of operations that comes from elsewhere, rows of (seq, op, changed, all columns of the table) with op I (a whole
@@ -26,14 +27,17 @@ from pyspark.sql import functions as F
 
 from palimpsest.session import numbered, written
 
+#: Updates in a row that a filter written over them may be pushed through: each copies the expressions of the one before.
+INLINED = 3
 
-def _meets(a: str, b: str, keys: list[str] | tuple[str, ...]) -> Column:
+
+def meets(a: str, b: str, keys: list[str] | tuple[str, ...]) -> Column:
     """Null-safe equality of all key columns of two aliases."""
     return reduce(lambda x, y: x & y, (F.col(f"{a}.`{k}`").eqNullSafe(F.col(f"{b}.`{k}`")) for k in keys))
 
 
 def without_keys(rows: DataFrame, others: DataFrame, keys: list[str] | tuple[str, ...]) -> DataFrame:
-    return rows.alias("a").join(others.select(*keys).alias("b"), _meets("a", "b", keys), "left_anti")
+    return rows.alias("a").join(others.select(*keys).alias("b"), meets("a", "b", keys), "left_anti")
 
 
 def fold(ops: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
@@ -57,7 +61,7 @@ def apply_net(base: DataFrame, net: DataFrame, keys: list[str]) -> DataFrame:
     """
     others = [c for c in base.columns if c not in keys]
     untouched = without_keys(base, net, keys)
-    both = base.alias("b").join(net.filter("_op is null").alias("n"), _meets("b", "n", keys))
+    both = base.alias("b").join(net.filter("_op is null").alias("n"), meets("b", "n", keys))
     patched = both.select(*[F.col(f"b.{c}") if c in keys else F.when(F.col(f"n._{c}").isNotNull(), F.col(f"n._{c}")[c]).otherwise(F.col(f"b.{c}")).alias(c) for c in base.columns])
     new = net.filter("_op = 'I'").select(*keys, *[F.col(f"_{c}")[c].alias(c) for c in others])
     return untouched.unionByName(patched).unionByName(new)
@@ -90,21 +94,22 @@ class VersionedTable:
 
     def as_of(self, seq: int) -> DataFrame:
         """The rows as the statement of that number left them."""
-        rows = self.base
+        rows, sets = self.base, 0
         for s in self.statements:
             if s.seq > seq:
                 break
             if s.op == "U":
-                rows = rows.withColumns(self._set(s))
+                sets += 1
+                rows = _apply(rows, self._set(s), sets % INLINED == 0)
             elif s.op == "I":
                 rows = without_keys(rows, s.rows, self.keys).unionByName(s.rows)
             else:
-                rows = rows.filter(~_true(s.where))
+                rows = rows.filter(~true(s.where))
         return rows
 
     def _set(self, s: Statement) -> dict[str, Column]:
         kinds = {f.name: f.dataType for f in self.base.schema.fields}
-        return {c: F.when(_true(s.where), value.cast(kinds[c])).otherwise(F.col(c)) for c, value in s.sets}
+        return {c: F.when(true(s.where), value.cast(kinds[c])).otherwise(F.col(c)) for c, value in s.sets}
 
     def _next(self, op: str, **said) -> VersionedTable:
         return replace(self, statements=(*self.statements, Statement(self.seq + 1, op, datetime.now(timezone.utc), **said)))
@@ -141,9 +146,9 @@ class VersionedTable:
         before, image = self.as_of(seq - 1), F.to_json(F.struct(*self.base.columns))
         if s.op == "I":
             old = before.withColumn("old_row", image).select(*self.keys, "old_row").alias("o")
-            rows = s.rows.withColumn("new_row", image).alias("r").join(old, _meets("r", "o", self.keys), "left").select(*[F.col(f"r.`{k}`") for k in self.keys], "old_row", "new_row")
+            rows = s.rows.withColumn("new_row", image).alias("r").join(old, meets("r", "o", self.keys), "left").select(*[F.col(f"r.`{k}`") for k in self.keys], "old_row", "new_row")
         else:
-            rows = before.filter(_true(s.where)).withColumn("old_row", image)
+            rows = before.filter(true(s.where)).withColumn("old_row", image)
             rows = rows.withColumns(self._set(s)).withColumn("new_row", image) if s.op == "U" else rows.withColumn("new_row", F.lit(None).cast("string"))
         return rows.select(F.lit(s.seq).cast("long").alias("seq"), F.lit("D" if s.op == "T" else s.op).alias("op"), F.lit(s.at).alias("at"), *self.keys, "old_row", "new_row")
 
@@ -160,18 +165,19 @@ class VersionedTable:
 
     def net(self) -> DataFrame:
         """The base's columns and `_gone`: rows that the statements changed or made, and tombstones; the base is read once."""
-        rows = self.base.withColumns({"_touched": F.lit(False), "_gone": F.lit(False)})
+        rows, sets = self.base.withColumns({"_touched": F.lit(False), "_gone": F.lit(False)}), 0
         for s in self.statements:
             if s.op == "I":
                 rows = without_keys(rows, s.rows, self.keys).unionByName(s.rows.withColumns({"_touched": F.lit(True), "_gone": F.lit(False)}))
                 continue
-            met = _true(s.where) & ~F.col("_gone")
+            sets += 1
+            met = true(s.where) & ~F.col("_gone")
             mark = {"_touched": F.lit(True) if s.op == "T" else F.col("_touched") | met}
             if s.op == "U":
                 mark |= {c: F.when(~F.col("_gone"), value).otherwise(F.col(c)) for c, value in self._set(s).items()}
             else:
                 mark["_gone"] = F.col("_gone") | met
-            rows = rows.withColumns(mark)
+            rows = _apply(rows, mark, sets % INLINED == 0)
         return rows.filter("_touched").drop("_touched")
 
     def stored(self) -> VersionedTable:
@@ -187,7 +193,15 @@ class VersionedTable:
         return VersionedTable(self.base.sparkSession.read.schema(self.base.schema).parquet(path), self.keys)
 
 
-def _true(where: Column) -> Column:
+def _apply(rows: DataFrame, sets: dict[str, Column], wall: bool) -> DataFrame:
+    """rows with the columns set. Behind a wall they come out of a generator of one row, through which filters on other columns go and filters on these don't."""
+    if not wall:
+        return rows.withColumns(sets)
+    kept = [F.col(f"`{c}`") for c in rows.columns if c not in sets]
+    return rows.select(*kept, F.inline_outer(F.array(F.struct(*[value.alias(c) for c, value in sets.items()])))).select(*[F.col(f"`{c}`") for c in rows.columns])
+
+
+def true(where: Column) -> Column:
     return F.coalesce(where, F.lit(False))
 
 

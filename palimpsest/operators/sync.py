@@ -6,12 +6,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.operators.content import missing, put_once, reachable
+from palimpsest.operators.history import fast_forwards, forebears
 from palimpsest.session import written
 
 
+def lacking(chunks: DataFrame, have: DataFrame, roots: DataFrame) -> DataFrame:
+    """The chunks(hash, data, refs) that roots(hash) lead to and have(hash) lacks.
+
+    One anti join finds what the other side lacks at all; only among those is anything followed, so an exchange of a few
+    chunks costs the same whatever the history behind them, and a long history few rounds. The other side has, with a
+    chunk, all that it leads to. A reference to a chunk that neither side has is an error.
+    """
+    new = written(missing(chunks.select("hash", "refs"), have), "lacking")
+    found = written(forebears(new.select(F.col("hash").alias("node"), "refs"), roots.select(F.col("hash").alias("node"))).withColumnRenamed("node", "hash"), "found")
+    named = new.join(found, "hash").select(F.explode("refs").alias("hash")).unionByName(roots.select("hash")).distinct()
+    if lost := missing(missing(named, found), have).limit(5).collect():
+        raise ValueError(f"chunks that neither side has: {[r.hash for r in lost]}")
+    return chunks.join(found, "hash")
+
+
 def to_copy(chunks: DataFrame, have: DataFrame, root: str) -> DataFrame:
-    """The chunks(hash, data, refs) reached from root that have(hash) lacks, with their depth: deeper ones go first."""
-    edges = chunks.select(F.col("hash").alias("node"), F.explode("refs").alias("ref"))
+    """The chunks(hash, data, refs) reached from root that have(hash) lacks, with their depth, a round for each step: for shallow trees only, lacking() for histories."""
+    new = written(missing(chunks.select("hash", "refs"), have), "lacking")
+    edges = new.select(F.col("hash").alias("node"), F.explode("refs").alias("ref"))
     wanted = reachable(edges, chunks.sparkSession.createDataFrame([(root,)], "node string")).withColumnRenamed("node", "hash")
     return chunks.join(missing(wanted, have), "hash")
 
@@ -20,8 +37,8 @@ def descends(commits: DataFrame, new: str, old: str | None) -> bool:
     """Whether commit new has old among its forebears in commits(hash, parents), so that a reference may move without a merge."""
     if old is None or old == new:
         return True
-    edges = commits.select(F.col("hash").alias("node"), F.explode("parents").alias("ref"))
-    return not reachable(edges, commits.sparkSession.createDataFrame([(new,)], "node string"), 10_000, until=old).filter(F.col("node") == old).isEmpty()
+    graph = commits.select(F.col("hash").alias("node"), F.col("parents").alias("refs"))
+    return fast_forwards(graph, commits.sparkSession.createDataFrame([(new, old)], "new string, old string")).first().forward
 
 
 class Refs:
@@ -63,6 +80,10 @@ class Refs:
         return True
 
 
+def _one(chunks: DataFrame, root: str) -> DataFrame:
+    return chunks.sparkSession.createDataFrame([(root,)], "hash string")
+
+
 def push(local: DataFrame, remote: DataFrame, refs: Refs, name: str, new: str, commits: DataFrame) -> tuple[DataFrame, int, str]:
     """(remote's chunks after it, how many moved, up-to-date or pushed): chunks go first and the reference last, so a push that fails leaves the reference where it was.
 
@@ -73,7 +94,7 @@ def push(local: DataFrame, remote: DataFrame, refs: Refs, name: str, new: str, c
         return remote, 0, "up-to-date"
     if not descends(commits, new, old):
         raise ValueError("push refused: not a fast-forward")
-    moved = written(to_copy(local, remote, new).select(remote.columns), "moved")
+    moved = written(lacking(local, remote, _one(local, new)).select(remote.columns), "moved")
     after = put_once(remote, moved)
     if not refs.compare_and_set(name, old, new):
         raise ValueError("push refused: the reference has moved; fetch first")
@@ -83,4 +104,4 @@ def push(local: DataFrame, remote: DataFrame, refs: Refs, name: str, new: str, c
 def fetch(local: DataFrame, remote: DataFrame, refs: Refs, name: str) -> tuple[DataFrame, str | None]:
     """local's chunks with what the remote reference reaches, and that reference's hash; no local reference moves."""
     at = refs.get(name)
-    return (local, None) if at is None else (put_once(local, written(to_copy(remote, local, at).select(local.columns), "moved")), at)
+    return (local, None) if at is None else (put_once(local, written(lacking(remote, local, _one(remote, at)).select(local.columns), "moved")), at)

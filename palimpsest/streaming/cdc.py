@@ -33,8 +33,9 @@ def envelopes(changes: DataFrame) -> DataFrame:
 
 
 def positions(events: DataFrame) -> DataFrame:
-    """(database, next_file, next_position): how far each database's log has been read, where a reader goes on."""
-    at = events.filter("next_position is not null").groupBy("database").agg(F.max(F.struct("next_file", "next_position")).alias("at"))
+    """(database, next_file, next_position): how far each database's log has been read, where a reader goes on; files go by the number that ends their names."""
+    number = F.regexp_extract("next_file", r"([0-9]+)$", 1).try_cast("long").alias("number")
+    at = events.filter("next_position is not null").groupBy("database").agg(F.max(F.struct(number, "next_file", "next_position")).alias("at"))
     return at.select("database", "at.next_file", "at.next_position")
 
 
