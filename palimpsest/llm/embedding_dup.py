@@ -224,7 +224,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("vector"))
     sound = F.forall("vector", lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)) & ~F.coalesce(F.isnan(x), F.lit(True)))
     sound = sound & F.exists("vector", lambda x: x != 0) & F.col("vec_id").isNotNull()
-    classes = written(rows.filter(sound).groupBy("vector").agg(F.min("vec_id").alias("node"), F.count_distinct("vec_id").alias("copies")), "classes")
+    same = rows.filter(sound).groupBy("vector").agg(F.min("vec_id").alias("least"), F.count_distinct("vec_id").alias("copies"))
+    classes = written(same.withColumn("node", F.monotonically_increasing_id()), "classes")  # an id may stand for several vectors: classes have numbers of their own
     counts = links = None
     for (dim,) in classes.select(F.size("vector")).distinct().collect():
         n, found = _linked(classes.filter(F.size("vector") == dim), dim, cosine)
@@ -232,8 +233,10 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
     if counts is None:
         empty = F.when(F.col("vec_id").isNotNull(), F.lit(True)).otherwise(False)
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), empty.alias("kept"))
-    found = connected_components(links)
-    named = classes.join(counts, "node").join(found, "node", "left").select("vector", "n_links", F.coalesce("component", "node").alias("component_id"))
+    own = classes.join(connected_components(links), "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
+    least = own.groupBy("component").agg(F.min("least").alias("component_id"))
+    found = own.join(least, "component").select("node", "component_id")
+    named = classes.join(counts, "node").join(found, "node").select("vector", "n_links", "component_id")
     rows = rows.withColumn("sound", F.coalesce(sound, F.lit(False)))
     out = rows.join(named.withColumn("sound", F.lit(True)), ["sound", "vector"], "left")
     component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component_id", "vec_id"))

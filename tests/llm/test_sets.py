@@ -133,6 +133,9 @@ def test_a_vector_is_decoded_to_just_the_filters_it_exceeds():
 def test_repeated_ids_are_one_vector_and_hot_filters_are_compared_in_blocks(spark, monkeypatch):
     twice = spark.createDataFrame([(5, [1.0, 0.0]), (5, [1.0, 0.0]), (7, [1.0, 0.01])], "vec_id long, embedding array<double>")
     assert sorted((r.vec_id, r.n_links, r.component_id) for r in embedding_dup.near_vectors(twice).collect()) == [(5, 1, 5), (5, 1, 5), (7, 1, 5)]
+    shared = [(5, [1.0, 0.0]), (5, [0.0, 1.0]), (7, [1.0, 0.01]), (9, [0.01, 1.0]), (11, [-1.0, 0.0]), (3, [-1.0, -1.0]), (3, [-1.0, -1.01])]
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_dup.near_vectors(spark.createDataFrame(shared, "vec_id long, embedding array<double>")).collect())
+    assert got == [(3, 1, 3, True), (3, 1, 3, True), (5, 1, 5, True), (5, 1, 5, True), (7, 1, 5, False), (9, 1, 5, False), (11, 0, 11, True)]
     monkeypatch.setattr(embedding_dup, "FEW", 2)
     monkeypatch.setattr(embedding_dup, "BLOCK", 8)
     rng = np.random.default_rng(14)
