@@ -39,7 +39,7 @@ from palimpsest.session import table
 
 VOCABULARIES = ("byte_bpe_50k.json", "piece_bpe_32k.model")
 #: Bytes of text encoded at a time; chunks whose ids a task remembers.
-SLICE, REMEMBERED = 4 << 20, 500_000
+SLICE, REMEMBERED = 1 << 20, 200_000
 #: Pairs that one index holds: at 12 bytes each the bound on what is broadcast at once. Pairs of a shard, and counts of a chunk.
 PAIRS, SHARD, CHUNK = 16_000_000, 1 << 16, 1 << 14
 #: Vectors that one task adds up.
@@ -143,7 +143,7 @@ class Links:
 
 def linked(ids_a: np.ndarray, ids_b: np.ndarray, count_a: np.ndarray, lengths: list[np.ndarray]) -> Links:
     """Links of texts laid one after the other, each of both sides' tokens or of none; count_a is how many of a each has."""
-    at_a, at_b = np.cumsum(lengths[0][ids_a]), np.cumsum(lengths[1][ids_b])
+    at_a, at_b = np.cumsum(lengths[0][ids_a], dtype=np.int64), np.cumsum(lengths[1][ids_b], dtype=np.int64)
     flags = np.zeros((2, int(at_a[-1]) + 1 if len(at_a) else 1), bool)
     flags[0, at_a], flags[1, at_b] = True, True
     cut = np.flatnonzero(flags[0] | flags[1])
@@ -191,8 +191,8 @@ class GroupTexts:
 KEPT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, ids_a binary, ids_b binary"
 
 
-def tokenized(docs: DataFrame, a: str, b: str) -> DataFrame:
-    """KEPT columns of docs(doc_id, text); ids are little-endian numbers of four bytes."""
+def tokenized(docs: DataFrame, a: str, b: str, kind: str) -> DataFrame:
+    """KEPT columns of docs(doc_id, text); ids are numbers of that kind, one after the other."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Tokenizers(a, b)
@@ -206,33 +206,43 @@ def tokenized(docs: DataFrame, a: str, b: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([
                 part.column("doc_id"), pa.array(count_a), pa.array(count_b), pa.array(n_groups), pa.array(np.diff(links.edges)),
                 pa.array([hashlib.sha256(t).hexdigest() if t else "" for t in told], pa.string()),
-                *[pa.array([p[k].astype("<u4").tobytes() for p in pairs], pa.binary()) for k in (0, 1)],
+                *[pa.array([p[k].astype(kind).tobytes() for p in pairs], pa.binary()) for k in (0, 1)],
             ], names=[x.split()[0] for x in KEPT.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, KEPT)
 
 
+@dataclass(frozen=True)
 class Aligner:
     """Links of kept rows, a slice at a time, with each link's pair as one number."""
 
-    def __init__(self, a: str, b: str):
-        of = Tokenizers(a, b)
-        self.lengths, self.size_b = of.lengths, len(of.bytes_b)
+    #: How many bytes each id of either side has; how ids are kept.
+    lengths: list[np.ndarray]
+    kind: str
+
+    @classmethod
+    def of(cls, both: Tokenizers) -> Aligner:
+        return cls([x.astype(np.uint8 if x.max() < 256 else np.int32) for x in both.lengths], "<u2" if max(map(len, both.lengths)) <= 1 << 16 else "<u4")
+
+    @property
+    def size_b(self) -> int:
+        return len(self.lengths[1])
 
     def slices(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
         """(rows, the links' pairs, where each row's begin)."""
-        for part in sliced_by_bytes(batches, "ids_a", 4 * SLICE):
-            ids_a, ids_b = (np.frombuffer(b"".join(part.column(c).to_pylist()), "<u4") for c in ("ids_a", "ids_b"))
-            count_a = np.array([len(x) // 4 for x in part.column("ids_a").to_pylist()])
+        for part in sliced_by_bytes(batches, "ids_a", SLICE):
+            rows = [part.column(c).to_pylist() for c in ("ids_a", "ids_b")]
+            ids_a, ids_b = (np.frombuffer(b"".join(r), self.kind) for r in rows)
+            count_a = np.array([len(x) for x in rows[0]]) // np.dtype(self.kind).itemsize
             links = linked(ids_a, ids_b, count_a, self.lengths)
             yield part, links.a.astype(np.int64) * self.size_b + links.b, links.edges
 
 
-def distinct_pairs(kept: DataFrame, a: str, b: str) -> DataFrame:
+def distinct_pairs(kept: DataFrame, align: Aligner) -> DataFrame:
     """(pair) of all links, once each."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        align, found, held = Aligner(a, b), [], 0
+        found, held = [], 0
         for _, pairs, _ in align.slices(batches):
             found.append(np.unique(pairs))
             held += len(found[-1])
@@ -333,11 +343,11 @@ def hashed_shards(pairs: DataFrame, shards: int) -> DataFrame:
     return pairs.mapInArrow(dealt, "shard long, pair long").groupBy("shard").applyInArrow(made, "shard long, sizes binary, words binary, keys binary")
 
 
-def dense_counts(kept: DataFrame, index, a: str, b: str) -> DataFrame:
+def dense_counts(kept: DataFrame, index, align: Aligner) -> DataFrame:
     """(chunk, counts): how many links each pair of the broadcast index has, chunk by chunk; the tasks' vectors added up a tree."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        align, of = Aligner(a, b), index.value
+        of = index.value
         counts = np.zeros(-(-len(of.keys) // CHUNK) * CHUNK, np.int64)
         for _, pairs, _ in align.slices(batches):
             once = pa.array(pairs).value_counts()
@@ -368,8 +378,9 @@ def aligned(docs: DataFrame, a: str | None = None, b: str | None = None, pairs_a
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256), a row for each row of docs(doc_id, text)."""
     a, b = a or public_tokenizers.path(VOCABULARIES[0]), b or public_tokenizers.path(VOCABULARIES[1])
     at_once, spark = pairs_at_once or PAIRS, docs.sparkSession
-    kept = written(tokenized(docs, a, b).withColumn("row", F.monotonically_increasing_id()), "tokens", codec="zstd")
-    pairs = written(distinct_pairs(kept, a, b), "pairs")
+    align = Aligner.of(Tokenizers(a, b))
+    kept = written(tokenized(docs, a, b, align.kind).withColumn("row", F.monotonically_increasing_id()), "tokens", codec="zstd")
+    pairs = written(distinct_pairs(kept, align), "pairs")
     n = pairs.count()
     shards = max(1, -(-n // min(SHARD, at_once)))
     hashes = written(hashed_shards(pairs, shards), "hashes")
@@ -379,15 +390,14 @@ def aligned(docs: DataFrame, a: str | None = None, b: str | None = None, pairs_a
         rows = hashes.filter(F.col("shard") % rounds == turn).collect()  # about at_once pairs of 8 bytes
         return PairIndex(shards, {r.shard: tuple(np.frombuffer(x, np.int64 if k != 1 else "<u8") for k, x in enumerate((r.sizes, r.words, r.keys))) for r in rows})
 
-    size_b = len(Tokenizers(a, b).bytes_b)
-    best, summed = np.zeros(size_b, np.int64), []
+    best, summed = np.zeros(align.size_b, np.int64), []
     for turn in range(rounds):
         index = spark.sparkContext.broadcast(index_of(turn))
-        summed.append(written(dense_counts(kept, index, a, b), "counts"))
-        np.maximum.at(best, index.value.keys % size_b, _vector(summed[-1], len(index.value.keys)))
+        summed.append(written(dense_counts(kept, index, align), "counts"))
+        np.maximum.at(best, index.value.keys % align.size_b, _vector(summed[-1], len(index.value.keys)))
         index.unpersist()
 
-    parts = [_looked_up(kept, spark.sparkContext.broadcast((index_of(turn), _vector(summed[turn], None), best)), a, b) for turn in range(rounds)]
+    parts = [_looked_up(kept, spark.sparkContext.broadcast((index_of(turn), _vector(summed[turn], None), best)), align) for turn in range(rounds)]
     out = parts[0]
     if rounds > 1:
         for more in parts[1:]:
@@ -404,13 +414,13 @@ def _vector(chunks: DataFrame, n: int | None) -> np.ndarray:
     return out if n is None else np.pad(out, (0, max(0, n - len(out))))[:n]
 
 
-def _looked_up(kept: DataFrame, held, a: str, b: str) -> DataFrame:
+def _looked_up(kept: DataFrame, held, align: Aligner) -> DataFrame:
     """kept's rows with n_best and count_sum over the links whose pairs the broadcast (index, counts, best) holds."""
     schema = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, n_best long, count_sum long"
     names = [x.split()[0] for x in schema.split(", ")]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        align, (index, counts, best) = Aligner(a, b), held.value
+        index, counts, best = held.value
         for part, pairs, edges in align.slices(batches):
             coded = pa.array(pairs).dictionary_encode()
             once = coded.dictionary.to_numpy()
