@@ -2,4 +2,5 @@
 
 from __future__ import annotations
 
+from palimpsest.plans import stores  # noqa: F401  adds its queries
 from palimpsest.plans.queries import QUERIES, SQL

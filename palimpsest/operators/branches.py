@@ -16,31 +16,34 @@ from palimpsest.operators.diff import three_way
 from palimpsest.session import numbered, written
 
 
-def chains(branches: DataFrame) -> DataFrame:
-    """(branch, ancestor, depth): every branch with itself (depth 0) and what it inherits from.
+def chains(branches: DataFrame, only: list[str] | DataFrame | None = None) -> DataFrame:
+    """(branch, ancestor, depth): every branch, or those named in `only` (a list, or a table with a column branch), with itself (depth 0) and what it inherits from.
 
-    Pointers are doubled: each round joins the steps known so far with themselves, so chains of n branches take log2(n) rounds.
+    Pointers are doubled: each round joins the steps known so far with themselves, so chains of n branches take log2(n)
+    rounds. Branches that are their own ancestors are an error.
     """
     known = written(branches.select("branch", "parent"), "branches")
-    out = known.select("branch", F.col("branch").alias("ancestor"), F.lit(0).cast("long").alias("depth"))
+    n, out = known.count(), known
+    if only is not None:
+        out = known.join(only.select("branch"), "branch", "left_semi") if isinstance(only, DataFrame) else known.filter(F.col("branch").isin(only))
+    out = out.select("branch", F.col("branch").alias("ancestor"), F.lit(0).cast("long").alias("depth"))
     jump = known.filter("parent is not null and parent <> branch").join(known.select(F.col("branch").alias("parent")), "parent").select("branch", F.col("parent").alias("to"))
     step = 1
     while not jump.isEmpty():
+        if step >= n:  # a chain of n branches has n - 1 steps
+            raise ValueError("branches that are their own ancestors")
         more = out.alias("o").join(jump.alias("j"), F.col("o.ancestor") == F.col("j.branch")).select("o.branch", F.col("j.to").alias("ancestor"), (F.col("o.depth") + step).alias("depth"))
         out = out.unionByName(more)
         if step >= 4:  # shallow chains, nearly all there are, need no table between rounds
             out = written(out, "chains")
         jump = written(jump.alias("a").join(jump.alias("b"), F.col("a.to") == F.col("b.branch")).select("a.branch", F.col("b.to").alias("to")), "jump")
         step *= 2
-        if step > 1 << 40:
-            raise ValueError("branches that are their own ancestors")
     return out
 
 
-def resolved(branches: DataFrame, entries: DataFrame, only: list[str] | None = None) -> DataFrame:
+def resolved(branches: DataFrame, entries: DataFrame, only: list[str] | DataFrame | None = None) -> DataFrame:
     """(branch, path, hash, is_dir): what each branch shows, or those named in `only`; the nearest entry of a path wins and a tombstone hides it."""
-    line = chains(branches).withColumnRenamed("branch", "of")
-    line = line if only is None else line.filter(F.col("of").isin(only))
+    line = chains(branches, only).withColumnRenamed("branch", "of")
     seen = line.join(entries, F.col("ancestor") == F.col("branch")).select("of", "path", "hash", "is_dir", "depth")
     nearest = seen.groupBy("of", "path").agg(F.min_by(F.struct("hash", "is_dir"), "depth").alias("e"))
     return nearest.filter("e.hash is not null or e.is_dir").select(F.col("of").alias("branch"), "path", "e.hash", "e.is_dir")
@@ -228,7 +231,7 @@ def snapshot(tree: DataFrame, branch: str, commit: int) -> DataFrame:
 
 def reset(entries: DataFrame, branches: DataFrame, branch: str, snap: DataFrame) -> DataFrame:
     """entries after the branch is set to a snapshot: its own rows become what makes it show just that, tombstones where it inherits more."""
-    inherited = resolved(branches, entries.filter(F.col("branch") != branch)).filter(F.col("branch") == branch)
+    inherited = resolved(branches, entries.filter(F.col("branch") != branch), [branch])
     hide = inherited.join(snap, "path", "left_anti").select(F.lit(branch).alias("branch"), "path", F.lit(None).cast("string").alias("hash"), F.lit(False).alias("is_dir"))
     own = snap.select(F.lit(branch).alias("branch"), "path", "hash", "is_dir")
     return entries.filter(F.col("branch") != branch).unionByName(own).unionByName(hide)

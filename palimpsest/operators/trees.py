@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from palimpsest.operators.content import row_lanes, set_digest
 from palimpsest.operators.diff import both_sides
 from palimpsest.session import shared_folder
 
@@ -121,11 +122,10 @@ def build(rows: DataFrame, keys: tuple[str, ...], buckets: int = 256) -> Tree:
 
 def _write(spark: SparkSession, rows: DataFrame, keys: tuple[str, ...], schema: T.StructType, buckets: int, leaves: dict, some: list[int] | None) -> Tree:
     path = f"{shared_folder(spark)}/tree-{uuid.uuid4().hex}"
-    own = F.xxhash64(*[F.coalesce(F.struct(c).cast("string"), F.lit("")) if isinstance(schema[c].dataType, T.MapType) else F.col(c) for c in schema.names])
     placed = rows.select(*schema.names).withColumn(BUCKET, F.pmod(F.xxhash64(*keys), F.lit(buckets)))
     placed.repartition(BUCKET, F.pmod(F.xxhash64(*keys, F.lit(1)), F.lit(max(1, spark.sparkContext.defaultParallelism // buckets)))).write.partitionBy(BUCKET).parquet(f"{path}/rows")
     stored = T.StructType([*schema.fields, T.StructField(BUCKET, T.LongType())])
-    digest = F.concat_ws("-", F.bit_xor(own).cast("string"), F.sum(F.shiftright(own, 20)).cast("string"), F.count("*").cast("string"))
+    digest = set_digest(row_lanes(schema.names, schema))
     told = spark.read.schema(stored).parquet(f"{path}/rows").groupBy(BUCKET).agg(digest.alias("digest"), F.count("*").alias("n")).collect()  # a row a bucket
     leaves = {k: v for k, v in leaves.items() if k not in set(some or [])} | {r[BUCKET]: (r.digest, r.n, path) for r in told}
     level, nodes = {k: d for k, (d, _, _) in leaves.items()}, [(0, k, d, n, where) for k, (d, n, where) in leaves.items()]

@@ -329,10 +329,10 @@ def branch_reset(spark, d):
     """The second nation's tree, snapshotted and put back after all of its files are rewritten and its parent has gained some."""
     branches, entries = branch_tables(spark, d)
     name = table(spark, d, "nation").filter("n_nationkey = 1").first().n_name
-    snap = B.snapshot(B.resolved(branches, entries), name, 1).select("path", "hash", "is_dir")
+    snap = B.snapshot(B.resolved(branches, entries, [name]), name, 1).select("path", "hash", "is_dir")
     region = branches.filter(F.col("branch") == name).first().parent
     wrong = entries.withColumn("hash", F.when(F.col("branch") == name, "wrong").otherwise(F.col("hash"))).unionByName(entries.filter("branch = 'trunk'").select(F.lit(region).alias("branch"), F.concat("path", F.lit(".more")).alias("path"), "hash", "is_dir"))
-    return B.resolved(branches, B.reset(wrong, branches, name, snap)).filter(F.col("branch") == name).select("path", "hash", "is_dir")
+    return B.resolved(branches, B.reset(wrong, branches, name, snap), [name]).select("path", "hash", "is_dir")
 
 
 LINE = "sha256(path || chr(31) || coalesce(hash, '') || chr(31) || CASE WHEN is_dir THEN 'true' ELSE 'false' END)"
@@ -618,12 +618,12 @@ def branch_writes(spark, d):
     branches, entries = branch_tables(spark, d)
     names = table(spark, d, "region").select(F.col("r_name").alias("branch"))
     part = F.regexp_extract("path", r"/([0-9]+)\.txt$", 1).try_cast("long")
-    tree = B.resolved(branches, entries).join(names, "branch", "left_semi")
+    tree = written(B.resolved(branches, entries, names), "tree")
     gone = B.removed(tree.filter(part % 11 == 0))
     left = tree.join(gone.select("branch", "path"), ["branch", "path"], "left_anti")
     moves = B.renamed(left, left.filter(part % 13 == 0).select("branch", "path", F.concat(F.lit("/moved/"), part.cast("string"), F.lit(".txt")).alias("to")))
     after = B.with_writes(entries, gone, moves, B.missing_folders(left, moves))
-    return B.resolved(branches, after).join(names, "branch", "left_semi").select("branch", "path", "hash", "is_dir")
+    return B.resolved(branches, after, names).select("branch", "path", "hash", "is_dir")
 
 
 @query(BRANCHES + f"""
@@ -747,10 +747,9 @@ def posts_dml(spark, d):
     """Customers as posts with their orders as meta rows: some deleted, some renumbered with all that hangs on them, new ones put in."""
     k = F.col("c_custkey")
     posts = table(spark, d, "customer").select(k.alias("id"), F.when(k % 10 != 0, k - k % 10).alias("parent"))
-    posts = posts.withColumn("parent", F.when(F.col("parent").isin(0), F.lit(0).cast("long")).otherwise(F.col("parent")))
     meta = table(spark, d, "orders").select(F.col("o_orderkey").alias("meta_id"), F.col("o_custkey").alias("post_id"))
     posts, meta = P.delete_posts(posts, meta, posts.filter("id % 10 = 7").select("id"))
-    moves = posts.select("id").unionByName(posts.filter("parent = 0").select(F.lit(0).cast("long").alias("id")).distinct().filter("id <> 0")).filter("id % 100 = 0").select("id", (F.col("id") + 10000000).alias("new_id"))
+    moves = posts.filter("id % 100 = 0").select("id", (F.col("id") + 10000000).alias("new_id"))
     posts, meta = P.renumber_posts(posts, meta, moves)
     posts = P.insert_posts(posts, table(spark, d, "supplier").select(F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("parent")))
     count = meta.groupBy(F.col("post_id").alias("id")).agg(F.count("*").alias("n_meta"))

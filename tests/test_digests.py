@@ -54,3 +54,23 @@ def test_bucket_diff_equals_plain_diff_on_random_rows(spark, seed):
     rng.shuffle(moved)
     of = lambda rows: table(spark, rows).agg(C.set_digest(C.row_lanes(SCHEMA.replace("map<string,int>", "m").split()[::2], table(spark, rows).schema)).alias("d")).first().d
     assert of(list(before.values())) == of(moved) != of(list(after.values()))
+
+
+def test_trees_of_unequal_tables_have_unequal_roots(spark):
+    from palimpsest.operators import trees as T
+
+    schema = "k long, x long, y long, m map<string,int>"
+    a = T.build(spark.createDataFrame([(1, None, 5, {"p": None}), (2, 1, 1, None)], schema), ("k",), 16)
+    b = T.build(spark.createDataFrame([(1, 5, None, {"p": None}), (2, 1, 1, None)], schema), ("k",), 16)
+    assert a.root != b.root and len(a.changed_buckets(b)) == 1
+    same = T.build(spark.createDataFrame([(2, 1, 1, None), (1, None, 5, {"p": None})], schema), ("k",), 16)
+    assert a.root == same.root
+
+
+def test_cycle_of_branches(spark):
+    from palimpsest.operators import branches as B
+
+    for cycle in (["b", "a"], ["b", "c", "a"]):
+        rows = list(zip("abc", cycle)) + [("root", None), ("leaf", "root")]
+        with pytest.raises(ValueError, match="ancestors"):
+            B.chains(spark.createDataFrame(rows, "branch string, parent string")).count()
