@@ -511,3 +511,16 @@ def test_pages_are_differenced_with_the_nearest_url(spark):
     got = sorted((r.page_id, r.text) for r in html_text.extract_text(pages).collect())
     assert got == [(1, "one"), (2, "two"), (3, "other three"), (4, "menu alone"), (5, ""), (6, "solo"), (7, "same"), (7, "same"), (8, "copy"), (9, "copy")]
     assert html_text.extract_text(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "part, stays",
+    [
+        ('<div class="AdUnit">Buy</div>', False), ('<div class="sponsored-content__box">Buy</div>', False), ('<section id="discussion"><p>x</p></section>', False), ('<div class="user-feedback">x</div>', False),
+        ('<div class="relatedStories2">x</div>', False), ('<div class="side_barLeft">x</div>', False), ('<div class="NavBar">x</div>', False), ('<div class="post-comments__list-items">x</div>', False),
+        ('<div class="has-sidebar">x</div>', True), ('<div class="articleBody">x</div>', True), ('<p class="leadParagraph">x</p>', True), ('<div class="roadMap adventure">x</div>', True), ('<div class="main-content__2">x</div>', True),
+    ],
+)
+def test_names_are_cut_where_words_meet(part, stays):
+    page = f'<html><body><article><p>Main.</p>{part}</article><article class="teaser"><p>Other</p></article></body></html>'
+    assert len(html_text.blocks_of(page)[0]) == 1 + stays
