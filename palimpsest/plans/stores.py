@@ -9,11 +9,15 @@ from pyspark.sql import functions as F
 
 from palimpsest.operators import diff as D
 from palimpsest.operators import history as H
+from palimpsest.operators import ordered as O
+from palimpsest.operators import space as SP
 from palimpsest.operators import sync
 from palimpsest.operators import trees as T
+from palimpsest.operators.pointers import NumberedFiles
 from palimpsest.operators.store import Conflict, Store
 from palimpsest.plans.queries import OVERLAY, query
 from palimpsest.session import shared_folder, table, written
+from palimpsest.streaming.log_source import NumberedLog
 from palimpsest.streaming.txn import committed
 
 
@@ -159,6 +163,79 @@ def null_moves(spark, d):
     return D.diff_by_buckets(c, moved, ["c_custkey"]).join(trees, "c_custkey", "left_semi").select("c_custkey", "kind")
 
 
+# Ordered trees
+
+
+def ordered_orders(spark, d) -> tuple[O.OrderedTree, O.OrderedTree]:
+    """The orders as an ordered tree, and a commit upon it that rewrites every 500th and takes out every 700th."""
+    o = table(spark, d, "orders")
+    first = O.build(o, ("o_orderkey",), 7)
+    put = o.filter("o_orderkey % 500 = 0 and o_orderkey % 700 <> 0").withColumn("o_orderstatus", F.lit("X"))
+    return first, first.commit(put, o.filter("o_orderkey % 700 = 0").select("o_orderkey"))
+
+
+@query("SELECT o_orderkey, o_orderstatus AS before, CASE WHEN o_orderkey % 700 = 0 THEN NULL ELSE 'X' END AS after FROM orders WHERE o_orderkey % 500 = 0 OR o_orderkey % 700 = 0")
+def ordered_diff(spark, d):
+    """What differs between the two versions, found from the roots down."""
+    first, then = ordered_orders(spark, d)
+    return first.diff(then).select("o_orderkey", F.col("a.o_orderstatus").alias("before"), F.col("b.o_orderstatus").alias("after"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 500 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey % 700 <> 0 AND o_orderkey BETWEEN (SELECT max(o_orderkey) // 4 FROM orders) AND (SELECT max(o_orderkey) // 2 FROM orders)")
+def ordered_range(spark, d):
+    """The second quarter of the newer version by a range of keys."""
+    top = table(spark, d, "orders").agg(F.max("o_orderkey")).first()[0]
+    return ordered_orders(spark, d)[1].range((top // 4,), (top // 2,)).select("o_orderkey", "o_orderstatus")
+
+
+# Snapshots that share what they hold: month by month the orders of a priority come, and go after some months
+
+SNAPSHOTS = """
+WITH s AS (SELECT CAST(o_custkey % 12 AS BIGINT) AS born, CAST(o_custkey % 12 + 1 + o_orderkey % 9 AS BIGINT) AS died, o_orderpriority AS branch, CAST(o_orderkey AS VARCHAR) AS hash, CAST(length(o_orderpriority) + o_orderkey % 50 AS BIGINT) AS size FROM orders),
+m AS (SELECT range AS snap FROM range(12)), held AS (SELECT snap, s.* FROM m JOIN s ON born <= snap AND snap < died)"""
+
+
+@query(SNAPSHOTS + "SELECT snap, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes, CAST(sum(CASE WHEN greatest(born, 0) = least(died, 12) - 1 THEN size ELSE 0 END) AS BIGINT) AS own FROM held GROUP BY 1")
+def snapshot_space(spark, d):
+    """What each of twelve snapshots holds, and what it alone holds, from the months in which things came and went."""
+    return SP.space(order_lives(spark, d), 12)
+
+
+@query(SNAPSHOTS + ", r AS (SELECT a.range AS first, b.range AS last FROM range(12) a, range(12) b WHERE a.range <= b.range) SELECT first, last, CAST(coalesce(sum(size), 0) AS BIGINT) AS freed FROM r LEFT JOIN s ON born >= first AND least(died, 12) - 1 <= last AND born < least(died, 12) GROUP BY 1, 2")
+def snapshot_freed(spark, d):
+    """What goes if all snapshots from one to another are deleted, for every such range."""
+    return SP.freed(order_lives(spark, d), 12)
+
+
+def order_lives(spark, d) -> DataFrame:
+    k = F.col("o_custkey") % 12
+    return table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("hash"), (F.length("o_orderpriority") + F.col("o_orderkey") % 50).cast("long").alias("size"), k.cast("long").alias("born"), (k + 1 + F.col("o_orderkey") % 9).cast("long").alias("died"))
+
+
+# A log in numbered files, read on from where the reader stopped
+
+
+@query("SELECT event_id, event_type FROM events WHERE event_type IS NOT NULL")
+def log_read_on(spark, d):
+    """The events as a log of three files; the third comes when the first two were read, and the reader goes on from its checkpoint."""
+    spark.dataSource.register(NumberedLog)
+    folder = _folder(spark, "numbered")
+    files = NumberedFiles(spark, f"{folder}/log")
+    files.fs.mkdirs(files._path(files.folder))
+    middle = table(spark, d, "events").select(F.median("event_id")).first()[0]
+    text = table(spark, d, "events").select("event_id", F.to_json(F.struct("event_id", "event_type")).alias("value"))
+    parts = (text.filter(F.col("event_id") <= middle / 2), text.filter((F.col("event_id") > middle / 2) & (F.col("event_id") <= middle)), text.filter(F.col("event_id") > middle))
+    for number, part in zip((9, 10, 11), parts):
+        part.select("value").coalesce(1).write.text(f"{folder}/part{number}")
+        (made,) = files.fs.globStatus(files._path(f"{folder}/part{number}/part-*"))
+        files.fs.rename(made.getPath(), files._path(f"{files.folder}/log.{number:06d}"))
+        if number > 9:
+            stream = spark.readStream.format("numbered_log").option("path", files.folder).load()
+            stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(once=True).start().awaitTermination()
+    value = F.from_json("value", "event_id long, event_type string").alias("e")
+    return spark.read.parquet(f"{folder}/out").select(value).select("e.event_id", "e.event_type").filter("event_type is not null")
+
+
 # Transactions over a stream: each user's events as a log, a signup begins a transaction, an error rolls one back, a click commits
 
 

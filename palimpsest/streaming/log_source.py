@@ -53,7 +53,8 @@ class LogReader(DataSourceStreamReader):
         self.range = int(options.get("rangebytes", options.get("rangeBytes", RANGE)))
 
     def _open(self):
-        return fs.FileSystem.from_uri(self.path) if "://" in self.path or self.path.startswith("file:") else (fs.LocalFileSystem(), self.path)
+        local = re.sub("^file:/+", "/", self.path)
+        return (fs.LocalFileSystem(), local) if local.startswith("/") else fs.FileSystem.from_uri(self.path)
 
     def files(self) -> list[tuple[int, str, int]]:
         """(number, path, size) by number."""
