@@ -8,17 +8,18 @@ are compared without case. A null page stays null.
 from __future__ import annotations
 
 from collections.abc import Callable
+from html.entities import html5
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PIECES = r"""(?is)<script\b(?:"[^"]*"|'[^']*'|[^'">])*>.*?(?:</script\s*>|\z)|<style\b(?:"[^"]*"|'[^']*'|[^'">])*>.*?(?:</style\s*>|\z)|<!--.*?(?:-->|\z)|</?[a-z](?:"[^"]*"|'[^']*'|[^'">])*>|[^<]+|<"""
 _VALUE = r"""(?:"[^"]*"|'[^']*'|[^\s"'>]+)"""
-#: The entities of HTML that most texts use; numbers are decoded by rule.
-ENTITIES = {
-    "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\xa0", "copy": "©", "reg": "®", "trade": "™", "hellip": "…", "mdash": "—", "ndash": "–", "lsquo": "‘", "rsquo": "’",
-    "ldquo": "“", "rdquo": "”", "laquo": "«", "raquo": "»", "bull": "•", "middot": "·", "euro": "€", "pound": "£", "yen": "¥", "cent": "¢", "sect": "§", "deg": "°", "times": "×", "percnt": "%",
-}
+#: The names that HTML gives characters; those without a semicolon may be written so.
+NAMED = html5
+_BARE = sorted((n for n in NAMED if not n.endswith(";")), key=lambda n: (-len(n), n))
+#: What numbers from 128 to 159 stand for: characters of Windows' code page, where it has one.
+_WINDOWS = {n: c for n in range(128, 160) if (c := bytes([n]).decode("cp1252", "ignore"))}
 
 
 def pieces(html: Column) -> Column:
@@ -87,33 +88,52 @@ def links(html: Column) -> Column:
     return F.filter(F.transform(anchors, lambda t: attribute(t, "href")), lambda h: h.isNotNull())
 
 
+#: A start tag's name, its attributes one by one with what parts them from the one before, and whatever else it has.
+_ATTRIBUTES = rf"""(?s)^<[a-zA-Z][^\s/>]*|[\s/]+[^\s=>/"'][^\s=>/]*(?:\s*=\s*{_VALUE})?|[\s/]*/?>$|."""
+
+
 def without_active(html: Column) -> Column:
-    """The page without scripts, on* handlers and addresses that run a script; texts are left alone."""
-    runs = r"(?i)^[\s\x00-\x20]*(?:j\s*a\s*v\s*a|v\s*b)\s*s\s*c\s*r\s*i\s*p\s*t\s*:"
+    """The page without scripts, on* handlers, documents inside attributes, and attributes of any name whose address runs a script; texts are left alone.
+
+    Addresses are read as a browser does: references decoded, control characters and white space passed over.
+    """
+    def runs(attribute: Column) -> Column:
+        name = F.lower(F.regexp_extract(attribute, r"""^[\s/]+([^\s=>/]+)""", 1))
+        value = F.regexp_replace(F.regexp_extract(attribute, rf"(?s)=\s*({_VALUE})$", 1), r"""^["']|["']$""", "")
+        plain = F.lower(F.regexp_replace(decoded(value, True), r"[\x00-\x20\x7f]+", ""))
+        address = plain.rlike(r"^(?:javascript|vbscript|livescript):|^data:(?:text/html|image/svg|application/xhtml|text/xml)")
+        refreshed = (name == "content") & plain.rlike(r"url=['\"]?(?:javascript|vbscript|data):")
+        return name.rlike(r"^on[a-z]") | (name == "srcdoc") | address | refreshed
 
     def clean(p: Column) -> Column:
-        bare = without_attribute(p, r"on[a-z]+")
-        for name in ("href", "src", "action", "formaction"):
-            bare = F.when(F.coalesce(decoded(attribute(bare, name)).rlike(runs), F.lit(False)), without_attribute(bare, name)).otherwise(bare)
-        return F.when(p.rlike("^<[a-zA-Z]") & ~_is(p, "style"), bare).otherwise(p)
+        parts = F.regexp_extract_all(p, F.lit(_ATTRIBUTES), F.lit(0))
+        kept = F.filter(parts, lambda x: ~(x.rlike(r"^[\s/]+[^\s=>/]") & runs(x)))
+        return F.when(p.rlike("^<[a-zA-Z]") & ~_is(p, "style"), F.array_join(kept, "")).otherwise(p)
 
     return F.array_join(F.transform(F.filter(pieces(html), lambda p: ~_is(p, "script")), clean), "")
 
 
-def decoded(text: Column) -> Column:
-    """Character references decoded: numbers, and the names in ENTITIES; others stay, and & comes last."""
-    parts = F.regexp_extract_all(text, F.lit(r"(?s)&#[xX]?[0-9a-fA-F]{1,7};|[^&]+|&"), F.lit(0))
+def decoded(text: Column, attribute: bool = False) -> Column:
+    """Character references decoded in one pass: numbers, and HTML's names, the old ones without a semicolon too; what is none stays.
+
+    In an attribute's value, an old name before `=`, a letter or a digit is none, so that ?a=1&copy=2 stays.
+    """
+    bare = "|".join(_BARE) if not attribute else "(?:" + "|".join(_BARE) + ")(?![=a-zA-Z0-9])"
+    parts = F.regexp_extract_all(text, F.lit(rf"(?s)&#[xX][0-9a-fA-F]+;?|&#[0-9]+;?|&[a-zA-Z][a-zA-Z0-9]*;|&(?:{bare})|[^&]+|&"), F.lit(0))
+    named = F.map_from_arrays(F.lit(list(NAMED)), F.lit(list(NAMED.values())))  # constants, made once
+    windows = F.map_from_arrays(F.lit(list(_WINDOWS)), F.lit(list(_WINDOWS.values())))
 
     def one(p: Column) -> Column:
-        point = F.when(p.rlike("^&#[xX]"), F.conv(F.regexp_extract(p, "^&#[xX]([0-9a-fA-F]+);", 1), 16, 10)).otherwise(F.regexp_extract(p, "^&#([0-9]+);", 1))
+        point = F.when(p.rlike("^&#[xX]"), F.conv(F.regexp_extract(p, "^&#[xX]0*([0-9a-fA-F]{1,8});?$", 1), 16, 10)).otherwise(F.regexp_extract(p, "^&#([0-9]+);?$", 1))
         code = point.try_cast("int")
         good = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-        return F.when(p.rlike("^&#") & F.coalesce(good, F.lit(False)), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(p)
+        number = F.coalesce(F.when(code.between(128, 159), F.try_element_at(windows, code)), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        old = F.regexp_extract(p, rf"^&({'|'.join(_BARE)})", 1) if not attribute else F.lit("")
+        longer = F.when(old != "", F.concat(F.try_element_at(named, old), F.substr(p, F.length(old) + 2)))
+        name = F.coalesce(F.try_element_at(named, F.substr(p, F.lit(2))), longer, p)
+        return F.when(p.rlike("^&#"), F.when(F.coalesce(good, F.lit(False)), number).otherwise(p)).when(p.rlike("^&[a-zA-Z]"), name).otherwise(p)
 
-    out = F.array_join(F.transform(parts, one), "")
-    for name, char in ENTITIES.items():
-        out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
-    return F.replace(out, F.lit("&amp;"), F.lit("&"))
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(parts, one), "")).otherwise(text)
 
 
 def elements(pages: DataFrame, key: str, html: str) -> DataFrame:

@@ -17,6 +17,8 @@ from palimpsest.operators.pointers import NumberedFiles
 from palimpsest.operators.store import Conflict, Store
 from palimpsest.plans.queries import OVERLAY, query
 from palimpsest.session import shared_folder, table, written
+from palimpsest.sources import files as S
+from palimpsest.sources import folder as W
 from palimpsest.streaming.log_source import NumberedLog
 from palimpsest.streaming.txn import committed
 
@@ -163,6 +165,23 @@ def null_moves(spark, d):
     return D.diff_by_buckets(c, moved, ["c_custkey"]).join(trees, "c_custkey", "left_semi").select("c_custkey", "kind")
 
 
+# Posts as files of a folder
+
+
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 10 = 0 THEN 'renamed' ELSE 'customer' END AS slug, c_mktsegment || CASE WHEN c_custkey % 10 = 0 THEN ' again' ELSE '' END AS body FROM customer WHERE c_custkey % 7 <> 0")
+def posts_written(spark, d):
+    """Customers written as posts, then every tenth renamed with a new text and every seventh removed in one commit, and read back."""
+    k, folder = F.col("c_custkey"), _folder(spark, "posts")
+    at = lambda slug: F.concat(k.cast("string"), F.lit(f"-{slug}.md"))
+    text = lambda more: F.concat(F.lit('---\npost_title: "x"\n---\n'), "c_mktsegment", F.lit(more))
+    rows = table(spark, d, "customer")
+    W.write_files(rows.select(at("customer").alias("path"), text("").alias("text")), folder)
+    gone, moved = k % 7 == 0, (k % 10 == 0) & (k % 7 != 0)
+    then = rows.filter(gone | moved).select(F.when(gone, at("customer")).otherwise(at("renamed")).alias("path"), F.when(moved, text(" again")).alias("text"), F.when(moved, at("customer")).alias("was"))
+    W.write_files(then, folder)
+    return S.read_posts(spark, folder).select("id", "slug", "body")
+
+
 # Ordered trees
 
 

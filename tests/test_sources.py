@@ -122,6 +122,24 @@ def test_entities(spark):
     assert one(spark, M.decoded(F.col("t")), t="AT&amp;T &mdash; 100&percnt; &#x1F600;&#233; &amp;lt; &nope; & &#0; &#xD800; &#99999999;") == "AT&T — 100% 😀é &lt; &nope; & &#0; &#xD800; &#99999999;"
 
 
+def test_references_are_decoded_once_as_a_browser_does(spark):
+    import html
+
+    t = "&#38;lt; &eacute;&colon; &#106 &#x6a; &copy2 &notit; &NotEqualTilde; &fjlig; &amp;amp; &AMP &#128; &#x80 &lt;&lt &; &&amp; &#; &#x; &unknown; &ampx"
+    assert one(spark, M.decoded(F.col("t")), t=t) == html.unescape(t)
+    assert one(spark, M.decoded(F.col("t"), True), t="?a=1&copy=2&copy;&ltx&lt&reg.") == "?a=1&copy=2©&ltx<®."
+
+
+@pytest.mark.parametrize("tag, clean", [
+    ('<a href="javascript&colon;alert(1)">', "<a>"), ('<use xlink:href="javascript:x" id=u>', "<use id=u>"), ('<object data="javascript:x"></object>', "<object></object>"), ('<iframe srcdoc="<script>x</script>" title=t>', "<iframe title=t>"),
+    ('<a href="&#106avascript:alert(1)">', "<a>"), ("<img/onerror=alert(1) src=x>", "<img src=x>"), ('<a href=" java\nscript&Tab;:x">', "<a>"), ('<a href="data:text/html,x" class="k">', '<a class="k">'), ("<body onload>", "<body>"),
+    ('<meta http-equiv=refresh content="0;url=javascript:x">', "<meta http-equiv=refresh>"), ('<a href="/x?u=javascript:y" title="on=1">', '<a href="/x?u=javascript:y" title="on=1">'), ("<a href=/x/y/z>", "<a href=/x/y/z>"), ('<img src="data:image/png;base64,AA"/>', '<img src="data:image/png;base64,AA"/>'),
+    ('<p dir two=\'2\' / three >', '<p dir two=\'2\' / three >'),
+])
+def test_addresses_that_run_scripts_go(spark, tag, clean):
+    assert one(spark, M.without_active(F.col("p")), p=tag) == clean
+
+
 def test_elements_and_what_stands_around_them(spark):
     page = "<article><figure><img src=1><figcaption>x</figcaption></figure><p>t <img src=2></p><figure><img src=3></figure></article>"
     rows = M.elements(spark.createDataFrame([(1, page)], "k long, html string"), "k", "html")
