@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,18 +37,22 @@ def is_tree_path(path: Column) -> Column:
     return F.coalesce(path.rlike(r"^(/(?!\.{1,2}(/|$))[^/\x00]+)+$"), F.lit(False))
 
 
-def is_server_path(path: Column) -> Column:
-    """Paths that belong to the server that runs a site, not to the site: its own folder, version control, database files."""
+def is_server_path(path: Column, owned: list[str] | None = None) -> Column:
+    """Paths that belong to the server that runs a site, not to the site: those that `owned` names, whole folders by a slash at the end; or else its own folder, version control, database files."""
+    if owned is not None:
+        at = [path.startswith(o) if o.endswith("/") else path == o for o in owned]
+        return F.coalesce(F.exists(F.array(*at), lambda x: x), F.lit(False)) if at else F.lit(False)
     return F.coalesce(path.rlike(r"(^|/)(\.git|\.server|node_modules)(/|$)|\.(sqlite|db)(-wal|-shm|-journal)?$"), F.lit(False))
 
 
-#: Names that no branch may have.
+#: Names that no branch may have, where the caller gives no others.
 RESERVED = ["HEAD", "main", "master", "origin", "refs", "new"]
 
 
-def is_branch_name(name: Column) -> Column:
-    """Letters, digits, `-` and `_` after a letter or digit, 64 at most, and no reserved name."""
-    return F.coalesce(name.rlike("^[a-zA-Z0-9][a-zA-Z0-9_-]{0,63}$") & ~name.isin(RESERVED), F.lit(False))
+def is_branch_name(name: Column, reserved: list[str] = RESERVED, longest: int = 64, any_case: bool = False, first: str = "a-zA-Z0-9") -> Column:
+    """Letters, digits, `-` and `_` after one of `first`, so many at most, and no reserved name (with `any_case`, in any case)."""
+    plain = F.lower(name).isin([r.lower() for r in reserved]) if any_case else name.isin(reserved)
+    return F.coalesce(name.rlike(f"^[{first}][a-zA-Z0-9_-]{{0,{longest - 1}}}$") & ~plain, F.lit(False))
 
 
 def is_identifier(name: Column) -> Column:
@@ -204,3 +209,23 @@ def local_date(gmt: Column, zone: str) -> Column:
     """A GMT date and time as text, in a site's own zone; what is no date stays."""
     at = F.try_to_timestamp(gmt, F.lit("yyyy-MM-dd HH:mm:ss"))
     return F.coalesce(F.date_format(F.from_utc_timestamp(at, zone), "yyyy-MM-dd HH:mm:ss"), gmt)
+
+
+def fnv1a(text: Column) -> Column:
+    """The 64-bit FNV-1a hash of a text's bytes, in hex: for keys that others have made so; two halves, as a product of 64 bits overflows."""
+    digits, low = F.hex(F.encode(text, "UTF-8")), F.lit(0xFFFFFFFF)
+    octets = F.transform(F.filter(F.regexp_extract_all(digits, F.lit("(..)"), F.lit(1)), lambda d: d != ""), lambda d: F.conv(d, 16, 10).cast("long"))
+
+    def step(h: Column, octet: Column) -> Column:
+        right = h["low"].bitwiseXOR(octet)
+        product = right * 435  # the prime is 2 ** 40 + 435
+        high = h["high"] * 435 + F.shiftright(product, 32) + right * 256
+        return F.struct(high.bitwiseAND(low).alias("high"), product.bitwiseAND(low).alias("low"))
+
+    start = F.struct(F.lit(0xCBF29CE4).alias("high"), F.lit(0x84222325).alias("low"))
+    return F.aggregate(octets, start, step, lambda h: F.lower(F.concat(F.lpad(F.hex(h["high"]), 8, "0"), F.lpad(F.hex(h["low"]), 8, "0"))))
+
+
+def transformed(rows: DataFrame, changes: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """rows with the caller's functions put over columns, so that states of two sites compare; columns that rows lacks are passed over."""
+    return rows.withColumns({c: change(F.col(f"`{c}`")) for c, change in changes.items() if c in rows.columns})

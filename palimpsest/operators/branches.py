@@ -56,6 +56,11 @@ def listed(tree: DataFrame, folder: str) -> DataFrame:
     return tree.filter(F.startswith("path", F.lit(base + "/"))).filter(~F.contains(inside, F.lit("/"))).withColumn("name", inside)
 
 
+def listing(tree: DataFrame, folder: str) -> DataFrame:
+    """listed() in the order that it is shown in: by branch, then by name."""
+    return listed(tree, folder).orderBy("branch", "name")
+
+
 def globbed(tree: DataFrame, pattern: str) -> DataFrame:
     """Paths that match segment by segment; * and ? don't cross a slash or match a leading dot."""
     regex = ""
@@ -145,6 +150,17 @@ def recorded(tree: DataFrame, commits: DataFrame, heads: DataFrame) -> tuple[Dat
     return new, tree.join(new.select("branch", "commit_id"), "branch").select("commit_id", "path", "hash", "is_dir")
 
 
+def written_and_recorded(branches: DataFrame, entries: DataFrame, commits: DataFrame, files: DataFrame, steps: list[tuple[DataFrame, str, str]]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """entries, commits and files after writes, each step (writes, marker, message) a commit of every branch that it wrote to."""
+    for writes, marker, message in steps:
+        entries = written(with_writes(entries, writes), "entries")
+        heads = writes.select("branch").distinct().withColumns({"marker": F.lit(marker), "message": F.lit(message)})
+        new, held = recorded(resolved(branches, entries, heads), commits, heads)
+        new = written(new, "commits")
+        commits, files = commits.unionByName(new), files.unionByName(written(held, "files"))
+    return entries, commits, files
+
+
 def dirty(tree: DataFrame, commits: DataFrame, heads: DataFrame) -> DataFrame:
     """(branch, dirty): whether a branch shows other than the commit that heads(branch, commit_id) says it stands at, which need not be its newest."""
     at = heads.join(commits.select("commit_id", "digest"), "commit_id", "left").select("branch", F.col("digest").alias("at"))

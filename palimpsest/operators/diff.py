@@ -26,6 +26,16 @@ def diff(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return out.filter((F.col("kind") != "changed") | (F.size("changed") > 0))
 
 
+def change_counts(before: dict[str, DataFrame], after: dict[str, DataFrame], keys: dict[str, list[str]]) -> DataFrame:
+    """(table, kind, n) over two states of a whole database; a table that one of them lacks is empty there."""
+    parts = []
+    for name in sorted(before.keys() | after.keys()):
+        some = before.get(name, after.get(name)).limit(0)
+        counts = diff(before.get(name, some), after.get(name, some), keys[name]).groupBy("kind").agg(F.count("*").alias("n"))
+        parts.append(counts.select(F.lit(name).alias("table"), "kind", "n"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def diff_by_buckets(a: DataFrame, b: DataFrame, keys: list[str], n: int = 64) -> DataFrame:
     """diff(), but rows are compared only in buckets whose digests differ."""
     marked = [t.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(n))) for t in (a, b)]

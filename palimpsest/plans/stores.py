@@ -255,6 +255,20 @@ def log_read_on(spark, d):
     return spark.read.parquet(f"{folder}/out").select(value).select("e.event_id", "e.event_type").filter("event_type is not null")
 
 
+# Counts of changes over a database, hashes of other makers
+
+
+@query("""
+SELECT 'customer' AS "table", kind, count(*) AS n FROM (SELECT CASE WHEN c_custkey % 9 = 0 THEN 'removed' WHEN c_custkey % 5 = 0 THEN 'changed' END AS kind FROM customer) WHERE kind IS NOT NULL GROUP BY ALL
+UNION ALL SELECT 'orders', 'added', count(*) FROM orders WHERE o_orderkey % 4 = 0 HAVING count(*) > 0 UNION ALL SELECT 'supplier', 'removed', count(*) FROM supplier HAVING count(*) > 0""")
+def database_changes(spark, d):
+    """Changes by table and kind between two states of a database: a table changed, one grown, one dropped."""
+    c, o, s = (table(spark, d, t) for t in ("customer", "orders", "supplier"))
+    before = {"customer": c, "orders": o.filter("o_orderkey % 4 <> 0"), "supplier": s}
+    after = {"customer": c.filter("c_custkey % 9 <> 0").withColumn("c_acctbal", F.when(F.col("c_custkey") % 5 == 0, F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal"))), "orders": o}
+    return D.change_counts(before, after, {"customer": ["c_custkey"], "orders": ["o_orderkey"], "supplier": ["s_suppkey"]})
+
+
 # Transactions over a stream: each user's events as a log, a signup begins a transaction, an error rolls one back, a click commits
 
 

@@ -178,3 +178,25 @@ def test_pages_past_the_end_are_zeros(spark, tmp_path):
     base = files.byte_pages(spark, str(tmp_path / "db"), 4)
     wanted = base.select("path").distinct().withColumn("page_no", F.explode(F.array(F.lit(2), F.lit(9))))
     assert [bytes(r.bytes) for r in files.pages_at(base, wanted, 4).orderBy("page_no").collect()] == [b"aaaa", b"\0\0\0\0"]
+
+
+def test_lists_of_names_are_the_callers(spark):
+    known = dict(reserved=["www", "admin", "api", "mail", "localhost", "wp"], longest=63, any_case=True, first="a-zA-Z0-9_-")  # fixed values: hosts that a router of branches keeps
+    good = lambda n: one(spark, X.is_branch_name(F.col("n"), **known), n=n)
+    assert [good(n) for n in ("WWW", "wp", "Admin", "x" * 64, "", "a.b")] == [False] * 6 and all(good(n) for n in ("main", "-x", "_y", "x" * 63, "www2"))
+    owned = ["content/db.php", "content/database/", "meta.json"]
+    mine = lambda p: one(spark, X.is_server_path(F.col("p"), owned), p=p)
+    assert mine("content/db.php") and mine("content/database/x/y") and not mine("content/db.php.bak") and not mine("content/databases/x") and not mine("a/.git/b")
+
+
+def test_fnv_and_transforms(spark):
+    def plain(data):
+        h = 0xCBF29CE484222325
+        for b in data:
+            h = (h ^ b) * 0x100000001B3 % (1 << 64)
+        return f"{h:016x}"
+
+    for t in ("", "a", "foobar", "été 日本 😀" * 9):
+        assert one(spark, X.fnv1a(F.col("t")), t=t) == plain(t.encode())
+    df = spark.createDataFrame([("a", 1)], "t string, n int")
+    assert X.transformed(df, {"t": F.upper, "n": lambda c: c + 1, "gone": F.lower}).collect()[0] == ("A", 2)

@@ -233,6 +233,19 @@ def test_commits_and_the_dirty_check(tree):
     assert sorted((r.back, r.commit_id) for r in line.collect()) == [(0, rows["dev"][0]), (1, ids["dev"])]
 
 
+def test_a_commit_for_each_write(tree, spark):
+    branches, entries = tree
+    commits = spark.createDataFrame([], "commit_id long, branch string, parent_id long, marker string, message string, digest string")
+    files = spark.createDataFrame([], "commit_id long, path string, hash string, is_dir boolean")
+    name = branches.first().branch
+    write = lambda h: B.files_written(spark.createDataFrame([(name, "/w.txt", h)], "branch string, path string, hash string"))
+    entries, commits, files = B.written_and_recorded(branches, entries, commits, files, [(write("1"), "m1", "one"), (write("1"), "m2", "same"), (write("2"), "m3", "two")])
+    got = [(r.commit_id, r.parent_id, r.marker) for r in commits.orderBy("commit_id").collect()]
+    assert got == [(1, None, "m1"), (2, 1, "m3")] and {(r.commit_id, r.hash) for r in files.filter("path = '/w.txt'").collect()} == {(1, "1"), (2, "2")}
+    names = [r.name for r in B.listing(B.resolved(branches, entries, [name]), "/").collect()]
+    assert names == sorted(names) and "w.txt" in names
+
+
 def test_merge_of_files(spark):
     make = lambda rows: spark.createDataFrame(rows, "path string, text string")
     base = make([("a", "1\n2\n3"), ("b", "x"), ("c", "y"), ("d", "z")])
