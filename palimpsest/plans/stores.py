@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.functions import xml as XM
 from palimpsest.operators import diff as D
 from palimpsest.operators import history as H
 from palimpsest.operators import ordered as O
@@ -255,6 +256,51 @@ def log_read_on(spark, d):
     return spark.read.parquet(f"{folder}/out").select(value).select("e.event_id", "e.event_type").filter("event_type is not null")
 
 
+# XML: customers with their orders as documents, the two prefixes swapped in every second one
+
+
+def order_documents(spark, d) -> DataFrame:
+    o, odd = table(spark, d, "orders"), F.col("o_custkey") % 2 == 1
+    c, own = F.when(odd, "x").otherwise("c"), F.when(odd, "c").otherwise("x")
+    one = F.concat(F.lit("<"), own, F.lit(":order id='"), F.col("o_orderkey").cast("string"), F.lit("' "), c, F.lit(':status="'), "o_orderstatus", F.lit('"/>'))
+    rows = o.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", one.alias("one")))).alias("all"))
+    inner = F.array_join(F.transform("all", lambda s: s["one"]), "")
+    head = F.concat(F.lit("<"), c, F.lit(":customer xmlns:"), c, F.lit('="urn:c" xmlns:'), own, F.lit('="urn:o">'))
+    return rows.select("o_custkey", F.concat(head, inner, F.lit("<note xmlns:"), c, F.lit('="urn:other" '), c, F.lit(':status="n"/></'), c, F.lit(":customer>")).alias("xml"))
+
+
+@query("SELECT o_custkey, 'urn:c' AS namespace, o_orderstatus AS value, count(*) AS n FROM orders GROUP BY ALL UNION ALL SELECT o_custkey, 'urn:other', 'n', 1 FROM (SELECT DISTINCT o_custkey FROM orders)")
+def xml_attribute_names(spark, d):
+    """Every status by the namespace that its prefix stands for where it stands."""
+    some = XM.elements(XM.tokens(order_documents(spark, d), "o_custkey", "xml"), "o_custkey")
+    return XM.attribute_names(some, "o_custkey").filter("local = 'status'").groupBy("o_custkey", "namespace", "value").agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH p AS (SELECT *, CASE WHEN o_custkey % 2 = 1 THEN 'x' ELSE 'c' END AS c, CASE WHEN o_custkey % 2 = 1 THEN 'c' ELSE 'x' END AS o FROM orders),
+one AS (SELECT o_custkey, c, o, o_orderkey, '<' || o || ':order id=''' || o_orderkey || ''' ' || c || ':status="' || CASE WHEN o_orderstatus = 'F' THEN 'done &amp; &lt;gone>' ELSE o_orderstatus END || '"/>' AS one FROM p)
+SELECT o_custkey, sha256('<' || c || ':customer xmlns:' || c || '="urn:c" xmlns:' || o || '="urn:o">' || string_agg(one, '' ORDER BY o_orderkey) || '<note xmlns:' || c || '="urn:other" ' || c || ':status="n"/></' || c || ':customer>') AS hash FROM one GROUP BY o_custkey, c, o""")
+def xml_rewrite(spark, d):
+    """Statuses of one namespace rewritten, all else byte for byte."""
+    docs = written(order_documents(spark, d), "documents")
+    some = XM.elements(XM.tokens(docs, "o_custkey", "xml"), "o_custkey")
+    edits = XM.attribute_names(some, "o_custkey").filter("namespace = 'urn:c' and local = 'status' and value = 'F'").select("o_custkey", "pos", "at", F.lit("done & <gone>").alias("value"))
+    return XM.with_values(docs, "o_custkey", "xml", edits).select("o_custkey", F.sha2("xml", 256).alias("hash"))
+
+
+@query("SELECT c_nationkey, CAST(1 AS BIGINT) AS level, c_mktsegment AS above, c_name || ' & co' AS text FROM customer UNION ALL SELECT DISTINCT c_nationkey, 0, NULL, c_mktsegment FROM customer")
+def opml_outlines(spark, d):
+    """Each nation's customers as an outline under their segments."""
+    c = table(spark, d, "customer")
+    leaf = F.concat(F.lit('<outline text="'), "c_name", F.lit(' &amp; co"/>'))
+    parts = c.groupBy("c_nationkey", "c_mktsegment").agg(F.array_join(F.collect_list(leaf), "").alias("inner"))
+    part = F.concat(F.lit('<outline text="'), "c_mktsegment", F.lit('">'), "inner", F.lit("</outline>"))
+    docs = written(parts.groupBy("c_nationkey").agg(F.concat(F.lit('<opml version="2.0"><body>'), F.array_join(F.collect_list(part), ""), F.lit("</body></opml>")).alias("xml")), "opml")
+    rows = written(XM.outlines(docs, "c_nationkey", "xml"), "outlines")
+    above = rows.select("c_nationkey", F.col("pos").alias("parent"), F.col("text").alias("above"))
+    return rows.join(above, ["c_nationkey", "parent"], "left").select("c_nationkey", "level", "above", "text")
+
+
 # Counts of changes over a database, hashes of other makers
 
 
