@@ -90,10 +90,10 @@ def store_all_or_nothing(spark, d):
     return own.groupBy("c_custkey").agg(F.count("o_orderkey").alias("n")).withColumn("main", F.lit(now.ref("main")))
 
 
-# Histories with merges: each customer's orders as commits upon commits, every tenth with the order of half its number as second parent
+# Histories with merges: each customer's orders as commits upon commits, every second one with the order of half its number as second parent
 
 MERGES = """
-WITH RECURSIVE o AS (SELECT o_orderkey AS k, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS p, CASE WHEN o_orderkey % 10 = 0 AND o_orderkey > 0 THEN o_orderkey // 2 END AS q FROM orders),
+WITH RECURSIVE o AS (SELECT o_orderkey AS k, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS p, CASE WHEN o_orderkey % 2 = 0 AND o_orderkey > 0 THEN o_orderkey // 2 END AS q FROM orders),
 e AS (SELECT k, p AS ref FROM o WHERE p IS NOT NULL UNION SELECT k, q FROM o WHERE q IN (SELECT o_orderkey FROM orders)),
 asked AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 7 = 0 UNION SELECT b.o_orderkey FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey - 5 WHERE a.o_orderkey % 7 = 0),
 anc(k, n) AS (SELECT k, k FROM asked UNION SELECT anc.k, e.ref FROM anc JOIN e ON e.k = anc.n)"""
@@ -103,7 +103,7 @@ def orders_graph(spark, d) -> DataFrame:
     from pyspark.sql import Window
 
     before = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
-    half = F.when((F.col("o_orderkey") % 10 == 0) & (F.col("o_orderkey") > 0), F.floor(F.col("o_orderkey") / 2))
+    half = F.when((F.col("o_orderkey") % 2 == 0) & (F.col("o_orderkey") > 0), F.floor(F.col("o_orderkey") / 2))
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("node"), F.array_compact(F.array(before, half)).alias("refs"))
 
 
