@@ -152,7 +152,7 @@ class Store:
             used |= {c["rows"] for c in said["changes"] if c["rows"]}
             if number > self.log.latest() - keep:
                 used |= {p for t in said["tables"].values() for p in (t["base"], t["net"], *t["runs"]) if p}
-        where, gone = self.log._path(f"{self.path}/rows"), 0
+        where, gone = self.log.where(f"{self.path}/rows"), 0
         for f in self.log.fs.listStatus(where) if self.log.fs.exists(where) else []:
             if (name := f"{self.path}/rows/{f.getPath().getName()}") not in used:
                 self.log.remove(name)

@@ -241,14 +241,14 @@ def log_read_on(spark, d):
     spark.dataSource.register(NumberedLog)
     folder = _folder(spark, "numbered")
     files = NumberedFiles(spark, f"{folder}/log")
-    files.fs.mkdirs(files._path(files.folder))
+    files.fs.mkdirs(files.where(files.folder))
     middle = table(spark, d, "events").select(F.median("event_id")).first()[0]
     text = table(spark, d, "events").select("event_id", F.to_json(F.struct("event_id", "event_type")).alias("value"))
     parts = (text.filter(F.col("event_id") <= middle / 2), text.filter((F.col("event_id") > middle / 2) & (F.col("event_id") <= middle)), text.filter(F.col("event_id") > middle))
     for number, part in zip((9, 10, 11), parts):
         part.select("value").coalesce(1).write.text(f"{folder}/part{number}")
-        (made,) = files.fs.globStatus(files._path(f"{folder}/part{number}/part-*"))
-        files.fs.rename(made.getPath(), files._path(f"{files.folder}/log.{number:06d}"))
+        (made,) = files.fs.globStatus(files.where(f"{folder}/part{number}/part-*"))
+        files.fs.rename(made.getPath(), files.where(f"{files.folder}/log.{number:06d}"))
         if number > 9:
             stream = spark.readStream.format("numbered_log").option("path", files.folder).load()
             stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(once=True).start().awaitTermination()

@@ -135,7 +135,7 @@ def test_a_fault_after_any_step_leaves_all_or_nothing(store, monkeypatch, step):
 
 def test_a_half_written_manifest_is_no_version(store, spark, monkeypatch):
     log = NumberedFiles(spark, f"{store.path}/log")
-    stream = log.fs.create(log._path(log.at(2)), False)
+    stream = log.fs.create(log.where(log.at(2)), False)
     stream.write(bytearray(b'{"version": 2, "ta'))
     stream.close()
     assert again(store).version == 1
