@@ -25,4 +25,5 @@ SQL = {
     "op9_chat_format": chat_format.SQL,
     "op10_embedding_dedup": embedding_dup.SQL,
     "op11_resampling": resampling.SQL,
+    "op12_suffix_dedup": suffix_dedup.SQL,
 }

@@ -352,3 +352,15 @@ def without_repeats(docs: DataFrame, least: int = LEAST, batches: int = BATCHES)
 def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the bytes of their repeated 200-byte strings."""
     return without_repeats(table(spark, sf_dir, "documents"))
+
+
+SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents), t AS MATERIALIZED (SELECT r, doc_id, x, CAST(length(x) // 2 AS BIGINT) AS n FROM d),
+w AS MATERIALIZED (SELECT r, p, md5(substr(x, 2 * p + 1, 400)) AS h FROM (SELECT r, x, unnest(range(0, n - 199)) AS p FROM t WHERE n >= 200)),
+hits AS (SELECT r, p, lag(p) OVER (PARTITION BY r ORDER BY p) AS q FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)),
+runs AS (SELECT r, p, sum(CASE WHEN q IS NULL OR p > q + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY p) AS g FROM hits),
+spans AS (SELECT r, g, min(p) AS a, max(p) + 200 AS b FROM runs GROUP BY 1, 2), gaps AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS c FROM spans),
+kept AS (SELECT r, string_agg(substr(x, 2 * c + 1, 2 * (a - c)), '' ORDER BY a) AS k, max(b) AS e, count(*) AS n_spans, sum(b - a) AS n_removed FROM gaps JOIN t USING (r) GROUP BY 1)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN e IS NULL THEN x ELSE k || substr(x, 2 * e + 1) END)) AS kept_sha256 FROM t LEFT JOIN kept USING (r)
+"""
