@@ -41,11 +41,24 @@ def chains(branches: DataFrame, only: list[str] | DataFrame | None = None) -> Da
     return out
 
 
+#: Rows that a task of resolved() sorts, and rows of chains up to which a path's entries meet all branches in one task.
+SEEN_ROWS, FEW_LINES = 1 << 19, 10_000
+
+
 def resolved(branches: DataFrame, entries: DataFrame, only: list[str] | DataFrame | None = None) -> DataFrame:
-    """(branch, path, hash, is_dir): what each branch shows, or those named in `only`; the nearest entry of a path wins and a tombstone hides it."""
-    line = chains(branches, only).withColumnRenamed("branch", "of")
-    seen = line.join(entries, F.col("ancestor") == F.col("branch")).select("of", "path", "hash", "is_dir", "depth")
-    nearest = seen.groupBy("of", "path").agg(F.min_by(F.struct("hash", "is_dir"), "depth").alias("e"))
+    """(branch, path, hash, is_dir): what each branch shows, or those named in `only`; the nearest entry of a path wins and a tombstone hides it.
+
+    An entry is seen by every branch below its own. Entries are dealt out before they meet these, by path and into as many
+    parts as what is seen needs, so no task sorts more than its part; with many branches, what is seen is dealt out instead.
+    """
+    line = written(chains(branches, only).withColumnRenamed("branch", "of"), "line")
+    below = line.groupBy("ancestor").agg(F.count("*").alias("below"))
+    rows = entries.groupBy("branch").agg(F.count("*").alias("n")).join(below, F.col("ancestor") == F.col("branch")).agg(F.sum(F.col("n") * F.col("below")).alias("rows")).first()
+    parts = max(1, -(-(rows.rows or 0) // SEEN_ROWS))
+    few = line.count() <= FEW_LINES
+    near, dealt = (F.broadcast(line), entries.repartition(parts, "path")) if few else (line, entries)
+    seen = near.join(dealt, F.col("ancestor") == F.col("branch")).select("of", "path", "hash", "is_dir", "depth")
+    nearest = (seen if few else seen.repartition(parts, "of", "path")).groupBy("of", "path").agg(F.min_by(F.struct("hash", "is_dir"), "depth").alias("e"))
     return nearest.filter("e.hash is not null or e.is_dir").select(F.col("of").alias("branch"), "path", "e.hash", "e.is_dir")
 
 
@@ -127,10 +140,13 @@ def renamed(tree: DataFrame, moves: DataFrame) -> DataFrame:
 
 
 def with_writes(entries: DataFrame, *writes: DataFrame) -> DataFrame:
-    """entries after the writes, later ones over earlier ones: one row a branch and path, nothing of other branches touched."""
+    """entries after the writes, later ones over earlier ones: one row a branch and path, nothing of other branches touched.
+
+    Rows are dealt out before they are summed up, as a task that reads a large file would sort all of it first.
+    """
     names = ["branch", "path", "hash", "is_dir"]
     rows = [t.select(*names).withColumn("turn", F.lit(n)) for n, t in enumerate((entries, *writes))]
-    last = reduce(DataFrame.unionByName, rows).groupBy("branch", "path").agg(F.max_by(F.struct("hash", "is_dir"), "turn").alias("e"))
+    last = reduce(DataFrame.unionByName, rows).repartition("branch", "path").groupBy("branch", "path").agg(F.max_by(F.struct("hash", "is_dir"), "turn").alias("e"))
     return last.select("branch", "path", "e.hash", "e.is_dir")
 
 

@@ -39,6 +39,19 @@ def test_nearest_entry_wins_and_tombstones_hide(tree):
     assert shown(got, "fix") == [("/a", "3"), ("/d/.h", "5"), ("/e", None)]
 
 
+def test_what_is_seen_is_sorted_in_parts(tree, monkeypatch):
+    branches, entries = tree
+    want = sorted(map(tuple, B.resolved(branches, entries).collect()))
+    monkeypatch.setattr(B, "SEEN_ROWS", 4)  # of 14 rows that are seen
+    got = B.resolved(branches, entries)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert 0 < plan.index("BroadcastHashJoin") < plan.index("Exchange ") and "hashpartitioning(path" in plan and ", 4)" in plan  # branches meet entries that are dealt out, nothing is after it
+    assert sorted(map(tuple, got.collect())) == want
+    monkeypatch.setattr(B, "FEW_LINES", 0)
+    got = B.resolved(branches, entries)
+    assert got._jdf.queryExecution().executedPlan().toString().index("Exchange hashpartitioning(of") > 0 and sorted(map(tuple, got.collect())) == want
+
+
 def test_listing_and_glob(tree):
     got = B.resolved(*tree).filter("branch = 'main'")
     assert sorted(r.name for r in B.listed(got, "/d").collect()) == [".h", "b"] and [r.name for r in B.listed(got, "").collect()] == ["a"]
