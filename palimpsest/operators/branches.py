@@ -207,13 +207,16 @@ def fast_forwards(commits: DataFrame, moves: DataFrame) -> DataFrame:
     depth = commits.select("commit_id", F.col("parent_id").alias("to"), F.col("parent_id").isNotNull().cast("long").alias("depth"))
     while not jumps[-1].isEmpty():
         above = depth.select(F.col("commit_id").alias("to"), F.col("to").alias("over"), F.col("depth").alias("more"))
-        depth = written(depth.join(above, "to", "left").select("commit_id", F.col("over").alias("to"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")), "depth")
+        climbing, done = depth.filter("to is not null"), depth.filter("to is null")  # nulls would all meet in one task
+        climbed = climbing.join(above, "to", "left").select("commit_id", F.col("over").alias("to"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
+        depth = written(done.unionByName(climbed), "depth")
         jump = jumps[-1]
         jumps.append(written(jump.alias("a").join(jump.alias("b"), F.col("a.to") == F.col("b.commit_id")).select("a.commit_id", F.col("b.to").alias("to")), "jump"))
         if len(jumps) > 40:
             raise ValueError("commits that are their own forebears")
     of = depth.select("commit_id", "depth")
-    wanted = moves.select("new", "old").distinct().join(of.toDF("new", "dn"), "new").join(of.toDF("old", "do"), "old")
+    asked = moves.select("new", "old").repartition("new", "old").distinct()  # dealt out first: no task that reads a large file holds all of its moves
+    wanted = asked.join(of.toDF("new", "dn"), "new").join(of.toDF("old", "do"), "old")
     at = written(wanted.select("new", "old", F.col("new").alias("at"), (F.col("dn") - F.col("do")).alias("up")).filter("up >= 0"), "moves")
     for k, jump in enumerate(jumps[:-1]):
         climbed = at.join(jump.toDF("at", "to"), "at", "left")

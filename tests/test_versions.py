@@ -179,6 +179,16 @@ def test_moves_that_need_no_merge(spark):
     assert B.fast_forwards(commits.limit(0), spark.createDataFrame([(1, 2)], "new long, old long")).first().forward is False
 
 
+def test_commits_at_their_root_climb_no_more(spark, monkeypatch):
+    plans, write = [], B.written
+    monkeypatch.setattr(B, "written", lambda df, label: plans.append((label, df._jdf.queryExecution().optimizedPlan().toString())) or write(df, label))
+    commits = spark.createDataFrame([(n, n - 1 if n else None) for n in range(4)], "commit_id long, parent_id long")
+    assert B.fast_forwards(commits, spark.createDataFrame([(3, 0)], "new long, old long")).first().forward
+    joined = [plan for label, plan in plans if label == "depth"]
+    assert joined and all("isnull(" in plan and "Union" in plan for plan in joined)  # those done are joined with nothing
+
+
+
 def test_texts_of_doubles(spark):
     rows = spark.createDataFrame([(0.1, "0.1"), (0.1 + 0.2, "0.30000000000000004"), (-0.0, "0"), (1e25, "1E+25"), (float("nan"), "NAN"), (float("-inf"), "-INF"), (None, None), (1234567.0, "1234567")], "x double, want string")
     assert all(r.got == r.want for r in rows.select(X.float_text(F.col("x")).alias("got"), "want").collect())
