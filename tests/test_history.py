@@ -59,3 +59,15 @@ def test_long_chain_and_a_cycle(spark):
 def test_crossed_merges_have_two_bases(spark):
     df = frame(spark, {1: [], 2: [1], 3: [1], 4: [2, 3], 5: [3, 2]})
     assert {r.base for r in H.merge_bases(df, spark.createDataFrame([(4, 5)], "a long, b long")).collect()} == {2, 3}
+
+
+def test_numbered_histories_are_looked_at_down_to_the_old_one_only(spark):
+    refs = {k: [r for r in own if r < 60] for k, own in graph(2).items()}
+    known, df, rng = closure(refs), frame(spark, refs), random.Random(2)
+    assert H.ordered(df) and not H.ordered(frame(spark, {1: [2], 2: []}))
+    moves = [(a, max(0, a - rng.randrange(12))) for a in range(60)]
+    got = {(r.new, r.old): r.forward for r in H.fast_forwards(df, spark.createDataFrame(moves, "new long, old long")).collect()}
+    assert got == {(a, b): b in known[a] for a, b in moves}
+    cross = spark.createDataFrame([(9, 0, 5, 0, 5), (5, 0, 2, 0, 2)], "chain long, place long, to long, at long, ref long")
+    starts = spark.createDataFrame([(9, 4, 9, 0)], "new long, least long, chain long, place long")
+    assert {r.chain for r in H.reached(starts, cross, ["new", "least"], ["place"], "least").collect()} == {9, 5}
