@@ -19,8 +19,8 @@ def lacking(chunks: DataFrame, have: DataFrame, roots: DataFrame) -> DataFrame:
     """
     new = written(missing(chunks.select("hash", "refs"), have), "lacking")
     found = written(forebears(new.select(F.col("hash").alias("node"), "refs"), roots.select(F.col("hash").alias("node"))).withColumnRenamed("node", "hash"), "found")
-    named = new.join(found, "hash").select(F.explode("refs").alias("hash")).unionByName(roots.select("hash")).distinct()
-    if lost := missing(missing(named, found), have).limit(5).collect():
+    named = new.join(found, "hash").select(F.explode("refs").alias("hash")).unionByName(roots.select("hash"))
+    if lost := missing(missing(named, found), have).distinct().limit(5).collect():
         raise ValueError(f"chunks that neither side has: {[r.hash for r in lost]}")
     return chunks.join(found, "hash")
 

@@ -74,3 +74,11 @@ def test_cycle_of_branches(spark):
         rows = list(zip("abc", cycle)) + [("root", None), ("leaf", "root")]
         with pytest.raises(ValueError, match="ancestors"):
             B.chains(spark.createDataFrame(rows, "branch string, parent string")).count()
+
+
+def test_dealt_out_rows_go_into_more_parts_as_they_grow(spark, monkeypatch):
+    from palimpsest import session
+
+    monkeypatch.setattr(session, "DEALT_ROWS", 100)
+    out = session.dealt(spark.range(1000), "id")
+    assert out.rdd.getNumPartitions() == 10 and out.distinct().count() == 1000
