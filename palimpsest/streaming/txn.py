@@ -16,8 +16,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 OUT = "log string, txn long, place int, number long, position long, table string, version int, columns array<string>, row string, gap string"
@@ -59,38 +58,43 @@ def step(log: str, now: Brackets, tables: dict, waiting: list, event) -> Iterato
 
 
 class Transactions(StatefulProcessor):
-    """State of a log: where it is, the tables announced, and the rows of the open transaction, one list entry each."""
+    """State of a log: where it is and how much waits, the tables announced, and the rows of the open transaction, one list entry each.
+
+    Each call of a state is a message to Spark and back: tables and waiting rows are read only where there are some.
+    Events come as rows, as a log has few of them in a batch and a frame for each log costs more than they do.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.now = handle.getValueState("now", "done long, number long, position long, inside boolean")
+        self.now = handle.getValueState("now", "done long, number long, position long, inside boolean, announced boolean, waits int")
         self.tables = handle.getMapState("tables", "table_id long", "name string, columns string, version int")
         self.waiting = handle.getListState("waiting", "number long, position long, name string, version int, columns string, row string, gap string")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(rows), ignore_index=True).sort_values(["number", "position"], kind="stable")
-        said = self.now.get() if self.now.exists() else None
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        events = sorted(rows, key=lambda e: (e.number, e.position))
+        said = self.now.get()
         now = Brackets(said[0], (said[1], said[2]), said[3]) if said is not None else Brackets()
-        tables = {k[0]: (v[0], json.loads(v[1]), v[2]) for k, v in self.tables.iterator()}
+        tables = {k[0]: (v[0], json.loads(v[1]), v[2]) for k, v in self.tables.iterator()} if said is not None and said[4] else {}
         known = dict(tables)
-        waiting = [(r[0], r[1], r[2], r[3], None if r[4] is None else json.loads(r[4]), r[5], r[6]) for r in self.waiting.get()] if self.waiting.exists() else []
-        kept = len(waiting)
-        before, out, cleared = list(waiting), [], False
-        for event in events.itertuples(index=False):
+        kept = said[5] if said is not None else 0
+        waiting = [(r[0], r[1], r[2], r[3], None if r[4] is None else json.loads(r[4]), r[5], r[6]) for r in self.waiting.get()] if kept else []
+        out, cleared = [], False
+        for event in events:
             out += list(step(key[0], now, tables, waiting, event))
             cleared |= not waiting
-        self.now.update((now.done, now.at[0], now.at[1], now.inside))
         for k, v in tables.items():
             if known.get(k) != v:
                 self.tables.updateValue((int(k),), (v[0], json.dumps(v[1]), v[2]))
         flat = [(r[0], r[1], r[2], r[3], None if r[4] is None else json.dumps(r[4]), r[5], r[6]) for r in waiting]
-        if waiting[:kept] == before and not cleared:
+        if kept and not cleared:
             if flat[kept:]:
                 self.waiting.appendList(flat[kept:])  # only what is new is written
         elif flat:
             self.waiting.put(flat)
-        else:
+        elif kept:
             self.waiting.clear()
-        yield pd.DataFrame(out, columns=_NAMES)
+        self.now.update((now.done, now.at[0], now.at[1], now.inside, bool(tables), len(waiting)))
+        for row in out:
+            yield Row(**dict(zip(_NAMES, row)))
 
     def close(self) -> None:
         pass
@@ -98,4 +102,4 @@ class Transactions(StatefulProcessor):
 
 def committed(events: DataFrame) -> DataFrame:
     """OUT rows of EVENTS; a stream needs the RocksDB state store."""
-    return events.groupBy("log").transformWithStateInPandas(Transactions(), OUT, "Append", "None")
+    return events.groupBy("log").transformWithState(Transactions(), OUT, "Append", "None")

@@ -100,3 +100,23 @@ def test_a_stream_cut_at_every_place_equals_one_batch(rocks, tmp_path):
     got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect()), key=lambda r: (r[0], r[1], r[2]))
     want = sorted((r for log in logs for r in plain(log)), key=lambda r: (r[0], r[1], r[2]))
     assert [tuple(list(x) if isinstance(x, list) else x for x in r) for r in got] == want
+
+
+def test_a_log_without_tables_or_waiting_rows_reads_neither():
+    from pyspark.sql import Row
+
+    from palimpsest.streaming.txn import Transactions
+
+    class State:
+        said = None
+        get = lambda self: self.said
+        exists = lambda self: self.said is not None
+
+        def update(self, value):
+            self.said = value
+
+    logs = Transactions()
+    logs.now, logs.tables, logs.waiting = State(), None, None  # a call of either would fail
+    event = lambda position: Row(log="a", number=1, position=position, kind="row", table_id=1, name=None, columns=None, row=str(position))
+    assert [r.row for r in logs.handleInputRows(("a",), iter([event(2), event(1)]), None)] == ["1", "2"]
+    assert [r.row for r in logs.handleInputRows(("a",), iter([event(2), event(3)]), None)] == ["3"]
