@@ -6,6 +6,9 @@ each with a list of what it staged. The commit is one small file; before it the
 failed, and after it the moves are made, by tasks again, from the lists. They can be made twice: a commit whose moves
 were cut short is finished by the next write, or by recovered(), and a staging folder without its commit goes.
 
+Files are dealt out by path, a few thousand to a task, when they are staged, moved and read, so that each step has more tasks
+where there are more files; read_files() lists folders in tasks too, one level at a time, and the driver holds no list.
+
 Each file changes by a rename, so a reader sees it whole, old or new. Defined results: paths are relative, without
 empty, `.` or `..` segments, and named once, or nothing is written; a file that is to go and isn't there is gone; a path
 that one row leaves and another takes is the other's.
@@ -18,6 +21,7 @@ import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 from pyarrow import fs
@@ -26,9 +30,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from palimpsest.functions.text import is_tree_path
+from palimpsest.session import written
 
 STAGING, COMMITS = ".staging", ".commits"
 MOVES = "staged string, path string, was string"
+#: Files that a task stages, moves or reads.
+FILES_A_TASK = 1 << 12
 
 
 def opened(path: str) -> tuple[fs.FileSystem, str]:
@@ -62,12 +69,13 @@ class FolderWriter(DataSourceWriter):
         """One task's files, each under a name of its own, and its list of moves beside them."""
         where, folder = opened(self.path)
         own = f"{folder}/{STAGING}/{self.id}"
-        where.create_dir(f"{own}/lists")
         task, moves = uuid.uuid4().hex, []
+        for name in ("lists", task):
+            where.create_dir(f"{own}/{name}")
         for n, row in enumerate(iterator):
             staged = None
             if row.text is not None:
-                staged = f"{own}/{task}-{n}"
+                staged = f"{own}/{task}/{n}"
                 with where.open_output_stream(staged) as out:
                     out.write(row.text.encode())
             moves.append({"staged": staged, "path": row.path, "was": row.was})
@@ -100,11 +108,16 @@ def write_files(rows: DataFrame, folder: str) -> int:
     recovered(spark, folder)
     spark.dataSource.register(FolderFiles)
     commit = uuid.uuid4().hex
-    rows.write.format("folder_files").option("path", folder).option("commit", commit).mode("append").save()
+    _by_path(rows, told.n).write.format("folder_files").option("path", folder).option("commit", commit).mode("append").save()
     _moved(spark, folder, commit)
     return told.n
 
 
+def _by_path(rows: DataFrame, n: int) -> DataFrame:
+    """n rows dealt out in the order of their paths, so that a task has few folders."""
+    return rows.repartitionByRange(max(1, -(-n // FILES_A_TASK)), "path")
+
+
 def recovered(spark: SparkSession, folder: str) -> int:
     """Finishes the commits whose moves were cut short, clears what never came to its commit, and gives how many were finished. No write may be at it."""
     where, root = opened(folder)
@@ -125,9 +138,11 @@ def _moved(spark: SparkSession, folder: str, commit: str) -> None:
     lists = f"{root}/{STAGING}/{commit}/lists"
     if where.get_file_info(lists).type != fs.FileType.NotFound:
         scheme = folder[: len(folder) - len(root)] if folder.endswith(root) else "file:"
-        moves = spark.read.schema(MOVES).json(f"{scheme}{lists}").dropDuplicates(["path"])
-        put, gone = moves.filter("staged is not null"), moves.filter("staged is null").select("path").unionByName(moves.filter("was is not null").select(F.col("was").alias("path"))).distinct()
-        for rows, act in ((put, _put), (gone.join(put.select("path"), "path", "left_anti").withColumn("staged", F.lit(None).cast("string")), _gone)):
+        moves = spark.read.schema(MOVES).json(f"{scheme}{lists}")
+        left = moves.filter("was is not null").select(F.col("was").alias("path"), F.lit(None).cast("string").alias("staged"))
+        named = moves.select("path", "staged").unionByName(left)
+        last = _by_path(named, named.count()).groupBy("path").agg(F.max("staged").alias("staged"))  # one list of a task that ran twice will do
+        for rows, act in ((last.filter("staged is not null"), _put), (last.filter("staged is null"), _gone)):
             rows.select("staged", "path").mapInArrow(lambda batches, act=act: act(batches, folder), "n long").agg(F.sum("n")).collect()
         where.delete_dir(f"{root}/{STAGING}/{commit}")
     if where.get_file_info(f"{root}/{COMMITS}/{commit}").type != fs.FileType.NotFound:
@@ -136,10 +151,12 @@ def _moved(spark: SparkSession, folder: str, commit: str) -> None:
 
 def _put(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
     where, root = opened(folder)
+    made = None
     for batch in batches:
         for staged, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if where.get_file_info(staged).type != fs.FileType.NotFound:  # else moved before the cut
-                where.create_dir(f"{root}/{path}".rpartition("/")[0])
+                if made != (made := f"{root}/{path}".rpartition("/")[0]):
+                    where.create_dir(made)
                 where.move(staged, f"{root}/{path}")
         yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
 
@@ -153,6 +170,44 @@ def _gone(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
 
 
+def _listed(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
+    """What lies in folders named below `folder`, hidden names left out."""
+    where, root = opened(folder)
+    for batch in batches:
+        for path in batch.column(0).to_pylist():
+            found = where.get_file_info(fs.FileSelector(f"{root}/{path}".rstrip("/")))
+            for at in range(0, len(found), FILES_A_TASK):
+                some = [f for f in found[at : at + FILES_A_TASK] if f.base_name[:1] not in (".", "_")]
+                yield pa.RecordBatch.from_pydict({
+                    "path": pa.array([f"{path}/{f.base_name}".lstrip("/") for f in some], pa.string()),
+                    "deeper": pa.array([f.type == fs.FileType.Directory for f in some], pa.bool_()),
+                })
+
+
+def read_files(spark: SparkSession, folder: str, names: str = "") -> DataFrame:
+    """(path, content) of the files anywhere below a folder whose names match a regular expression, paths as write_files() has them."""
+    level, files = spark.createDataFrame([("",)], "path string"), []
+    while not level.isEmpty():
+        found = written(level.mapInArrow(lambda batches: _listed(batches, folder), "path string, deeper boolean"), "listed")
+        files.append(found.filter(~F.col("deeper") & F.regexp_extract("path", "[^/]*$", 0).rlike(names)).select("path"))
+        deeper = found.filter("deeper").select("path")
+        level = deeper.repartitionByRange(max(1, -(-deeper.count() // 16)), "path")
+    paths = reduce(DataFrame.unionByName, files)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, root = opened(folder)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                some = batch.column(0).slice(at, 64)
+                contents = []
+                for path in some.to_pylist():
+                    with where.open_input_stream(f"{root}/{path}", compression=None) as file:
+                        contents.append(file.read())
+                yield pa.RecordBatch.from_arrays([some, pa.array(contents, pa.binary())], names=["path", "content"])
+
+    return _by_path(paths, paths.count()).mapInArrow(read, "path string, content binary")
+
+
 def feed_parts(items: DataFrame, order: str, per_part: int, title: str) -> DataFrame:
     """(path, text): items(item, a number from 0 in `order`) as RSS files of so many items each, for write_files()."""
     part = F.floor(F.col(order) / per_part)

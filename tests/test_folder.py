@@ -77,3 +77,18 @@ def test_posts_and_feeds_are_read_back(spark, tmp_path):
     W.write_files(W.feed_parts(items, "n", 3, "feed"), str(tmp_path / "feed"))
     assert len(held(tmp_path / "feed")) == 3
     assert sorted(r.title for r in S.read_feed(spark, str(tmp_path / "feed")).collect()) == [f"a & {k}" for k in range(7)]
+
+
+def test_more_files_take_more_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(W, "FILES_A_TASK", 8)
+    tasks = []
+    real = W._by_path
+    monkeypatch.setattr(W, "_by_path", lambda rows, n: tasks.append(real(rows, n).rdd.getNumPartitions()) or real(rows, n))
+    rows = [(f"{k % 3}/deep/{k}-a.md" if k % 2 else f"{k}-a.md", f"text {k}", None) for k in range(50)]
+    W.write_files(spark.createDataFrame(rows, SCHEMA).coalesce(1), str(tmp_path))
+    W.write_files(spark.createDataFrame([("1/other.txt", "x", None), ("1/deep/_no.md", "x", None), ("1/deep/new.md", "y", "1/deep/1-a.md")], SCHEMA), str(tmp_path))
+    got = {r.path: bytes(r.content).decode() for r in W.read_files(spark, str(tmp_path), r"\.md$").collect()}
+    want = {p: t for p, t, _ in rows} | {"1/deep/new.md": "y"}
+    del want["1/deep/1-a.md"]
+    assert got == want and tasks[:2] == [7, 7] and tasks[-1] == 7
+    assert W.read_files(spark, str(tmp_path), r"\.none$").count() == 0
