@@ -71,3 +71,12 @@ def test_numbered_histories_are_looked_at_down_to_the_old_one_only(spark):
     cross = spark.createDataFrame([(9, 0, 5, 0, 5), (5, 0, 2, 0, 2)], "chain long, place long, to long, at long, ref long")
     starts = spark.createDataFrame([(9, 4, 9, 0)], "new long, least long, chain long, place long")
     assert {r.chain for r in H.reached(starts, cross, ["new", "least"], ["place"], "least").collect()} == {9, 5}
+
+
+def test_earlier_rounds_are_looked_at_in_few_rounds(spark, monkeypatch):
+    read, real = [], H.written
+    monkeypatch.setattr(H, "written", lambda df, label: read.append(len({f.rpartition("/")[0] for f in df.inputFiles() if "/reached-" in f})) or real(df, label))
+    cross = spark.createDataFrame([(k, 0, k + 1, 0, 0) for k in range(11)] + [(11, 0, 9, 0, 0)], "chain long, place long, to long, at long, ref long")
+    starts = spark.createDataFrame([(1, 0, 0)], "new long, chain long, place long")
+    assert {r.chain for r in H.reached(starts, cross, ["new"], ["place"]).collect()} == set(range(12))
+    assert len(read) <= 17 and read[3] == read[5] == read[6] == read[7] == 1 and read[8] == 8  # it ends though two chains lead to each other
