@@ -513,6 +513,15 @@ def test_pages_are_differenced_with_the_nearest_url(spark):
     assert html_text.extract_text(pages.limit(0)).count() == 0
 
 
+def test_pages_with_an_article_are_differenced_too(spark):
+    rows = [
+        (1, "http://a.org/x/1", "<nav>Menu</nav><article><h1>Menu</h1><p>Read on<p>one<p>line</article><p>Read on<p>Menu"), (2, "http://a.org/x/2", "<nav>Menu</nav><article><p>two<p>line<p>Read on</article><p>Read on<p>Menu"),
+        (3, "http://b.org/x/1", "<div class=ad>ours</div><article><p>ours</article><p>foot"), (4, "http://b.org/x/2", "<div class=ad>ours</div><main><p>foot<p>text</main><p>foot"),
+    ]
+    got = {r.page_id: r.text for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "Menu one line", 2: "two line", 3: "ours", 4: "text"}
+
+
 @pytest.mark.parametrize(
     "part, stays",
     [
