@@ -82,3 +82,15 @@ def test_dealt_out_rows_go_into_more_parts_as_they_grow(spark, monkeypatch):
     monkeypatch.setattr(session, "DEALT_ROWS", 100)
     out = session.dealt(spark.range(1000), "id")
     assert out.rdd.getNumPartitions() == 10 and out.distinct().count() == 1000
+
+
+def test_median_by_ranges_that_narrow(spark, monkeypatch):
+    from statistics import median
+
+    from palimpsest import session
+
+    monkeypatch.setattr(session, "RANGE_BITS", 5)
+    rng = random.Random(3)
+    for values in ([5], [-3, 4], [7, 7, 7, 9], [-(2**63), 2**63 - 1, 0, None], [rng.randrange(-5000, 5000) for _ in range(400)], [rng.choice([1, 1000]) for _ in range(301)]):
+        assert session.median(spark.createDataFrame([(v,) for v in values], "k long"), "k") == median(v for v in values if v is not None)
+    assert session.median(spark.createDataFrame([(None,)], "k int"), "k") is None

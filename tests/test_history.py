@@ -80,3 +80,12 @@ def test_earlier_rounds_are_looked_at_in_few_rounds(spark, monkeypatch):
     starts = spark.createDataFrame([(1, 0, 0)], "new long, chain long, place long")
     assert {r.chain for r in H.reached(starts, cross, ["new"], ["place"]).collect()} == set(range(12))
     assert len(read) <= 17 and read[3] == read[5] == read[6] == read[7] == 1 and read[8] == 8  # it ends though two chains lead to each other
+
+
+def test_nodes_that_refer_to_nothing_are_on_no_chain(spark, monkeypatch):
+    df = frame(spark, {1: [], 2: [1, 7, 7], 3: [2, 8], 4: [9, 99], 7: [], 8: [], 9: None, 10: [], 11: []})
+    real, seen = H.chain_places, []
+    monkeypatch.setattr(H, "chain_places", lambda g: seen.extend(r.node for r in g.collect()) or real(g))
+    assert sorted(r.node for r in H.forebears(df, spark.createDataFrame([(3,), (10,), (10,), (500,)], "node long")).collect()) == [1, 2, 3, 7, 8, 10]
+    assert sorted(seen) == [2, 3, 4]
+    assert H.forebears(df, df.select("node").limit(0)).count() == 0
