@@ -522,6 +522,26 @@ def test_pages_with_an_article_are_differenced_too(spark):
     assert got == {1: "Menu one line", 2: "two line", 3: "ours", 4: "text"}
 
 
+def test_what_stands_apart_is_compared_too(spark):
+    page = "<title>t</title><nav><a>Home</a><p>News</nav>x<article><header><h1>H</h1>by</header><p>a <span class=ad>buy<br>now</span> b</article><footer>&copy; f"
+    found, titles = html_text.sorted_blocks(page)
+    assert [x for _, x in found] == ["Home", "News", "x", "H", "by", "a b", "buy now", "© f"] and titles == {"H"}
+    assert [x for p, x in found if p == html_text.BESIDE] == ["Home", "News", "by", "© f"] and (html_text.NAMED, "buy now") in found
+    rows = [
+        (1, "http://a.org/x/1", "<nav><p>Home<p>News</nav><article><p>one<p>quoted</article><div class=ad>quoted</div><footer>foot</footer>"), (2, "http://a.org/x/2", "<nav><p>Home<p>News</nav><article><p>News</article><div class=ad>quoted</div><footer>foot</footer>"),
+        (3, "http://b.org/x/1", "<p>Home<p>News<h1>Three</h1><p>three<p>foot"), (4, "http://b.org/x/2", "<nav><p>Home<p>News<p>Three</nav><main>four</main><footer>foot</footer>"),
+        (5, "http://c.org/1", "<h1>Site</h1><p>five"), (6, "http://c.org/2", "<nav>Site</nav><h1>Site</h1><p>six"), (7, "http://d.org/1", "<nav>Menu</nav>"), (8, "http://d.org/2", "<nav>Menu</nav>eight"), (9, "http://e.org/1", None), (10, "http://f.org/1", "<nav>Menu</nav>ten<p>told"), (11, "http://f.org/2", "<nav>Menu</nav><div class=teaser>told</div>eleven"),
+    ]
+    got = {r.page_id: (r.text, r.n_shared) for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: ("one quoted", 4), 2: ("News", 4), 3: ("Three three", 4), 4: ("four", 4), 5: ("five", 1), 6: ("six", 1), 7: ("", 1), 8: ("eight", 1), 9: ("", 0), 10: ("ten told", 2), 11: ("eleven", 2)}
+
+
+def test_a_line_repeated_in_a_page_is_template_as_often_as_the_nearest_has_it():
+    own, near = [8, 9, 1, 1, 2, 3, 1, 7], [8, 1, 1, 4, 9, 7]
+    assert html_text.template_places([1, 1, 2, 3, 1], False, own, [0, 4, 1, 1, 1, 1, 1, 0], near, [0, 1, 1, 1, 4, 0])[1] == 4
+    assert len(html_text.template_places([1, 1, 2, 3, 1], False, own, [0, 4, 1, 1, 1, 1, 1, 0], near, [0, 1, 1, 1, 4, 0])[0]) == 2
+
+
 @pytest.mark.parametrize(
     "part, stays",
     [
